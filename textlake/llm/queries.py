@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import leakage, lookalikes, nearcopies, splitting
+from textlake.llm import leakage, lookalikes, mapping, nearcopies, splitting
 from textlake.sources.tables import table
 
 
@@ -34,6 +34,31 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select(F.lit("chunk_text").alias("field"), "key_a", "key_b").unionByName(names.select(F.lit("drug_name").alias("field"), "key_a", "key_b")).distinct()
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """(field, kind, row_id, value) of the four typed fields."""
+    sections, names = table(spark, d, "section_mappings"), table(spark, d, "drug_names")
+    fields = ((sections, "original_header", "section"), (sections, "normalized_name", "section"), (names, "brand_name", "brand"), (names, "generic_name", "generic"))
+    out = None
+    for df, name, kind in fields:
+        one = df.where(F.col(name).isNotNull()).select(F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.col("id").alias("row_id"), F.col(name).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry meant by each typed value, or 0."""
+    typed = _typed(spark, d)
+    meant = mapping.match(typed, table(spark, d, "canonical_entries"), {"section": mapping.ACCEPT_PHRASE})
+    return typed.join(meant, ["kind", "value"]).select("field", "row_id", "ref_id").distinct()
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that mean no entry, by field, with the rows that hold them."""
+    typed = _typed(spark, d)
+    meant = mapping.match(typed, table(spark, d, "canonical_entries"), {"section": mapping.ACCEPT_PHRASE}).where("ref_id = 0")
+    return typed.join(meant, ["kind", "value"]).groupBy("field", "value").agg(F.count("*").alias("rows"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the items with which they share 13 words in a row."""
     hits = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), at_least=1.0)
@@ -58,7 +83,7 @@ def p8_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p6_found, p6_items, p8_found, p8_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p5_unmatched, p6_found, p6_items, p8_found, p8_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
