@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import leakage, lookalikes, mapping, nearcopies, splitting
+from textlake.llm import leakage, lookalikes, mapping, nearcopies, sentences, splitting
 from textlake.sources.tables import table
 
 
@@ -34,6 +34,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select(F.lit("chunk_text").alias("field"), "key_a", "key_b").unionByName(names.select(F.lit("drug_name").alias("field"), "key_a", "key_b")).distinct()
 
 
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """(field, span_key, text, type) of stored and extracted spans."""
+    stored = table(spark, d, "fact_spans").select(F.lit("sentence_text").alias("field"), F.col("fact_span_id").alias("span_key"), F.col("sentence_text").alias("text"), F.col("source_type").alias("type"))
+    fresh = table(spark, d, "extracted_spans").select(F.lit("text").alias("field"), F.col("span_id").alias("span_key"), "text", F.col("text_type").alias("type"))
+    return stored.unionByName(fresh)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of all spans."""
+    spans = _spans(spark, d)
+    return sentences.split(spans, sentences.train(spans)).distinct()
+
+
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     """(field, kind, row_id, value) of the four typed fields."""
     sections, names = table(spark, d, "section_mappings"), table(spark, d, "drug_names")
@@ -83,7 +96,7 @@ def p8_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p5_unmatched, p6_found, p6_items, p8_found, p8_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p8_found, p8_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
