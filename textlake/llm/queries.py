@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import leakage, lookalikes, mapping, nearcopies, sentences, splitting
+from textlake.llm import leakage, lookalikes, mapping, nearcopies, scans, sentences, splitting
 from textlake.sources.tables import table
 
 
@@ -22,6 +22,24 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"), keep_whole=True)
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, scans.Lexicon]:
+    """(field, record_key, text) of chunks and parsed documents, and what they teach."""
+    chunks = table(spark, d, "chunks").select(F.lit("chunk_text").alias("field"), F.col("chunk_id").cast("string").alias("record_key"), F.col("chunk_text").alias("text"))
+    parsed = table(spark, d, "parsed_documents").select(F.lit("raw_text").alias("field"), F.col("document_hash").alias("record_key"), F.col("raw_text").alias("text"))
+    texts = chunks.unionByName(parsed)
+    return texts, scans.learn(texts, parsed)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged lines of scanned texts."""
+    return scans.damaged(*_scanned(spark, d)).distinct()
+
+
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All texts as continuous paragraphs."""
+    return scans.repaired(*_scanned(spark, d))
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = table(spark, d, "chunks").select(F.col("chunk_id").cast("string").alias("id"), F.col("chunk_text").alias("text"))
     names = table(spark, d, "monograph_sections").select(F.col("drug_name").alias("id"), F.col("drug_name").alias("text")).distinct()
@@ -96,7 +114,7 @@ def p8_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p8_found, p8_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p8_found, p8_texts)}
 
 
 def oracle_sql() -> dict[str, str]:

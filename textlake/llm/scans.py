@@ -31,7 +31,8 @@ NAME = 0.3
 WORDS, PAIRS = 100_000, 500_000
 
 TOKEN = re.compile(r"[^\W_]+")
-CAPITAL = re.compile(r"(?<=[a-zß-ÿ0-9,%)] )[A-ZÀ-Ý][^\W_]*")
+CAPITAL = re.compile(r"[a-zß-ÿ0-9,%)] ([A-ZÀ-Ý][^\W_]*)")
+HYPHENED = re.compile(r"([^\W\d_]+)-(?=[^\W\d_]{2})")
 HYPHENS = "-‐‑\xad¬"
 #: Letters read for digits.
 NUMERIC = "0-9OolISsBbZzgq"
@@ -39,8 +40,6 @@ NUMBER = re.compile(rf"(?<![^\W_])(?=[{NUMERIC}.,]*[0-9])(?=[0-9.,]*[OolISsBbZzg
 _N = rf"(?:[{NUMERIC}]+|[ivxlcIVXLC1]{{1,7}})"
 PAGE = re.compile(rf"[\s\f]*[\[(\-–—|]*\s*(?:[^\W\d_]{{1,5}}[.:]?\s+)?{_N}(?:\s*(?:/|[^\W\d_]{{2}})\s*{_N})?\s*[\])\-–—|]*\s*")
 PAGE_WORDS = ("page", "p", "pg", "seite")
-WRAPPED = r"[^.!?:|;\s][ \t]*\n[ \t]*\S"
-
 COUNTS = "kind string, a string, b string, n bigint, clean bigint"
 
 
@@ -52,9 +51,15 @@ def _emit(rows: dict[tuple[str, str, str], list[int]]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["kind", "a", "b", "n", "clean"])
 
 
+def is_wrapped(text: str) -> bool:
+    """Whether some line of a text goes on in the next one."""
+    lines = text.split("\n")
+    return any(a and b and a[-1] not in ".!?:|; " for a, b in zip(lines, lines[1:], strict=False))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word: how often it stands, how often in texts without wrapped lines, how often as a name does."""
-    wrapped = re.compile(WRAPPED)
+    """For each word how often it stands (clean: in texts without wrapped lines), how often as a name does, and how
+    often before a hyphen inside a line."""
     clean: Counter = Counter()
     other: Counter = Counter()
     names: Counter = Counter()
@@ -62,11 +67,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[pa.RecordBatch]:
         out: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
         for counter, is_clean in ((clean, 1), (other, 0)):
-            for w, n in counter.items():
-                if not w.isdigit():
-                    v = out[("word", w.lower(), "")]
-                    v[0] += n
-                    v[1] += n * is_clean
+            for chunk, n in counter.items():
+                for w in TOKEN.findall(chunk):
+                    if not w.isdigit():
+                        v = out[("word", w.lower(), "")]
+                        v[0] += n
+                        v[1] += n * is_clean
+                if "-" in chunk:
+                    for w in HYPHENED.findall(chunk):
+                        out[("left", w.lower(), "")][0] += n
         for w, n in names.items():
             out[("name", w.lower(), "")][0] += n
         for c in (clean, other, names):
@@ -75,7 +84,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            (other if wrapped.search(text) else clean).update(TOKEN.findall(text))
+            (other if is_wrapped(text) else clean).update(text.split())
             names.update(CAPITAL.findall(text))
         if len(clean) + len(other) > 1_000_000:
             yield from rows()
@@ -130,6 +139,7 @@ class Lexicon:
     lines: dict[str, float] = field(default_factory=dict)
     index: dict[str, list[str]] = field(default_factory=dict)
     siblings: dict[str, list[str]] = field(default_factory=dict)
+    before_hyphen: dict[str, int] = field(default_factory=dict)
     known: dict[str, list[tuple[float, str]]] = field(default_factory=dict)
 
     def build(self) -> Lexicon:
@@ -143,7 +153,11 @@ class Lexicon:
         self.misread = {w for w in wrong if w not in self.ordinary}
         for w in self.misread:
             self.words.pop(w)
-        self.siblings = {w: s for w in self.ordinary if len(w) < 6 and (s := [x for _, x in self._candidates(w) if x != w])}
+        self.siblings = {w: s for w in self.ordinary if (s := [x for _, x in self._candidates(w) if x != w])}
+        # Words one of whose letters is misread as the same sign as that of another word: their neighbours decide.
+        swaps = [(a, b) for r, a in CONFUSIONS for q, b in CONFUSIONS if r == q and a != b and len(a) == len(b) == 1]
+        doubtful = {w for w in self.ordinary for a, b in swaps for i, c in enumerate(w) if c == a and w[:i] + b + w[i + 1 :] in self.ordinary}
+        self.watched = doubtful | set(self.siblings) | {x for s in self.siblings.values() for x in s}
         return self
 
     def _candidates(self, token: str) -> list[tuple[float, str]]:
@@ -176,6 +190,10 @@ class Lexicon:
         least = [w for c, w in found if c <= found[0][0] + 1e-9]
         return max(least, key=lambda w: (self.pairs.get((before, w), 0) + self.pairs.get((w, after), 0), self.words[w]))
 
+    def doubts(self, chunk: str) -> bool:
+        """Whether anything between two blanks may need repair. Words that exist are doubted in wrapped texts only."""
+        return NUMBER.search(chunk) is not None or any(self.candidates(t.lower()) for t in TOKEN.findall(chunk))
+
     def seen(self, word: str) -> str:
         """A word as a feature of a line: itself, repaired, or a star."""
         low = word.lower()
@@ -223,17 +241,18 @@ def is_page_number(line: str) -> bool:
 
 def _pairs_and_lines(lexicon: Lexicon, documents: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        watched = set(lexicon.siblings) | {x for s in lexicon.siblings.values() for x in s}
+        watched = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, lexicon.watched))) + r")\b") if lexicon.watched else None
         rows: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
-        wrapped = re.compile(WRAPPED)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if watched:
-                    tokens = TOKEN.findall(text.lower())
-                    for a, b in zip(tokens, tokens[1:], strict=False):
-                        if (a in watched or b in watched) and a in lexicon.words and b in lexicon.words:
-                            rows[("pair", a, b)][0] += 1
-                if documents and wrapped.search(text):
+                if watched and not documents:
+                    low = text.lower()
+                    for m in watched.finditer(low):
+                        before, after = low[max(0, m.start() - 30) : m.start()].split()[-1:], low[m.end() : m.end() + 30].split()[:1]
+                        for pair in ((before[0], m[0]) if before else None, (m[0], after[0].strip(",.;:")) if after else None):
+                            if pair and pair[0] in lexicon.words and pair[1] in lexicon.words:
+                                rows[("pair", *pair)][0] += 1
+                if documents and is_wrapped(text):
                     lines = [x for x in text.replace("\f", "").split("\n") if x.strip() and not is_page_number(x)]
                     times = Counter(map(_shape, lines))
                     for line in lines:
@@ -255,7 +274,7 @@ def _pairs_and_lines(lexicon: Lexicon, documents: bool):  # noqa: ANN202
 def learn(texts: DataFrame, documents: DataFrame | None = None) -> Lexicon:
     """The lexicon of all `texts` (text), and, of whole `documents` (text), how their repeated lines look."""
     texts = texts.where("text is not null").select("text")
-    counted = texts.mapInArrow(_count_words, COUNTS).groupBy("a").agg(F.sum(F.when(F.col("kind") == "word", F.col("n"))).alias("n"), F.sum("clean").alias("clean"), F.coalesce(F.sum(F.when(F.col("kind") == "name", F.col("n"))), F.lit(0)).alias("name"))
+    counted = texts.mapInArrow(_count_words, COUNTS).groupBy("a").agg(F.sum(F.when(F.col("kind") == "word", F.col("n"))).alias("n"), F.sum("clean").alias("clean"), F.coalesce(F.sum(F.when(F.col("kind") == "name", F.col("n"))), F.lit(0)).alias("name"), F.coalesce(F.sum(F.when(F.col("kind") == "left", F.col("n"))), F.lit(0)).alias("left"))
     kept = counted.where(F.col("n") >= KNOWN).orderBy(F.desc("n"), "a").limit(WORDS).collect()
     clean, whole = sum(r.clean for r in kept), sum(r.n for r in kept)
     # A word belongs to the body of the language if it also stands where nothing was scanned, as often as can be
@@ -263,7 +282,7 @@ def learn(texts: DataFrame, documents: DataFrame | None = None) -> Lexicon:
     share = clean / whole if whole else 0.0
     sound = {r.a for r in kept if r.clean >= 0.25 * share * r.n}
     ordinary = {r.a for r in kept if r.name < NAME * r.n and r.a in sound and not any(c.isdigit() for c in r.a) and len(r.a) > 1}
-    lexicon = Lexicon({r.a: r.n for r in kept}, ordinary).build()
+    lexicon = Lexicon({r.a: r.n for r in kept}, ordinary, before_hyphen={r.a: r.left for r in kept if r.left}).build()
     rows = texts.mapInArrow(_pairs_and_lines(lexicon, False), COUNTS)
     if documents is not None:
         rows = rows.where("kind = 'pair'").unionByName(documents.where("text is not null").select("text").mapInArrow(_pairs_and_lines(lexicon, True), COUNTS).where("kind = 'line'"))
@@ -279,10 +298,9 @@ def learn(texts: DataFrame, documents: DataFrame | None = None) -> Lexicon:
 def is_furniture(line: str, lexicon: Lexicon) -> bool:
     """Whether a line looks like those that documents repeat from page to page."""
     s = line.strip()
-    if not s or not lexicon.lines or s[0].islower() or s[-1] in ".!?" or len(s) > 120:
+    if not s or not lexicon.lines or s[0].islower() or len(s) > 120:
         return False
-    weights = sorted(lexicon.lines.get(f, 0.0) for f in line_features(line, lexicon))
-    return sum(weights) > 3.0
+    return math.fsum(lexicon.lines.get(f, 0.0) for f in line_features(line, lexicon)) > 3.0
 
 
 @dataclass
@@ -305,18 +323,14 @@ def _join(left: str, mark: str, right: str, lexicon: Lexicon) -> bool:
     if n or lexicon.candidates(whole):
         return n >= compound
     ok = lambda x: x in lexicon.ordinary or bool(lexicon.candidates(x))
-    return not (ok(a) and ok(b)) and a not in PREFIXES
-
-
-# Beginnings of invented brand names and of common words that keep their hyphen.
-PREFIXES = {"non", "self", "long", "short", "well", "age", "dose", "low", "high", "post", "pre", "in", "follow"}
+    return not (ok(a) and ok(b)) and lexicon.before_hyphen.get(a, 0) < max(KNOWN, 0.5 * lexicon.words.get(a, 0))
 
 
 def repair(text: str, lexicon: Lexicon) -> Repaired:
     """One text as continuous paragraphs, with its damage by line (from 1, lines split at line feeds)."""
     lines = text.split("\n")
     damage: list[tuple[int, str]] = []
-    wrapped = re.search(WRAPPED, text) is not None
+    wrapped = is_wrapped(text)
     body: list[int] = []
     for i, line in enumerate(lines):
         if wrapped and is_page_number(line):
@@ -332,7 +346,9 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
     glued: dict[int, bool] = {}
     ends: dict[int, str] = {}
     for i, j in zip(filled, filled[1:], strict=False):
-        m = re.search(rf"([^\W_]+)([{HYPHENS}])$", out_lines[i])
+        if out_lines[i][-1] not in HYPHENS:
+            continue
+        m = re.search(rf"([^\W_]+)([{HYPHENS}])$", out_lines[i][-60:])
         r = re.match(r"\s*([^\W_]+)", out_lines[j])
         if m and r:
             glued[i] = _join(m[1], m[2], r[1], lexicon)
@@ -357,18 +373,15 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
     found = list(TOKEN.finditer(whole))
     lows = [m[0].lower() for m in found]
     for n, m in enumerate(found):
-        token = m[0]
-        if token.isdigit() or NUMBER.fullmatch(token):
-            continue
-        low = lows[n]
-        if low in lexicon.words and low not in lexicon.siblings or len(low) < 2:
+        token, low = m[0], lows[n]
+        if low in lexicon.words and low not in lexicon.siblings or len(low) < 2 or token.isdigit() or not token.isalpha() and NUMBER.fullmatch(token):
             continue
         meant = lexicon.repair(token, lows[n - 1] if n else "", lows[n + 1] if n + 1 < len(lows) else "")
         if meant:
             fixes.append((m.start(), m.end(), meant if token[0].islower() or not token[0].isalpha() else meant[:1].upper() + meant[1:] if not token.isupper() or len(token) == 1 else meant.upper()))
     for m in NUMBER.finditer(whole):
         low = m[0].lower()
-        if low in lexicon.words and len(low) > 2 and not low[:2].isdigit() or re.fullmatch(r"\d+[gsl]", m[0]) and False:
+        if low in lexicon.words and low[0].isalpha():
             continue
         fixes.append((m.start(), m.end(), m[0].translate(str.maketrans("OolISsBbZzgq", "001155862299"))))
     for a, b, meant in fixes:
@@ -387,10 +400,24 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
 
 def _repaired(lexicon: Lexicon, texts_too: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fine: set[str] = set()  # what stands between blanks and needs no repair
+
+        def sound(text: str) -> bool:
+            nonlocal fine
+            if is_wrapped(text):
+                return False
+            for chunk in set(text.split()) - fine:
+                if lexicon.doubts(chunk):
+                    return False
+                if len(fine) > 1_000_000:
+                    fine = set()
+                fine.add(chunk)
+            return True
+
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for name, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                r = repair(text, lexicon)
+                r = Repaired(text, []) if sound(text) else repair(text, lexicon)
                 for line, kind in r.damage:
                     for col, x in zip(cols, (name, key, line, kind), strict=True):
                         col.append(x)
