@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import leakage, lookalikes, mapping, nearcopies, scans, sentences, splitting
-from textlake.sources.tables import table
+from textlake.llm import leakage, lookalikes, mapping, mixture, nearcopies, scans, sentences, splitting
+from textlake.sources.tables import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +102,22 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("longest_run").alias("longest_run"), F.max("best").alias("best"))
 
 
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their tokens, counted once."""
+    return cut(mixture.with_tokens(table(spark, d, "documents")))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used in the mix of all sources."""
+    counted = _counted(spark, d)
+    return mixture.mix(counted, mixture.plan(counted, table(spark, d, "source_targets")))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixture.report(_counted(spark, d), table(spark, d, "source_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that read the same but are stored with other characters."""
     return lookalikes.same_look(table(spark, d, "documents"))
@@ -114,7 +130,7 @@ def p8_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p8_found, p8_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
