@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from textlake.plans import table_queries, text_queries  # noqa: F401
+from textlake.plans.base import QUERIES, SQL, Query
 
 FLAGSHIP = "r2_exact_path"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     """Query by name; each takes (spark, directory of tables)."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by the query's name."""
-    return {}
+    return dict(SQL)
