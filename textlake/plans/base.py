@@ -49,7 +49,7 @@ STOP = "what is the of for a an and or but in on at to from with by are".split()
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 
 ASKED = Literal("asked", "query_id bigint, name string, section string", [
-    (1, "velmotrazine", "therapeutic indications"), (2, "VELMOTRAZINE", "indications for therapy"), (3, "Joxjeondine", None), (4, "velmotrazine", "storage"), (5, "no such name", "contraindications"), (6, "joxjeondine", "use in children"),
+    (1, "velmotrazine", "therapeutic indications"), (2, "VELMOTRAZINE", "indications for therapy"), (3, "Joxjeondine", None), (4, "velmotrazine", "storage"), (5, "no such name", "contraindications"), (6, "joxjeondine", "use in children"), (7, "velmotrazine", None),
 ])
 QUESTIONS = Literal("questions", "query_id bigint, text string", [
     (1, "What is the half-life of Velmotrazine?"), (2, "what's  the usual dose in children ?!"), (3, "Do not combine with alcohol"), (4, "Which patients need careful observation of the liver"), (5, "is it"), (6, "list all interactions with other medicines"), (7, "side effects during pregnancy"),
