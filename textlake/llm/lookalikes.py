@@ -47,7 +47,7 @@ def plain(c: str) -> str:
     parts = unicodedata.decomposition(c)
     if parts.startswith(WIDTHS) or "ﬀ" <= c <= "ﬆ":
         c = unicodedata.normalize("NFKC", c)
-    return "".join(LIKE.get(x, x) for x in c)
+    return unicodedata.normalize("NFC", "".join(LIKE.get(x, x) for x in unicodedata.normalize("NFD", c)))
 
 
 def skeleton(text: str) -> str:
@@ -57,7 +57,7 @@ def skeleton(text: str) -> str:
     composed = unicodedata.normalize("NFC", text)
     shown = unicodedata.normalize("NFC", "".join(map(plain, composed)))
     # What was composed only now, as of a base and an accent with something invisible between, may look alike again.
-    return "".join(LIKE.get(x, x) for x in shown)
+    return unicodedata.normalize("NFC", "".join(map(plain, shown)))
 
 
 @cache
@@ -68,13 +68,10 @@ def _script(c: str) -> str:
 
 def from_table(token: str) -> str:
     """The form a token takes without a vocabulary: its skeleton, in the script of the letters that have no double."""
-    s = skeleton(token)
+    s = unicodedata.normalize("NFD", skeleton(token))
     scripts = {_script(c) for c in s if c not in BACK_CYRILLIC and c not in BACK_GREEK} - {""}
-    if scripts == {"CYRILLIC"}:
-        return unicodedata.normalize("NFC", "".join(BACK_CYRILLIC.get(c, c) for c in s))
-    if scripts == {"GREEK"}:
-        return unicodedata.normalize("NFC", "".join(BACK_GREEK.get(c, c) for c in s))
-    return s
+    back = BACK_CYRILLIC if scripts == {"CYRILLIC"} else BACK_GREEK if scripts == {"GREEK"} else {}
+    return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in s))
 
 
 class Node:
@@ -187,10 +184,17 @@ def canonical(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return beyond.select("doc_id", "canonical", *keep).unionByName(rest)
 
 
+@cache
+def _double(c: str) -> bool:
+    """Whether a letter, accents aside, has a double in another script."""
+    base = unicodedata.normalize("NFD", c)[:1]
+    return base in LIKE and base not in SIGNS
+
+
 def separated(text: str) -> str:
     """`text` composed, and with all that doesn't depend on a word's script in its one form, ready to be cut at tokens."""
     composed = unicodedata.normalize("NFC", text)
-    return unicodedata.normalize("NFC", "".join(c if c in LIKE and c not in SIGNS else plain(c) for c in composed))
+    return unicodedata.normalize("NFC", "".join(c if _double(c) else plain(c) for c in composed))
 
 
 def same_look(docs: DataFrame, expand: int = 100) -> DataFrame:

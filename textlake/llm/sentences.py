@@ -156,24 +156,33 @@ class Model:
         self.stands: Counter = Counter()
         self.weights: dict[str, float] = {}
 
-    def ratio(self, part: Counter, whole: Counter, key: str) -> str:
-        """How often a key does what it is asked for, in five steps; unknown for rare keys."""
-        n = part[key] + whole[key]
+    def ratio(self, part: Counter, whole: Counter, key: str, own_part: int = 0, own_whole: int = 0) -> str:
+        """How often a key does what it is asked for, in five steps; unknown for rare keys.
+
+        own_part and own_whole are the counts that a training row has brought in itself: they don't speak for it.
+        """
+        p, w = max(0, part[key] - own_part), max(0, whole[key] - own_whole)
+        n = p + w
         if n < 4:
             return "?"
-        r = part[key] / n
-        return "0" if not part[key] else "1" if r < 0.03 else "2" if r < 0.12 else "3" if r < 0.3 else "4"
+        r = p / n
+        return "0" if not p else "1" if r < 0.03 else "2" if r < 0.12 else "3" if r < 0.3 else "4"
+
+    def unknown(self, text: str, c: Candidate) -> list[str]:
+        """What the model would see if it had met none of the words before: in training, for rare words to come."""
+        bare = Model()
+        return bare.features(text, c)
 
-    def features(self, text: str, c: Candidate) -> list[str]:
-        """What the model sees of a candidate."""
+    def features(self, text: str, c: Candidate, seam: int = 0, inner: int = 0) -> list[str]:
+        """What the model sees of a candidate; in training, `seam` or `inner` is 1 for what was counted because of it."""
         end, nxt, mark, one, two, key, closing = c
         last, pair = _last(one), f"{_last(two)} {_last(one)}"
         shape = _shape(key, text, nxt)
-        begins, ends, both = self.ratio(self.begins, self.follows, key), self.ratio(self.ends, self.stands, last), self.ratio(self.ends, self.stands, pair)
+        begins, ends, both = self.ratio(self.begins, self.follows, key, seam, inner), self.ratio(self.ends, self.stands, last, seam, inner), self.ratio(self.ends, self.stands, pair, seam, inner)
         size = "0" if not one else "num" if one[-1].isdigit() else f"{min(len(one), 5)}{'A' if one[0].isupper() else 'a'}{'.' if '.' in one else ''}"
         return [
             "bias", f"mark {mark}", f"mark {mark} {closing} {shape}", f"shape {shape}", f"shape {shape} ends {ends}", f"begins {begins}", f"ends {ends}", f"pair {both}",
-            f"last {last}", f"two {pair}", f"key {key if self.begins[key] + self.follows[key] >= 4 else shape}", f"size {size}", f"size {size} {shape}", f"begins {begins} ends {ends} pair {both}", f"closing {closing} begins {begins}",
+            f"last {last}", f"two {pair}", f"key {key if self.begins[key] + self.follows[key] - seam - inner >= 4 else shape}", f"size {size}", f"size {size} {shape}", f"begins {begins} ends {ends} pair {both}", f"closing {closing} begins {begins}",
             f"line {chr(10) in text[end:nxt]}",
         ]
 
@@ -207,9 +216,11 @@ def fit(texts: list[str]) -> Model:
             never = any(model.stands[x] >= SEEN and not model.ends[x] for x in (last, pair)) and not closing
             odd = model.follows[key] >= SEEN and not model.begins[key]
             if t[nxt].islower() or t[nxt] in ",;:)" or mark in ". " and never or odd:
-                rows.append((model.features(t, c), 0, 1.0))
+                rows.append((model.features(t, c, inner=1), 0, 1.0))
+                if t[nxt].islower() or t[nxt] in ",;:)":
+                    rows.append((model.unknown(t, c), 0, 0.2))
             elif model.begins[key] >= 2 and (mark not in ". " or model.ends[last] >= 2 or len(last) > 4 and last.isalpha()):
-                rows.append((model.features(t, c), 1, 1.0))
+                rows.append((model.features(t, c, inner=1), 1, 1.0))
     by_script = defaultdict(list)
     for t, _ in seen:
         by_script[(HAS_THAI.search(t) is not None, ord(t[0]) >> 8, t[-1] in WIDE)].append(t)
@@ -222,7 +233,7 @@ def fit(texts: list[str]) -> Model:
             joined = tail + glue + head
             for c in candidates(joined):
                 if c[1] == len(tail) + len(glue):
-                    rows.append((model.features(joined, c), 1, 0.5))
+                    rows += [(model.features(joined, c, seam=1), 1, 0.5), (model.unknown(joined, c), 1, 0.1)]
     for word in " ".join(GOES_ON.values()).split():
         for nxt, w in (("Xenor", 3.0), ("12", 3.0), ("mit", 1.0)):
             t = f"Abc {word}. {nxt}"

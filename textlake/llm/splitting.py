@@ -138,7 +138,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, keep_whole: bool = Fal
     Other columns of either table are ignored.
     """
     rows = with_limits(chunks, limits)
-    long = F.length("text") > F.greatest(F.col("max_chars"), F.lit(1))
+    long = F.col("max_chars").isNotNull() & (F.length("text") > F.greatest(F.col("max_chars"), F.lit(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
