@@ -175,6 +175,22 @@ def test_near_pairs_edges(spark, monkeypatch):
     assert nearcopies.near_pairs(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("edges", [[], [("a", "a")], [(f"{i:03}", f"{i + 1:03}") for i in range(60)], [("hub", f"n{i}") for i in range(50)] + [("x", "y")], [("a", None), ("b", "c")]])
+def test_components(spark, edges):
+    got = {r.key: r.group for r in nearcopies.components(spark.createDataFrame(edges, "key_a string, key_b string")).collect()}
+    own = {k: k for e in edges if None not in e for k in e}
+    for _ in own:
+        for a, b in (e for e in edges if None not in e):
+            own[a] = own[b] = min(own[a], own[b])
+    assert got == own
+
+
+def test_groups_hold_every_row(spark):
+    rows = spark.createDataFrame([("a", "t"), ("b", None), ("c", "x"), ("a", "t")], "id string, text string")
+    pairs = spark.createDataFrame([("a", "c")], "key_a string, key_b string")
+    assert {tuple(r) for r in nearcopies.near_groups(rows, pairs).collect()} == {("a", "a", 1), ("c", "a", 1), ("b", "b", 0)}
+
+
 def test_crowded_regions_go_deeper(monkeypatch):
     import numpy as np
 

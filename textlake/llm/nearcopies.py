@@ -260,3 +260,38 @@ def near_pairs(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float
     star = members.where((F.col("copies") > EXPAND) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     every = between.unionByName(within).unionByName(star)
     return every.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"), "similarity")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(key, group): for every key of `pairs` (key_a, key_b) the least key it is linked to, directly or over others.
+
+    Large-star and small-star steps in turn: each key's links are moved to the least key it sees, until nothing moves.
+    Minima are made partly before the shuffle, links are joined back by key, and each step is written to the shared
+    folder; links and labels never leave the executors. Null keys are left out, a pair of equal keys is a group of one.
+    """
+    edges = cut(pairs.where("key_a is not null and key_b is not null").select(F.greatest("key_a", "key_b").alias("u"), F.least("key_a", "key_b").alias("v")).distinct())
+    keys = edges.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if now == before:
+            break
+        before = now
+    return keys.join(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "key"), "key", "left").select("key", F.coalesce("m", "key").alias("group"))
+
+
+def near_groups(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, group, links): one row for every distinct id of `rows`, also those without a partner.
+
+    pairs: what near_pairs made of `rows`. group is the least id of those that links lead to, links the number of
+    pairs of the id; ids without a pair are their own group with no links.
+    """
+    ends = pairs.select(F.explode(F.array("key_a", "key_b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    ids = rows.where("id is not null").select(F.col("id").cast("string").alias("id")).distinct()
+    named = components(pairs).withColumnRenamed("key", "id")
+    return ids.join(ends, "id", "left").join(named, "id", "left").select("id", F.coalesce("group", "id").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

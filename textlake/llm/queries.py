@@ -59,6 +59,12 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
     return stored.unionByName(fresh)
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with its group of near-duplicates and its number of links."""
+    chunks = table(spark, d, "chunks").select(F.col("chunk_id").cast("string").alias("id"), F.col("chunk_text").alias("text"))
+    return nearcopies.near_groups(chunks, cut(nearcopies.near_pairs(chunks, "word", 3, 0.7, 3)))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The sentence units of all spans."""
     spans = _spans(spark, d)
@@ -130,7 +136,7 @@ def p8_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_groups, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
