@@ -28,7 +28,7 @@ KNOWN, TIMES = 5, 10
 #: Share of a word's places inside sentences where a name has a capital letter.
 NAME = 0.3
 #: Words that the lexicon holds at most, the most frequent first (about 2 kB each with the index), and pairs of words.
-WORDS, PAIRS = 100_000, 500_000
+WORDS, PAIRS = 50_000, 500_000
 
 TOKEN = re.compile(r"[^\W_]+")
 CAPITAL = re.compile(r"[a-zß-ÿ0-9,%)] ([A-ZÀ-Ý][^\W_]*)")
