@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlake.sources.tables import cut
+
 # Letters of other scripts and the Latin letter each looks like, in two rows.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеоѕіјрсухһԁԛԝҮ"
 AS_LATIN = "ABESIJKMHOPCTYXaeosijpcyxhdqwY"
@@ -204,7 +206,7 @@ def same_look(docs: DataFrame, expand: int = 100) -> DataFrame:
     `expand` documents hold is linked through its least id only. Nulls and copies alone give no pair.
     """
     whole = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.md5("text").alias("exact"))
-    keyed = canonical(whole, ["exact"]).select("doc_id", F.md5("canonical").alias("form"), "exact")
+    keyed = cut(canonical(whole, ["exact"]).select("doc_id", F.md5("canonical").alias("form"), "exact"))
     texts = keyed.groupBy("form", "exact").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("n"))
     several = texts.groupBy("form").agg(F.count("*").alias("texts")).where("texts > 1").select("form")
     twin = texts.join(several, "form", "left_semi")
