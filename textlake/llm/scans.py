@@ -300,7 +300,8 @@ def is_furniture(line: str, lexicon: Lexicon) -> bool:
     s = line.strip()
     if not s or not lexicon.lines or s[0].islower() or len(s) > 120:
         return False
-    return math.fsum(lexicon.lines.get(f, 0.0) for f in line_features(line, lexicon)) > 3.0
+    # The short last line of a paragraph looks a little like a header; only names bring a full stop into one.
+    return math.fsum(lexicon.lines.get(f, 0.0) for f in line_features(line, lexicon)) > (8.0 if s[-1] in ".!?" else 3.0)
 
 
 @dataclass
