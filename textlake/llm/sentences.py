@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 #: Texts on which the model is fitted at most: the first of all distinct ones by a hash.
 TRAINED_ON = 30_000
-#: Times a word must have stood before a mark (after one) to be sure that it never ends (begins) a text.
-SEEN = 12
+#: Times a word must have stood before a mark to be sure that it never ends a text, and after one to be sure that it
+#: never begins one: a name may well begin a sentence, but seldom begins a text.
+SEEN, SEEN_AFTER = 12, 25
 #: Steps of the fit, and the weight that pulls the features' weights to 0.
 STEPS, PULL = 150, 2e-4
 
@@ -31,6 +32,8 @@ GOES_ON = {
     "measures": "approx max min ca env aprox resp incl excl ok прибл",
     "phrases": "e.g i.e z.b d.h u.a p.ex p.ej т.е т.ч т.д",
 }
+# What goes on after a quotation in Japanese.
+QUOTATIVE = ("と記載", "と言う", "と書く", "という", "って")
 TERMINAL = ".!?…।॥؟۔。！？｡"
 WIDE = "。！？｡"
 CLOSERS = "\"'”’“»›」』）)]】》"
@@ -163,7 +166,7 @@ class Model:
         """
         p, w = max(0, part[key] - own_part), max(0, whole[key] - own_whole)
         n = p + w
-        if n < 4:
+        if n < 4 or not p and n < (SEEN_AFTER if part is self.begins else SEEN):
             return "?"
         r = p / n
         return "0" if not p else "1" if r < 0.03 else "2" if r < 0.12 else "3" if r < 0.3 else "4"
@@ -214,7 +217,7 @@ def fit(texts: list[str]) -> Model:
             end, nxt, mark, one, two, key, closing = c
             last, pair = _last(one), f"{_last(two)} {_last(one)}"
             never = any(model.stands[x] >= SEEN and not model.ends[x] for x in (last, pair)) and not closing
-            odd = model.follows[key] >= SEEN and not model.begins[key]
+            odd = model.follows[key] >= SEEN_AFTER and not model.begins[key]
             if t[nxt].islower() or t[nxt] in ",;:)" or mark in ". " and never or odd:
                 rows.append((model.features(t, c, inner=1), 0, 1.0))
                 if t[nxt].islower() or t[nxt] in ",;:)":
@@ -235,10 +238,13 @@ def fit(texts: list[str]) -> Model:
                 if c[1] == len(tail) + len(glue):
                     rows += [(model.features(joined, c, seam=1), 1, 0.5), (model.unknown(joined, c), 1, 0.1)]
     for word in " ".join(GOES_ON.values()).split():
-        for nxt, w in (("Xenor", 3.0), ("12", 3.0), ("mit", 1.0)):
-            t = f"Abc {word}. {nxt}"
-            for c in candidates(t):
-                rows.append((model.features(t, c), 0, w))
+        for before in ("", "Ab ", "xyz 12 mg "):
+            for nxt, w in (("Xenor", 2.0), ("12", 2.0), ("mit", 0.5)):
+                t = f"{before}{word}. {nxt}"
+                rows += [(model.features(t, c), 0, w) for c in candidates(t)]
+    for follows in QUOTATIVE:
+        for t in (f"「Ab。」{follows}", f"12「ab？」{follows}"):
+            rows += [(model.features(t, c), 0, 2.0) for c in candidates(t)]
     model.weights = _fitted(rows)
     return model
 
