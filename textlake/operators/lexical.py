@@ -29,11 +29,13 @@ def rank(terms: DataFrame, questions: DataFrame, rows: DataFrame, key: str, n: i
     all rows. Question words are few, and broadcast if they are.
     """
     sizes = rows.agg(F.count("*").alias("n_rows"), F.avg(F.size(words(F.col("_text")))).alias("mean"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
     asked = questions.select("query_id", *([scope] if scope else []), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    # Only words that are asked for: the optimizer takes this filter below the counting of an index made on the fly.
+    terms = terms.join(small(asked.select("term").distinct()), "term", "left_semi")
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
     weight = F.log1p((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     known = asked.join(df, "term").join(F.broadcast(sizes))
-    met = terms.join(small(known), ["term", *([scope] if scope else [])]).groupBy("query_id", key).agg(F.count("*").alias("found"), F.round(F.sum(part), 6).alias("score"))
-    return first_per(met.join(small(needed), "query_id").where("found = needed"), ["query_id"], [F.desc("score"), key], n, "rank").select("query_id", key, "score", "rank")
+    met = terms.join(known, ["term", *([scope] if scope else [])]).groupBy("query_id", key).agg(F.count("*").alias("found"), F.round(F.sum(part), 6).alias("score"))
+    return first_per(met.join(needed, "query_id").where("found = needed"), ["query_id"], [F.desc("score"), key], n, "rank").select("query_id", key, "score", "rank")
