@@ -21,6 +21,8 @@ LEVELS = [
 ]
 #: Characters that one step of the last resort, cutting inside an unbroken run, takes at most.
 RUN = 64
+#: Long texts that a task holds as Python strings at once, with their pieces.
+ROWS = 256
 
 SCHEMA = "chunk_id bigint, piece_no int, char_start int, char_end int, chunk_text string"
 
@@ -141,7 +143,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, keep_whole: bool = Fal
     long = F.col("max_chars").isNotNull() & (F.length("text") > F.greatest(F.col("max_chars"), F.lit(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             cols: list[list] = [[], [], [], [], []]
             for key, text, limit, overlap in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for no, (a, b) in enumerate(pieces(text, limit, overlap)):
