@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,25 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 50_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, once for each application: they needn't have it installed."""
+    package = Path(__file__).resolve().parents[1]
+    if spark.sparkContext.applicationId in _SHIPPED or not package.is_dir():
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    path = os.path.join(tempfile.mkdtemp(), "textlake.zip")  # the driver serves it from there
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table `name` of `directory`."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
