@@ -311,6 +311,32 @@ def test_hamming_blocks_miss_nothing_within_the_radius():
     assert all((i, i) in found for i in range(len(near)))
 
 
+def test_leakage_finds_all_edited_wording(spark):
+    """Items with every eighth word changed, one word put in or one left out, against brute force over all windows."""
+    import numpy as np
+
+    r, texts = random.Random(6), [" ".join(random.Random(i).choices([f"w{k}" for k in range(400)], k=40)) for i in range(30)]
+    edited = []
+    for t in texts:
+        w = t.split()
+        at = r.randrange(8)
+        edited.append(" ".join("new" if i % 8 == at else x for i, x in enumerate(w)))
+        edited.append(" ".join([*w[3:9], "new", *w[9:15]]))
+        edited.append(" ".join([*w[3:10], *w[11:17]]))
+    docs = spark.createDataFrame(list(enumerate(edited)), "doc_id bigint, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    windows = lambda t: [np.array([leakage._hash(x) for x in t.split()[i : i + 13]], np.uint64) for i in range(len(t.split()) - 12)]
+    own, others = [windows(t) for t in texts], [windows(t) for t in edited]
+    want = {}
+    for d, ws in enumerate(others):
+        for i, vs in enumerate(own):
+            hits = {p: s for p, a in enumerate(ws) if (s := max(leakage.similarity(a, b) for b in vs)) >= 8 / 14}
+            if hits:
+                want[d, i] = (len(hits), pytest.approx(max(hits.values())))
+    got = {(x.doc_id, x.item_id): (x.windows, x.best) for x in leakage.leaked(docs, items).collect()}
+    assert got == want and len({d for d, _ in want}) == len(edited)
+
+
 # --- 7 ---
 
 
