@@ -408,6 +408,16 @@ def test_same_look_pairs(spark):
     assert lookalikes.same_look(docs.where("false")).count() == 0
 
 
+def test_all_copies_of_a_hot_text_are_paired(spark, monkeypatch):
+    rows = [(i, "Dose") for i in range(150)] + [(1000, "Dоse"), (1001, "Dоse"), (-5, "Dо​se")]
+    want = {(min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(rows, 2) if x != y}
+    docs = spark.createDataFrame(rows + [(i, "copy") for i in range(2000, 2150)], "doc_id bigint, text string")
+    assert {tuple(r) for r in lookalikes.same_look(docs).collect()} == want
+    monkeypatch.setattr(lookalikes, "SALTED", 10, raising=False)
+    got = [tuple(r) for r in lookalikes.same_look(docs).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_look_alike_pairs_equal_brute_force(spark):
     docs = table(spark, f"{DATA}/sf0.01", "documents").where("text is not null").select("doc_id", "text").collect()
     by = collections.defaultdict(list)

@@ -25,6 +25,8 @@ SIGNS = {"‑": "-", "‐": "-", "μ": "µ", ";": ";", "·": "·"}
 #: frequent first; 100 bytes each). Tokens without a spelling there take the table's form, in which the same tokens
 #: are equal: neither number has a say in which texts compare equal.
 SPELLED_IN, SPELLINGS = 5, 50_000
+#: Documents of one form whose pairs one task makes with all documents of the form.
+SALTED = 1000
 
 LIKE = dict(zip(CYRILLIC + GREEK, AS_LATIN + AS_LATIN_TOO, strict=True)) | SIGNS
 BACK_CYRILLIC = {b: a for a, b in zip(CYRILLIC, AS_LATIN, strict=True) if a not in "ҮѕіјЅІЈһԁԛԝ"}
@@ -199,18 +201,16 @@ def separated(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(c if _double(c) else plain(c) for c in composed))
 
 
-def same_look(docs: DataFrame, expand: int = 100) -> DataFrame:
-    """(doc_id_a, doc_id_b): documents whose texts differ in code points but have one canonical form.
+def same_look(docs: DataFrame) -> DataFrame:
+    """(doc_id_a, doc_id_b): all pairs of documents whose texts differ in code points but have one canonical form.
 
-    Texts meet by a 128-bit hash of the canonical form, each distinct text once with its ids; a text that more than
-    `expand` documents hold is linked through its least id only. Nulls and copies alone give no pair.
+    Texts meet by a 128-bit hash of the canonical form. Of a form that more than SALTED documents hold, one side goes to
+    several tasks by a salt and the other side to all of them. Nulls and copies alone give no pair.
     """
     whole = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.md5("text").alias("exact"))
     keyed = cut(canonical(whole, ["exact"]).select("doc_id", F.md5("canonical").alias("form"), "exact"))
-    texts = keyed.groupBy("form", "exact").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("n"))
-    several = texts.groupBy("form").agg(F.count("*").alias("texts")).where("texts > 1").select("form")
-    twin = texts.join(several, "form", "left_semi")
-    ids = keyed.join(twin.where(F.col("n").between(2, expand)), ["form", "exact"]).select("form", "exact", "doc_id").distinct()
-    every = ids.unionByName(twin.where((F.col("n") == 1) | (F.col("n") > expand)).select("form", "exact", F.col("least").alias("doc_id")))
-    a, b = every.withColumnsRenamed({"doc_id": "a", "exact": "x"}), every.withColumnsRenamed({"doc_id": "b", "exact": "y"})
-    return a.join(b, "form").where("a < b and x != y").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    several = keyed.groupBy("form").agg(F.count("*").alias("n"), F.min("exact").alias("low"), F.max("exact").alias("high")).where("low < high")
+    every = keyed.join(several.select("form", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")), "form").distinct()
+    a = every.select("form", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("exact").alias("x"))
+    b = every.select("form", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("exact").alias("y"))
+    return a.join(b, ["form", "salt"]).where("a < b and x != y").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
