@@ -191,6 +191,24 @@ def test_groups_hold_every_row(spark):
     assert {tuple(r) for r in nearcopies.near_groups(rows, pairs).collect()} == {("a", "a", 1), ("c", "a", 1), ("b", "b", 0)}
 
 
+def test_links_count_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "EXPAND", 3)
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = {f"a{i}": base for i in range(6)} | {f"b{i}": base + " more" for i in range(5)} | {"c": "Two " + base, "d": "else " * 9, "e": None, "f": "one"}
+    df = spark.createDataFrame([*texts.items(), ("a0", base)], "id string, text string")
+    pairs = _brute({k: t for k, t in texts.items() if t}, words3, 0.8)
+    links = collections.Counter(x for p in pairs for x in p)
+    got = {r.id: (r.group, r.links) for r in nearcopies.near_links(df, "word", 3).collect()}
+    assert got == {k: ("a0" if k[0] in "abc" else k, links[k]) for k in texts}
+
+
+def test_groups_of_chunks_and_names(spark):
+    groups = queries.p3_groups(spark, SMALL).collect()
+    ends = collections.Counter((r.field, x) for r in queries.p3_found(spark, SMALL).collect() for x in (r.key_a, r.key_b))
+    assert {(r.field, r.id): r.links for r in groups if r.links} == ends
+    assert {r.field for r in groups} == {"chunk_text", "drug_name"}
+
+
 def test_crowded_regions_go_deeper(monkeypatch):
     import numpy as np
 

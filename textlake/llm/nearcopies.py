@@ -231,16 +231,8 @@ def _verify(kind: str, n: int) -> Callable:
     return run
 
 
-def near_pairs(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float = 0.8, shallow: int = 3) -> DataFrame:
-    """(key_a, key_b, similarity): pairs of rows (id, text), key_a < key_b, with Jaccard similarity >= threshold.
-
-    `rows` has a string `id` and a `text`; other columns are ignored. `kind` and `n` are those of the shingles; ids
-    compare by code point. A pair at the threshold is missed by all trees with a probability of (1 - threshold^shallow)^TREES;
-    pairs that come out are verified exactly. Rows with null id or text, or without a shingle, are in no pair. Copies,
-    texts with the same words in the same order, are one class: it goes through the trees once, and comes out as all
-    its pairs up to EXPAND copies, beyond as pairs with its least id; links between different classes are given
-    likewise for all copies or for the least ids. Repeated rows of one id count once. An empty table gives no pairs.
-    """
+def _classes(rows: DataFrame, kind: str, n: int, threshold: float, shallow: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, similarity) of classes, each by its least id; (least, id, copies) of the classes of several ids."""
     rows = rows.where("id is not null and text is not null").select(F.col("id").cast("string").alias("id"), "text")
     signed = cut(sign(rows, kind, n))
     classes = signed.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
@@ -251,7 +243,20 @@ def near_pairs(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = rows.join(small(wanted, 500_000), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sides = found.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    sure = sides.mapInArrow(_verify(kind, n), "a string, b string, similarity double").where(F.col("similarity") >= threshold)
+    return sides.mapInArrow(_verify(kind, n), "a string, b string, similarity double").where(F.col("similarity") >= threshold), members
+
+
+def near_pairs(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float = 0.8, shallow: int = 3) -> DataFrame:
+    """(key_a, key_b, similarity): pairs of rows (id, text), key_a < key_b, with Jaccard similarity >= threshold.
+
+    `rows` has a string `id` and a `text`; other columns are ignored. `kind` and `n` are those of the shingles; ids
+    compare by code point. A pair at the threshold is missed by all trees with a probability of (1 - threshold^shallow)^TREES;
+    pairs that come out are verified exactly. Rows with null id or text, or without a shingle, are in no pair. Copies,
+    texts with the same words in the same order, are one class: it goes through the trees once, and comes out as all
+    its pairs up to EXPAND copies, beyond as pairs with its least id; links between different classes are given
+    likewise for all copies or for the least ids. Repeated rows of one id count once. An empty table gives no pairs.
+    """
+    sure, members = _classes(rows, kind, n, threshold, shallow)
     copies = members.where(F.col("copies") <= EXPAND).select("least", "id")
     wide = sure.join(copies.withColumnsRenamed({"least": "a", "id": "a2"}), "a", "left").join(copies.withColumnsRenamed({"least": "b", "id": "b2"}), "b", "left")
     between = wide.select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "similarity")
@@ -295,3 +300,21 @@ def near_groups(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = rows.where("id is not null").select(F.col("id").cast("string").alias("id")).distinct()
     named = components(pairs).withColumnRenamed("key", "id")
     return ids.join(ends, "id", "left").join(named, "id", "left").select("id", F.coalesce("group", "id").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+
+def near_links(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float = 0.8, shallow: int = 3) -> DataFrame:
+    """(id, group, links): near_groups over all pairs of `rows`, none of which is made: links come from the classes' sizes.
+
+    An id is linked to all other ids of its class and to all ids of every class that its own is linked to, however large
+    they are. The parameters are those of near_pairs.
+    """
+    sure, members = _classes(rows, kind, n, threshold, shallow)
+    sure = cut(sure)
+    sizes = members.groupBy("least").agg(F.count_distinct("id").alias("size"))
+    ends = sure.select(F.col("a").alias("least"), F.col("b").alias("other")).unionByName(sure.select(F.col("b").alias("least"), F.col("a").alias("other")))
+    far = ends.join(sizes.withColumnRenamed("least", "other"), "other", "left").groupBy("least").agg(F.sum(F.coalesce("size", F.lit(1))).alias("far"))
+    named = components(sure.select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))).withColumnRenamed("key", "least")
+    ids = rows.where("id is not null").select(F.col("id").cast("string").alias("id")).distinct()
+    own = ids.join(members.select("id", "least").distinct(), "id", "left").withColumn("least", F.coalesce("least", "id"))
+    counted = own.join(sizes, "least", "left").join(far, "least", "left").join(named, "least", "left")
+    links = F.coalesce("size", F.lit(1)) - 1 + F.coalesce("far", F.lit(0))
+    return counted.select("id", F.coalesce("group", "least").alias("group"), links.alias("links"))

@@ -40,15 +40,16 @@ def p2_texts(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(*_scanned(spark, d))
 
 
-def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _near(spark: SparkSession, d: str, operator: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """`operator` over the chunks, and over the spellings of drug names."""
     chunks = table(spark, d, "chunks").select(F.col("chunk_id").cast("string").alias("id"), F.col("chunk_text").alias("text"))
     names = table(spark, d, "monograph_sections").select(F.col("drug_name").alias("id"), F.col("drug_name").alias("text")).distinct()
-    return nearcopies.near_pairs(chunks, "word", 3, 0.7, 3), nearcopies.near_pairs(names, "letter", 3, 0.6, 2)
+    return operator(chunks, "word", 3, 0.7, 3), operator(names, "letter", 3, 0.6, 2)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near-duplicate chunks, and of spellings of drug names."""
-    chunks, names = _near(spark, d)
+    chunks, names = _near(spark, d, nearcopies.near_pairs)
     return chunks.select(F.lit("chunk_text").alias("field"), "key_a", "key_b").unionByName(names.select(F.lit("drug_name").alias("field"), "key_a", "key_b")).distinct()
 
 
@@ -60,9 +61,9 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk with its group of near-duplicates and its number of links."""
-    chunks = table(spark, d, "chunks").select(F.col("chunk_id").cast("string").alias("id"), F.col("chunk_text").alias("text"))
-    return nearcopies.near_groups(chunks, cut(nearcopies.near_pairs(chunks, "word", 3, 0.7, 3)))
+    """Every chunk and every spelling of a drug name with its group of near-duplicates and its number of links."""
+    chunks, names = _near(spark, d, nearcopies.near_links)
+    return chunks.select(F.lit("chunk_text").alias("field"), "id", "group", "links").unionByName(names.select(F.lit("drug_name").alias("field"), "id", "group", "links"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
