@@ -219,6 +219,21 @@ def test_crowded_regions_go_deeper(monkeypatch):
     assert len(pairs()) == 1 + 45 + 3
 
 
+def test_crowded_regions_lose_no_pair(spark, monkeypatch):
+    import pyarrow as pa
+
+    n = 60
+    signed = spark.createDataFrame([(f"{i:02}", f"c{i:02}", 0, 0, 0, [(7 << 48) + i]) for i in range(n)] * 2, nearcopies.SIGNED)
+    want = {(f"{a:02}", f"{b:02}") for a, b in itertools.combinations(range(n), 2)}
+    monkeypatch.setattr(nearcopies, "REGION", 8)
+    assert {tuple(r) for r in nearcopies.candidates(signed, 0.7, 3).collect()} == want
+    columns = [[0] * n, [(7 << 48) + i for i in range(n)], [-1] * n, [0] * n, [f"{i:02}" for i in range(n)], [f"c{i:02}" for i in range(n)], *[[0] * n] * 3]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list("abcdefghi"))
+    found = [p for out in nearcopies._candidates(0.7, 3)(iter([batch])) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert set(found) == want
+
+
 # --- 4 ---
 
 CASES = [

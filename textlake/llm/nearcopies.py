@@ -2,8 +2,8 @@
 
 Every text becomes a set of shingles, its set TREES x DEPTH minima under random orders of the shingles. A tree reads
 DEPTH of them as a label; rows sorted by label stand beside the rows with which they share the longest prefix. Rows
-that share at least `shallow` values are candidates where few rows do, and one value more is asked for wherever a
-region holds more than REGION rows, up to the whole label. Candidates pass a two-bit sketch of all minima, and are then
+that share at least `shallow` values are candidates, however many rows do; a region that holds far more than REGION
+rows is compared in pairs of blocks, by several tasks. Candidates pass a two-bit sketch of all minima, and are then
 verified exactly on their whole texts.
 """
 
@@ -24,7 +24,7 @@ from textlake.sources.tables import cut, small
 WORD = re.compile(r"[^\W_]+")
 #: Trees, and values of a label; together they are the minima of a signature and give the sketch of 2 bits each.
 TREES, DEPTH = 24, 4
-#: Rows of a region up to which all of them are compared; above, the region is split by one more value.
+#: Rows of a block of a crowded region; each pair of blocks is compared by itself.
 REGION = 4096
 #: Standard deviations of the sketch's estimate that a candidate may lie under the threshold (1 of 30,000 pairs at it).
 SLACK = 4.0
@@ -136,11 +136,14 @@ def _alike(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return TREES * DEPTH - np.bitwise_count(odd).sum(1, dtype=np.int32)
 
 
-def _neighbours(label: np.ndarray, shallow: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions, in blocks, of rows sorted by label that share enough of it: see the module."""
+def _neighbours(label: np.ndarray, shallow: int, deeper: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions, in blocks, of rows sorted by label that share at least `shallow` values.
+
+    deeper: wherever more than REGION rows share so many, one value more is asked for, which loses pairs; no query does.
+    """
     n = len(label)
     depth = np.full(n, shallow)
-    for d in range(shallow, DEPTH):
+    for d in range(shallow, DEPTH) if deeper else ():
         prefix = label >> np.uint64(16 * (DEPTH - d))
         edge = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
         size = np.repeat(np.diff(np.r_[edge, n]), np.diff(np.r_[edge, n]))
@@ -156,21 +159,33 @@ def _neighbours(label: np.ndarray, shallow: int) -> Iterator[tuple[np.ndarray, n
         step += 1
 
 
+def _between(side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions of two blocks, or of all rows if there is one block only."""
+    others = np.flatnonzero(side != side[0])
+    for i in np.flatnonzero(side == side[0]):
+        j = others if len(others) else np.arange(i + 1, len(side))
+        yield np.full(len(j), i), j
+
+
 def _candidates(threshold: float, shallow: int) -> Callable:
     expected = threshold + (1 - threshold) / 4
     m = TREES * DEPTH
     least = int(np.floor(m * expected - SLACK * np.sqrt(m * expected * (1 - expected))))
+    shift = np.uint64(16 * (DEPTH - shallow))
 
-    def region(tree: np.ndarray, label: np.ndarray, ids: np.ndarray, classes: np.ndarray, s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Candidates among whole regions of one tree or several, sorted by tree, label, class and id."""
-        first = np.r_[True, (tree[1:] != tree[:-1]) | (label[1:] != label[:-1]) | (classes[1:] != classes[:-1])]
-        tree, label, ids, s = tree[first], label[first], ids[first], s[first]
+    def region(tree: np.ndarray, label: np.ndarray, part: np.ndarray, side: np.ndarray, ids: np.ndarray, classes: np.ndarray, s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Candidates among whole regions, or pairs of blocks, sorted by tree, prefix, part, label, class and id."""
+        first = np.r_[True, (tree[1:] != tree[:-1]) | (part[1:] != part[:-1]) | (label[1:] != label[:-1]) | (classes[1:] != classes[:-1])]
         out = []
-        for lo, hi in _runs(tree):
-            for i, j in _neighbours(label[lo:hi], shallow):
-                good = _alike(s, i + lo, j + lo) >= least
-                if good.any():
-                    out.append((ids[(i + lo)[good]], ids[(j + lo)[good]]))
+        for crowded in (False, True):
+            own = np.flatnonzero(first & ((part >= 0) == crowded))
+            if not len(own):
+                continue
+            for at in np.split(own, np.flatnonzero((np.diff(tree[own]) != 0) | crowded & ((np.diff(part[own]) != 0) | (np.diff(label[own] >> shift) != 0))) + 1):
+                for i, j in _between(side[at]) if crowded else _neighbours(label[at], shallow, deeper=False):
+                    good = _alike(s, at[i], at[j]) >= least
+                    if good.any():
+                        out.append((ids[at[i][good]], ids[at[j][good]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +198,9 @@ def _candidates(threshold: float, shallow: int) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = np.stack([batch.column(i).to_numpy() for i in (4, 5, 6)], 1).view(np.uint64)
-            part = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), np.array(batch.column(2).to_pylist(), object), np.array(batch.column(3).to_pylist(), object), s)
-            shift = np.uint64(16 * (DEPTH - shallow))
-            same = (part[0] == part[0][-1]) & (part[1] >> shift == part[1][-1] >> shift)
+            s = np.stack([batch.column(i).to_numpy() for i in (6, 7, 8)], 1).view(np.uint64)
+            part = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.array(batch.column(4).to_pylist(), object), np.array(batch.column(5).to_pylist(), object), s)
+            same = (part[0] == part[0][-1]) & (part[2] == part[2][-1]) & (part[1] >> shift == part[1][-1] >> shift)
             end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if end:  # rows from `end` on may go on in the next batch
                 held.append(tuple(x[:end] for x in part))
@@ -199,21 +213,19 @@ def _candidates(threshold: float, shallow: int) -> Callable:
     return run
 
 
-def _runs(x: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    return list(zip(edge.tolist(), np.r_[edge[1:], len(x)].tolist(), strict=True))
-
-
 def candidates(signed: DataFrame, threshold: float, shallow: int) -> DataFrame:
     """Distinct pairs (a, b) of ids, a < b, of different classes that some tree holds for alike."""
     trees = signed.where("labels is not null").select("id", "class", "s1", "s2", "s3", F.posexplode("labels").alias("tree", "label"))
     trees = trees.withColumn("prefix", F.shiftrightunsigned("label", 16 * (DEPTH - shallow)))
-    # A prefix that a great part of all rows share goes to several tasks by its next value; such a region is beyond
-    # REGION, so that its rows are compared within the longer prefix only.
-    watched = trees.where(F.pmod(F.xxhash64("id"), F.lit(WATCHED)) == 0).groupBy("tree", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > 4 * REGION // WATCHED).select("tree", "prefix", F.lit(True).alias("hot"))
-    spread = trees.join(small(watched), ["tree", "prefix"], "left").withColumn("part", F.when(F.col("hot"), F.shiftrightunsigned("label", 16 * (DEPTH - shallow - 1))))
-    ordered = spread.repartition("tree", "prefix", "part").sortWithinPartitions("tree", F.shiftrightunsigned("label", 1), "label", "class", "id")
-    found = ordered.select("tree", "label", "id", "class", "s1", "s2", "s3").mapInArrow(_candidates(threshold, shallow), "a string, b string")
+    # A prefix that a great part of all texts share goes to several tasks as pairs of blocks of about REGION texts. The
+    # count is an estimate, over distinct classes, and decides only where pairs are compared.
+    watched = trees.where(F.pmod(F.xxhash64("class"), F.lit(WATCHED)) == 0).groupBy("tree", "prefix").agg(F.count_distinct("class").alias("n")).where(F.col("n") > 4 * REGION // WATCHED)
+    hot = watched.select("tree", "prefix", F.ceil(F.col("n") * WATCHED / REGION).cast("bigint").alias("blocks"))
+    sided = trees.join(small(hot), ["tree", "prefix"], "left").withColumn("side", F.coalesce(F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")), F.lit(0).cast("bigint")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: F.least(k, "side") * F.col("blocks") + F.greatest(k, "side"))
+    spread = sided.withColumn("part", F.explode(F.when(F.col("blocks").isNotNull(), pairs).otherwise(F.array(F.lit(-1).cast("bigint")))))
+    ordered = spread.repartition("tree", "prefix", "part").sortWithinPartitions("tree", "prefix", "part", F.shiftrightunsigned("label", 1), "label", "class", "id")
+    found = ordered.select("tree", "label", "part", "side", "id", "class", "s1", "s2", "s3").mapInArrow(_candidates(threshold, shallow), "a string, b string")
     return found.distinct()
 
 
