@@ -317,57 +317,60 @@ def test_leakage_equals_brute_force(spark):
     assert got == want
 
 
-def test_leakage_edges_and_small_changes(spark, monkeypatch):
+def test_leakage_edges(spark):
     item = " ".join(f"word{i}" for i in range(40))
-    changed = item.replace("word5 ", "other ")
-    docs = spark.createDataFrame([(1, f"Before. {item.upper()}! after", 0), (2, None, 0), (3, "", 0), (4, "x " * 100 + " ".join(item.split()[3:16]), 0), (5, " ".join(item.split()[3:15]), 0), (None, item, 0), (6, changed[:100], 0), (6, changed[:100], 0)], "doc_id bigint, text string, item_id int")
-    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, item)], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id) for r in leakage.leaked(docs, items, at_least=1.0).collect()}
-    assert got == {(1, 10), (1, 13), (4, 10), (4, 13)}
-    longest = {(r.doc_id): r.longest_run for r in leakage.leaked(docs, items, at_least=1.0).where("item_id = 10").collect()}
-    assert longest == {1: 40, 4: 13}
-    monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 1)
-    assert {(r.doc_id, r.item_id) for r in leakage.leaked(docs, items, at_least=1.0).collect()} == got
+    docs = spark.createDataFrame([(1, f"Before. {item.upper()}! after", 0), (2, None, 0), (3, "", 0), (4, "x " * 100 + " ".join(item.split()[3:16]), 0), (5, " ".join(item.split()[3:15]), 0), (None, item, 0), (6, "Say: Four short words here.", 0), (6, "Say: Four short words here.", 0)], "doc_id bigint, text string, item_id int")
+    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, item), (None, item), (14, "four short words here")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.longest_run, r.best) for r in leakage.leaked(docs, items).collect()}
+    assert got == {(1, 10): (40, 1.0), (1, 13): (40, 1.0), (4, 10): (13, 1.0), (4, 13): (13, 1.0), (6, 14): (0, 1.0)}
     assert leakage.leaked(docs, items.where("false")).count() == 0 and leakage.leaked(docs.where("false"), items).count() == 0
 
 
-def test_hamming_blocks_miss_nothing_within_the_radius():
+def test_hamming_blocks_miss_nothing_within_the_radius(spark):
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    index = leakage.ItemIndex([(1, " ".join(f"t{i}" for i in range(60)))], 13, 3)
-    near = index.prints.copy()
-    for i in range(len(near)):
-        for bit in rng.choice(64, 3, replace=False):
-            near[i] ^= np.uint64(1) << np.uint64(bit)
-    found = {(int(a), int(b)) for a, b in index.candidates(near)}
-    assert all((i, i) in found for i in range(len(near)))
+    rng, prints = np.random.default_rng(1), np.random.default_rng(2).integers(0, 1 << 63, 40).tolist()
+    own = [(26 if e else 13, i, p - (1 << 62), e) for i, p in enumerate(prints) for e in (True, False)]
+    flipped = [(n, i, p ^ sum(1 << int(b) for b in rng.choice(63, leakage.BLOCKS * ((leakage.FLIPS if e else leakage.FLIPS_EXACT) + 1) - 1, replace=False))) for n, i, p, e in own]
+    near = leakage.within_radius(spark.createDataFrame(flipped, "size int, wid bigint, print bigint"), spark.createDataFrame(own, "size int, wid bigint, print bigint, edited boolean"))
+    assert {(r.size, r.wid) for r in near.where("wid = item_wid").collect()} == {(n, i) for n, i, _, _ in own}
 
 
-def test_leakage_finds_all_edited_wording(spark):
-    """Items with every eighth word changed, one word put in or one left out, against brute force over all windows."""
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=9))
+def test_similarity_of_windows(pairs):
     import numpy as np
 
-    r, texts = random.Random(6), [" ".join(random.Random(i).choices([f"w{k}" for k in range(400)], k=40)) for i in range(30)]
-    edited = []
-    for t in texts:
-        w = t.split()
-        at = r.randrange(8)
-        edited.append(" ".join("new" if i % 8 == at else x for i, x in enumerate(w)))
-        edited.append(" ".join([*w[3:9], "new", *w[9:15]]))
-        edited.append(" ".join([*w[3:10], *w[11:17]]))
-    docs = spark.createDataFrame(list(enumerate(edited)), "doc_id bigint, text string")
-    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
-    windows = lambda t: [np.array([leakage._hash(x) for x in t.split()[i : i + 13]], np.uint64) for i in range(len(t.split()) - 12)]
-    own, others = [windows(t) for t in texts], [windows(t) for t in edited]
+    a, b = (np.array([x], np.uint64) for x in zip(*pairs, strict=True))
+    assert leakage.similarities(a, b)[0] == pytest.approx(leakage.similarity(a[0].tolist(), b[0].tolist()))
+
+
+def _edited(item: str, r: random.Random) -> str:
+    """An item with one word of ten changed, and one left out."""
+    w = item.split()
+    at = r.randrange(10)
+    out = ["new" if i % 10 == at else x for i, x in enumerate(w)]
+    del out[r.randrange(len(out))]
+    return " ".join(out)
+
+
+def test_leakage_of_edited_items_against_brute_force(spark):
+    r, texts = random.Random(6), [" ".join(random.Random(i).choices([f"w{k}" for k in range(400)], k=30 + i)) for i in range(60)]
+    docs = {i: f"before {_edited(t, r)} after" for i, t in enumerate(texts)}
+    hashed = [[leakage._hash(w) for w in t.split()] for t in texts]
     want = {}
-    for d, ws in enumerate(others):
-        for i, vs in enumerate(own):
-            hits = {p: s for p, a in enumerate(ws) if (s := max(leakage.similarity(a, b) for b in vs)) >= 8 / 14}
-            if hits:
-                want[d, i] = (len(hits), pytest.approx(max(hits.values())))
-    got = {(x.doc_id, x.item_id): (x.windows, x.best) for x in leakage.leaked(docs, items).collect()}
-    assert got == want and len({d for d, _ in want}) == len(edited)
+    for d, t in docs.items():
+        h = [leakage._hash(w) for w in t.split()]
+        for i, own in enumerate(hashed):
+            if len(set(h) & set(own)) < 0.5 * len(set(own)):
+                continue
+            for start, size, edited in leakage.item_windows(len(own)):
+                for p in range(len(h) - size + 1) if edited else ():
+                    s = leakage.similarity(own[start : start + size], h[p : p + size])
+                    if s >= leakage.ALIKE:
+                        want[d, i] = max(s, want.get((d, i), 0))
+    got = {(x.doc_id, x.item_id): x.best for x in leakage.leaked(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")).where("longest_run = 0 or best < 1").collect()}
+    assert len(want) >= 50 and len(got.keys() & want.keys()) >= 0.95 * len(want)
+    assert all(got[k] <= want[k] + 1e-9 for k in got.keys() & want.keys())
 
 
 # --- 7 ---
