@@ -292,13 +292,31 @@ def test_mapping(spark):
     assert mapping.match(values.where("false"), entries).count() == 0
 
 
-def test_mapping_in_blocks_is_the_same(spark, monkeypatch):
+def test_repairs_equal_brute_force(spark):
+    r = random.Random(5)
+    words = {"".join(r.choices("abcde", k=r.randrange(3, 22))) for _ in range(150)}
+    tokens = set(list(words)[:10])
+    for w in words:
+        for _ in range(4):
+            t = list(w)
+            for _ in range(r.randrange(1, 4)):
+                i = r.randrange(len(t)) if t else 0
+                t[i : i + r.randrange(3)] = r.choices("abcdex", k=r.randrange(3))
+            tokens.add("".join(t))
+    tokens.discard("")
+    got = {(x.token, x.word): x.alike for x in mapping.repairs(spark.createDataFrame([("k", t) for t in tokens], "kind string, token string"), spark.createDataFrame([("k", w) for w in words], "kind string, word string")).collect()}
+    want = {(t, t): 1.0 for t in tokens & words}
+    near = {(t, w): s for t in tokens - words for w in words if mapping.distance(t, w, mapping.REACH) <= mapping.reach(max(len(t), len(w))) and (s := mapping.similarity(t, w)) >= mapping.REPAIR}
+    assert got.keys() >= want.keys() | near.keys() and all(got[k] == pytest.approx(s) for k, s in (want | near).items())
+
+
+def test_mapping_is_the_same_however_rows_lie(spark):
     entries = table(spark, SMALL, "canonical_entries").where("kind = 'brand'")
     values = table(spark, SMALL, "drug_names").select(F.lit("brand").alias("kind"), F.col("brand_name").alias("value"))
-    whole = {(r.value, r.ref_id) for r in mapping.match(values, entries).collect()}
-    monkeypatch.setattr(mapping, "BLOCK_NAMES", 100)
-    parts = {(r.value, r.ref_id) for r in mapping.match(values, entries).collect()}
-    assert len(whole & parts) >= 0.98 * len(whole)
+    more = entries.unionByName(entries.withColumn("kind", F.lit("other"))).repartition(7)
+    one = {tuple(r) for r in mapping.match(values, entries).collect()}
+    assert {tuple(r) for r in mapping.match(values.unionByName(values).repartition(5), more).collect()} == one
+    assert mapping.match(spark.createDataFrame([("brand", "x" * 10_000)], "kind string, value string"), entries).first().ref_id == 0
 
 
 @pytest.mark.parametrize(("a", "b", "d"), [("", "", 0), ("abc", "abc", 0), ("abc", "acb", 1), ("abc", "ab", 1), ("abc", "xbc", 1), ("", "ab", 2)])
