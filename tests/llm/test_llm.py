@@ -48,7 +48,9 @@ def test_pieces_cover_and_overlap(text, limit, overlap):
         return
     assert got[0][0] == 0 and got[-1][1] == len(text)
     assert all(0 < b - a <= limit for a, b in got)
-    assert all(e - s == keep for (_, e), (s, _) in zip(got, got[1:], strict=False))
+    # The overlap is the one asked for, or less by accents of a letter that the overlap can't hold whole.
+    for (_, e), (s, _) in zip(got, got[1:], strict=False):
+        assert s == e - keep or e - keep < s <= e and all(splitting._joined(text, i) for i in range(e - keep, s))
     assert all(b1 < b2 for (_, b1), (_, b2) in zip(got, got[1:], strict=False))
     # No neighbours could still be merged.
     own = [0, *(e for _, e in got)]
@@ -243,6 +245,12 @@ CASES = [
     ("« Arrêtez en cas de nausées. » est imprimé sur la boîte.", ["« Arrêtez en cas de nausées. » est imprimé sur la boîte."]),
     ("半減期は14.17日でした。パッチは26℃以下で保存してください。", ["半減期は14.17日でした。", "パッチは26℃以下で保存してください。"]),
     ("能否与酒精同服？服用36个月后恶心消失。", ["能否与酒精同服？", "服用36个月后恶心消失。"]),
+    ("ይህ አንድ ነው። ይህ ሁለተኛ ነው።", ["ይህ አንድ ነው።", "ይህ ሁለተኛ ነው።"]),
+    ("Սա առաջինն է։ Սա երկրորդն է։", ["Սա առաջինն է։", "Սա երկրորդն է։"]),
+    ("ဒါက တစ်ခုပါ။ ဒါက နှစ်ခုပါ။", ["ဒါက တစ်ခုပါ။", "ဒါက နှစ်ခုပါ။"]),
+    ("នេះគឺទីមួយ។ នេះគឺទីពីរ។", ["នេះគឺទីមួយ។", "នេះគឺទីពីរ។"]),
+    ("འདི་དང་པོ་ཡིན། འདི་གཉིས་པ་ཡིན།", ["འདི་དང་པོ་ཡིན།", "འདི་གཉིས་པ་ཡིན།"]),
+    ("यह पहला है। यह दूसरा है।", ["यह पहला है।", "यह दूसरा है।"]),
     ("No end\n\nAnother one  ", ["No end", "Another one"]),
     ("   ", []),
     ("", []),
@@ -421,6 +429,31 @@ def test_mixture(spark):
     assert mixture.report(counted, targets.where("false")).count() == 0
 
 
+def test_every_source_meets_its_plan_but_for_one_document(spark):
+    r = random.Random(7)
+    sizes = {"hot": 4000, "mid": 700, "low": 40, "one": 1, "none": 0}
+    rows = [(i, s, r.choice([1, 5, 400])) for s, n in sizes.items() for i in range(n)]
+    counted = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("hot", 0.5, 2), ("mid", 0.3, 3), ("low", 0.15, 4), ("one", 0.05, 1), ("none", 0.0, 3)], "source string, target_share double, max_repeats int")
+    planned = {x.source: x for x in mixture.plan(counted, targets).collect()}
+    held = collections.Counter()
+    for _, s, t in rows:
+        held[s] += t
+    want = mixture.water_fill(dict(held), {s: x.target_share for s, x in planned.items()}, {s: x.max_repeats for s, x in planned.items()})
+    assert all(planned[s].repeats == pytest.approx(want[s]) for s in want)
+    for x in mixture.report(counted, targets).collect():
+        assert 0 <= x.repeats * x.tokens - x.used_tokens < 400 + 1e-6
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 10), st.integers(0, 4)), min_size=1, max_size=6))
+def test_plan_is_water_filling(spark, rows):
+    counted = spark.createDataFrame([(i, str(i), r[0]) for i, r in enumerate(rows) if r[0]], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([(str(i), float(r[1]), r[2]) for i, r in enumerate(rows)], "source string, target_share double, max_repeats int")
+    want = mixture.water_fill(*({str(i): float(r[k]) for i, r in enumerate(rows)} for k in range(3)))
+    assert {x.source: pytest.approx(x.repeats) for x in mixture.plan(counted, targets).collect()} == want
+
+
 def test_tokens_of_whole_texts(spark):
     docs = spark.createDataFrame([(1, "s", "hello hello"), (2, "s", None), (3, None, ""), (4, "s", "a <|endoftext|> b")], "doc_id bigint, source string, text string")
     got = {r.doc_id: r.tokens for r in mixture.with_tokens(docs).collect()}
@@ -462,6 +495,15 @@ def test_same_look_pairs(spark):
     assert lookalikes.same_look(docs.where("false")).count() == 0
 
 
+def test_groups_of_one_look_hold_all_pairs(spark):
+    rows = [(1, "Dose"), (2, "Dоse"), (3, "Dоse"), (4, "dose"), (5, None), (None, "Dose"), (7, ""), (1, "Dose"), (8, "​"), (9, "dose")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, form int")
+    assert {tuple(r) for r in lookalikes.look_groups(docs).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 2), (4, 4, 4), (7, 7, 7), (8, 7, 8), (9, 4, 4)}
+    by = {r.doc_id: r for r in queries.p8_groups(spark, SMALL).collect()}
+    pairs = {(a.doc_id, b.doc_id) for a in by.values() for b in by.values() if a.doc_id < b.doc_id and a.group == b.group and a.spelling != b.spelling}
+    assert pairs == {tuple(r) for r in queries.p8_found(spark, SMALL).collect()}
+
+
 def test_all_copies_of_a_hot_text_are_paired(spark, monkeypatch):
     rows = [(i, "Dose") for i in range(150)] + [(1000, "Dоse"), (1001, "Dоse"), (-5, "Dо​se")]
     want = {(min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(rows, 2) if x != y}

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from textlake.sources.tables import cut
 
 # Letters of other scripts and the Latin letter each looks like, in two rows.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХаеоѕіјрсухһԁԛԝҮ"
-AS_LATIN = "ABESIJKMHOPCTYXaeosijpcyxhdqwY"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι"
-AS_LATIN_TOO = "ABEZHIKMNOPTYXovi"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХаеоѕіјрсухһԁԛԝҮӀѴѵԌӏ"
+AS_LATIN = "ABESIJKMHOPCTYXaeosijpcyxhdqwYIVvGl"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιρϲϳ"
+AS_LATIN_TOO = "ABEZHIKMNOPTYXovipcj"
+OTHERS = "ՕօՏսոհյզցՍԼᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴⲞⲟⲢⲣⲤⲥⲬⲭꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴɑɡᴄᴏᴠᴡᴢꜱ"
+AS_OTHERS = "OoSunhjqgULDRTiAJEWMHGZVSLCPKBOoPpCcXxBPDTGKJCZFMNLSRVHWXYAEIOUagcovwzs"
 #: Signs that look like another: hyphens without a break, the Greek mu and the micro sign, the Greek question mark.
 SIGNS = {"‑": "-", "‐": "-", "μ": "µ", ";": ";", "·": "·"}
 
@@ -28,10 +30,10 @@ SPELLED_IN, SPELLINGS = 5, 50_000
 #: Documents of one form whose pairs one task makes with all documents of the form.
 SALTED = 1000
 
-LIKE = dict(zip(CYRILLIC + GREEK, AS_LATIN + AS_LATIN_TOO, strict=True)) | SIGNS
-BACK_CYRILLIC = {b: a for a, b in zip(CYRILLIC, AS_LATIN, strict=True) if a not in "ҮѕіјЅІЈһԁԛԝ"}
-BACK_GREEK = dict(zip(AS_LATIN_TOO, GREEK, strict=True))
-WIDTHS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
+LIKE = dict(zip(CYRILLIC + GREEK + OTHERS, AS_LATIN + AS_LATIN_TOO + AS_OTHERS, strict=True)) | SIGNS
+BACK_CYRILLIC = {b: a for a, b in zip(CYRILLIC, AS_LATIN, strict=True) if a not in "ҮѕіјЅІЈһԁԛԝѴѵԌӀӏ"}
+BACK_GREEK = {b: a for a, b in zip(GREEK, AS_LATIN_TOO, strict=True) if a not in "ϲϳ"}
+WIDTHS = ("<font>", "<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 TOKEN = re.compile(r"[^\s!-/:-@\[-`{-~¡¿«»‘’“”、。，．]+")
 
 
@@ -49,7 +51,7 @@ def plain(c: str) -> str:
     if unicodedata.category(c) == "Zs" or c == "\t":
         return " "
     parts = unicodedata.decomposition(c)
-    if parts.startswith(WIDTHS) or "ﬀ" <= c <= "ﬆ":
+    if parts.startswith(WIDTHS) or "ﬀ" <= c <= "ﬆ" or "Ⅰ" <= c <= "ⅿ":
         c = unicodedata.normalize("NFKC", c)
     return unicodedata.normalize("NFC", "".join(LIKE.get(x, x) for x in unicodedata.normalize("NFD", c)))
 
@@ -214,3 +216,19 @@ def same_look(docs: DataFrame) -> DataFrame:
     a = every.select("form", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("exact").alias("x"))
     b = every.select("form", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("exact").alias("y"))
     return a.join(b, ["form", "salt"]).where("a < b and x != y").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+
+
+def look_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, group, spelling): every document with the least id of those that read the same, and of its exact copies.
+
+    Two documents read the same if they are of one group, and are stored alike if they are of one spelling, so that this
+    holds all pairs of same_look in one row a document. Minima are made partly before the shuffle. Null ids and texts are
+    left out; repeated rows come out once.
+    """
+    whole = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.md5("text").alias("exact"))
+    keyed = cut(canonical(whole, ["exact"]).select("doc_id", F.md5("canonical").alias("form"), "exact"))
+    spelled = keyed.groupBy("form", "exact").agg(F.min("doc_id").alias("spelling"), F.count("*").alias("n"))
+    forms = spelled.groupBy("form").agg(F.min("spelling").alias("group"), F.count("*").alias("spellings"), F.sum("n").alias("n"))
+    # A document alone in its form is its own group; the others are few enough to be joined.
+    several = spelled.drop("n").join(forms.where("n > 1").select("form", "group"), "form")
+    return keyed.join(several, ["form", "exact"], "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.coalesce("spelling", "doc_id").alias("spelling")).distinct()

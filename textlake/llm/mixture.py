@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.sources.tables import cut, small
+
 #: Where the vocabulary files of public tokenizers lie, and the one whose tokens are counted.
 TOKENIZERS, VOCABULARY = os.environ.get("TEXTLAKE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabularies cut text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Sources that a table of targets may have: the water-filling runs on the driver, over one row for each.
-SOURCES = 100_000
+#: Equal parts of the range of the documents' seeded hashes in which the tokens of a source are cumulated.
+PARTS = 4096
 SEED = 7
 
 
@@ -46,6 +48,7 @@ def water_fill(sizes: dict[str, float], shares: dict[str, float], caps: dict[str
     The total is what all sources together hold. A source whose share asks for more than its cap allows is clamped at
     the cap, and what it leaves is spread over the others in proportion to their shares, again and again until no
     source is above its cap; if all are, the mix is smaller. A source without size or share gets no repetition.
+    This is the rule in plain form; `plan` finds the same level by one sort, whatever the number of sources.
     """
     total = sum(sizes.values())
     open_ = {s for s in shares if shares[s] > 0 and sizes.get(s, 0) > 0 and caps.get(s, 0) > 0}
@@ -73,29 +76,49 @@ def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
     nothing of a source without target is used, and a source without documents leaves its share to the others. Null
     sources have no target. Of several rows for a source the first by share and cap holds. Null shares and caps count
     as 0. Tokens are summed over all documents, partly before the shuffle.
+
+    Sources are clamped in order of what their cap allows for a share of 1: the first that its cap doesn't clamp gives
+    the level at which all later ones stand, so that one sort of the sources (no documents) does for any number.
     """
     held = counted.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
     aims = targets.where("source is not null").groupBy("source").agg(F.max(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(0)).alias("cap"))).alias("own"))
-    rows = aims.join(held, "source", "left").select("source", F.col("own.share").alias("share"), F.col("own.cap").alias("cap"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens")).limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources have a target")
-    repeats = water_fill({r.source: r.tokens for r in rows}, {r.source: r.share for r in rows}, {r.source: r.cap for r in rows})
-    schema = "source string, target_share double, max_repeats int, documents bigint, tokens bigint, repeats double"
-    return counted.sparkSession.createDataFrame([(r.source, float(r.share), int(r.cap), r.documents, r.tokens, repeats[r.source]) for r in rows], schema)
+    rows = aims.join(held, "source", "left").select("source", F.col("own.share").alias("target_share"), F.col("own.cap").alias("max_repeats"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    # A few rows for sources without end; they needn't be many to be sorted in one task.
+    rows = cut(rows)
+    open_ = rows.where("target_share > 0 and tokens > 0 and max_repeats > 0").withColumn("room", F.col("tokens") * F.col("max_repeats"))
+    sums = rows.agg(F.sum("tokens").alias("total"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("room") / F.col("target_share"), "source")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = (F.col("total") - F.coalesce(F.sum("room").over(before), F.lit(0))) / F.sum("target_share").over(after)
+    levels = open_.join(F.broadcast(sums)).withColumn("level", level).where(F.col("level") <= F.col("room") / F.col("target_share")).agg(F.min_by("level", F.col("room") / F.col("target_share")).alias("level"))
+    given = open_.join(F.broadcast(levels)).select("source", (F.least("room", F.coalesce(F.col("level") * F.col("target_share"), "room")) / F.col("tokens")).alias("repeats"))
+    return rows.join(given, "source", "left").select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int"), "documents", "tokens", F.coalesce("repeats", F.lit(0.0)).alias("repeats"))
 
 
 def mix(counted: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, source, tokens, copies): how often each document is used, at least once.
 
-    Every document of a source is used as often as its repetitions have whole turns; the documents whose seeded hash
-    lies under the fraction are used once more, never more than the cap. The hash depends on the seed and the id only:
-    the choice is the same on any cluster, and needs no sort of a source and no count of its documents. Documents with
-    null id are chosen by their source alone.
+    Every document of a source is used as often as its repetitions have whole turns. For the rest, documents are taken
+    in order of a seeded hash as long as they don't bring the source above its planned tokens: each source misses its
+    plan by less than one document. Copies are never above the cap. The hash depends on the seed, the id and the source
+    only, so that the choice is the same on any cluster. Tokens are cumulated over PARTS ranges of the hash first; only
+    the range that holds the end of the plan is sorted, so that no source is gathered in one task. Repeated rows of one
+    id, and documents with null id, are taken in turn by their tokens.
     """
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = counted.join(F.broadcast(planned.where("repeats > 0").select("source", "repeats", "max_repeats")), "source")
-    copies = F.least(F.col("max_repeats"), (F.floor("repeats") + (chance < F.col("repeats") - F.floor("repeats")).cast("int")).cast("int"))
-    return rows.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
+    hashed = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), F.lit(1 << 40))
+    aims = small(planned.where("repeats > 0").select("source", "max_repeats", F.least(F.floor("repeats"), "max_repeats").cast("int").alias("whole"), (F.when(F.floor("repeats") < F.col("max_repeats"), F.col("repeats") - F.floor("repeats")).otherwise(0.0) * F.col("tokens")).alias("rest")))
+    rows = counted.select("doc_id", "source", "tokens", hashed.alias("at")).withColumn("part", F.floor(F.col("at") / F.lit((1 << 40) // PARTS)).cast("int")).join(aims, "source")
+    sums = rows.groupBy("source", "part").agg(F.sum("tokens").alias("own"))  # at most PARTS rows a source
+    run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.select("source", "part", "own", F.coalesce(F.sum("own").over(run), F.lit(0)).alias("before"))
+    ends = cut(begun.join(aims.select("source", "rest"), "source").where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("own") > F.col("rest"))).select("source", F.col("part").alias("end_part"), "before"))
+    known = rows.join(small(ends), "source", "left")
+    within = Window.partitionBy("source").orderBy("at", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = known.where("part = end_part").withColumn("more", (F.col("before") + F.sum("tokens").over(within) <= F.col("rest")).cast("int"))
+    # A source whose plan ends with all its documents has no part in which it ends.
+    other = known.where("end_part is null or part != end_part").withColumn("more", F.when(F.col("end_part").isNull(), F.col("rest") > 0).otherwise(F.col("part") < F.col("end_part")).cast("int"))
+    copies = F.least("max_repeats", F.col("whole") + F.col("more"))
+    return other.unionByName(edge).select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
 
 
 def report(counted: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:

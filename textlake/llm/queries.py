@@ -135,9 +135,14 @@ def p8_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(table(spark, d, "documents"))
 
 
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the group of those that read the same."""
+    return lookalikes.look_groups(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_groups, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_groups, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_groups, p8_texts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,8 @@
 A candidate is the white space after a closing sign of a sentence (and the quotes and brackets after it), the place
 after such a sign in scripts without spaces, and any white space inside Thai text. A blank line always ends a sentence.
 The model is fitted on boundaries that are sure by themselves: where texts end and begin, and, against them, marks that
-a small letter follows, words that never end a text and words that never begin one.
+a small letter follows, words that never end a text and words that never begin one. There is no list of abbreviations:
+which words go on after a full stop is learned from the texts.
 """
 
 from __future__ import annotations
@@ -17,24 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts on which the model is fitted at most: the first of all distinct ones by a hash.
-TRAINED_ON = 30_000
+#: Texts on which the model is fitted at most: the first of all distinct ones by a hash; and their characters at most.
+TRAINED_ON, TRAINED_LENGTH = 30_000, 5_000
 #: Times a word must have stood before a mark to be sure that it never ends a text, and after one to be sure that it
 #: never begins one: a name may well begin a sentence, but seldom begins a text.
 SEEN, SEEN_AFTER = 12, 25
 #: Steps of the fit, and the weight that pulls the features' weights to 0.
 STEPS, PULL = 150, 2e-4
 
-# Abbreviations with a full stop after which a sentence goes on.
-GOES_ON = {
-    "titles": "dr mr mrs ms prof st mme mlle sr sra dra hr fr д-р проф г डॉ श्री د أ",
-    "references": "fig figs no nos tab tabl table vs cf p pp vol eq ref nr abb art núm n° рис табл стр см",
-    "measures": "approx max min ca env aprox resp incl excl ok прибл",
-    "phrases": "e.g i.e z.b d.h u.a p.ex p.ej т.е т.ч т.д",
-}
-# What goes on after a quotation in Japanese.
-QUOTATIVE = ("と記載", "と言う", "と書く", "という", "って")
-TERMINAL = ".!?…।॥؟۔。！？｡"
+# Signs that close a sentence; those that stand for nothing else; those that need no space after them;
+# quotes and brackets that close and open.
+TERMINAL = ".!?…।॥؟۔。！？｡።፧։။។៕།༎᠃"
+SURE = "!?।॥؟۔。！？｡።፧։။។៕༎᠃"
 WIDE = "。！？｡"
 CLOSERS = "\"'”’“»›」』）)]】》"
 PAIRS = {"“": "”", "«": "»", "‘": "’", "„": "“", "‚": "‘", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", "【": "】", '"': '"', "‹": "›"}
@@ -237,14 +232,10 @@ def fit(texts: list[str]) -> Model:
             for c in candidates(joined):
                 if c[1] == len(tail) + len(glue):
                     rows += [(model.features(joined, c, seam=1), 1, 0.5), (model.unknown(joined, c), 1, 0.1)]
-    for word in " ".join(GOES_ON.values()).split():
-        for before in ("", "Ab ", "xyz 12 mg "):
-            for nxt, w in (("Xenor", 2.0), ("12", 2.0), ("mit", 0.5)):
-                t = f"{before}{word}. {nxt}"
-                rows += [(model.features(t, c), 0, w) for c in candidates(t)]
-    for follows in QUOTATIVE:
-        for t in (f"「Ab。」{follows}", f"12「ab？」{follows}"):
-            rows += [(model.features(t, c), 0, 2.0) for c in candidates(t)]
+    for mark in SURE:  # as marks of scripts that the texts don't hold
+        for word in ("Abcd efgh", "Abcd e"):
+            t = f"{word}{mark} Xenor"
+            rows += [(model.unknown(t, c), 1, 0.5) for c in candidates(t)]
     model.weights = _fitted(rows)
     return model
 
@@ -290,11 +281,17 @@ def one_unit(kind: str | None) -> bool:
 
 
 def train(spans: DataFrame, rows: int = TRAINED_ON) -> Model:
-    """A model fitted on at most `rows` distinct prose texts of `spans` (text, type), chosen by a hash."""
+    """A model fitted on at most `rows` distinct prose texts of `spans` (text, type), chosen by a hash.
+
+    The hash is asked before anything is shuffled: an estimate of how many distinct texts there are says up to which
+    hash there are enough. Texts of more than TRAINED_LENGTH characters don't teach.
+    """
     kind = F.regexp_replace(F.lower(F.coalesce("type", F.lit(""))), "[^a-z]", "")
-    prose = spans.where(F.col("text").isNotNull() & ~kind.rlike("^(bullet|tablerow|caption)"))
-    order = F.xxhash64("text")
-    return fit([r.text for r in prose.select("text", order.alias("h")).distinct().orderBy("h", "text").limit(rows).collect()])
+    prose = spans.where(F.col("text").isNotNull() & (F.length("text") <= TRAINED_LENGTH) & ~kind.rlike("^(bullet|tablerow|caption)")).select("text", F.xxhash64("text").alias("h"))
+    n = prose.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    if n > rows:
+        prose = prose.where(F.col("h") < int(-(1 << 63) + (1 << 64) * min(1.0, 1.2 * rows / n)) if n > 1.2 * rows else F.lit(True))
+    return fit([r.text for r in prose.distinct().orderBy("h", "text").limit(rows).collect()])
 
 
 def split(spans: DataFrame, model: Model) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 LEVELS = [
     re.compile(r"\n[^\S\n]*\n\s*"),
     re.compile(r"\n\s*"),
-    re.compile(r"[.!?…।؟][\"'’”»)\]]*\s+|[。！？][」』）”]*\s*"),
-    re.compile(r"[,;:،]\s+|[，、；：]\s*"),
+    re.compile(r"[.!?…।॥؟۔።፧։။។៕།༎][\"'’”»)\]]*\s+|[。！？｡၊။។៕།༎][」』）”]*\s*"),
+    re.compile(r"[,;:،፣፤]\s+|[，、；：]\s*"),
     re.compile(r"\s+"),
 ]
 #: Characters that one step of the last resort, cutting inside an unbroken run, takes at most.
@@ -63,7 +63,8 @@ def _atoms(text: str, start: int, end: int, room: int, level: int, out: list[tup
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Offsets [start, end) of the pieces of `text`, each of at most `limit` characters (code points).
 
-    Each piece but the first begins exactly `overlap` characters before its own part. Adjacent segments wait in a
+    Each piece but the first begins `overlap` characters before its own part, or where the letter that stands there has
+    all its accents behind it: such a letter is cut only if it is longer than the overlap itself. Adjacent segments wait in a
     heap; the weakest boundary is merged first (of equals, the smaller union, then the earlier) as long as the union
     and its overlap fit. An overlap above half the limit counts as half of it, so that pieces always advance; a limit
     under 1 counts as 1. A text that fits is one piece; an empty text has none.
@@ -103,7 +104,10 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             offer(prev[i])
     out, i = [], 0
     while i < k:
-        out.append((max(0, starts[i] - overlap), ends[i]))
+        begin = max(0, starts[i] - overlap)
+        while 0 < begin < starts[i] and _joined(text, begin):
+            begin += 1
+        out.append((begin, ends[i]))
         i = nxt[i]
     return out
 
@@ -125,7 +129,7 @@ def with_limits(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     return (
         chunks.select(F.col("chunk_id"), F.col("chunk_text").alias("text"), name(F.substring_index("section_name", " > ", 1)).alias("_name"))
         .join(least, "_name", "left")
-        .join(F.broadcast(default))
+        .join(F.broadcast(default))  # a cross join with that row
         .select("chunk_id", "text", F.coalesce("_own.max_chars", "_default.max_chars").alias("max_chars"), F.coalesce("_own.overlap_chars", "_default.overlap_chars").alias("overlap_chars"))
     )
 
