@@ -205,10 +205,43 @@ def test_links_count_all_pairs(spark, monkeypatch):
 
 
 def test_groups_of_chunks_and_names(spark):
-    groups = queries.p3_groups(spark, SMALL).collect()
+    links = queries.p3_links(spark, SMALL).collect()
     ends = collections.Counter((r.field, x) for r in queries.p3_found(spark, SMALL).collect() for x in (r.key_a, r.key_b))
-    assert {(r.field, r.id): r.links for r in groups if r.links} == ends
-    assert {r.field for r in groups} == {"chunk_text", "drug_name"}
+    assert {(r.field, r.id): r.links for r in links if r.links} == ends
+    assert {(r.field, r.id, r.group) for r in queries.p3_groups(spark, SMALL).collect()} == {(r.field, r.id, r.group) for r in links}
+
+
+def _variants(n: int, r: random.Random, *bases: list[str]) -> dict[str, str]:
+    """Texts that differ from one of the bases by one word."""
+    out = {}
+    for k in range(n):
+        w = list(bases[k % len(bases)])
+        w[r.randrange(len(w))] = f"x{k}"
+        out[f"{k:05}"] = " ".join(w)
+    return out
+
+
+def test_a_crowd_of_variants_is_grouped_in_proportion_to_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "REGION", 64)
+    base = [f"w{i}" for i in range(200)]
+    texts = _variants(3000, random.Random(1), base) | {"other": " ".join(f"v{i}" for i in range(50)), "null": None}
+    compared, sure = [], nearcopies._sure
+    monkeypatch.setattr(nearcopies, "_sure", lambda found, *a: compared.append(found.count()) or sure(found, *a))
+    got = {r.id: r.group for r in nearcopies.near_classes(spark.createDataFrame(list(texts.items()), "id string, text string")).collect()}
+    assert got == {k: "00000" if k.isdigit() else k for k in texts}
+    assert sum(compared) < 30 * len(texts)  # all pairs are 1500 a text
+
+
+def test_groups_of_crowded_regions_equal_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "REGION", 16)
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(40)]
+    far = [x if i % 9 else f"y{i}" for i, x in enumerate(base)]
+    texts = _variants(600, r, base, far, [x if i % 7 else f"z{i}" for i, x in enumerate(base)])
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    for threshold in (0.8, 0.6):
+        all_pairs = {x.id: x.group for x in nearcopies.near_links(df, "word", 2, threshold).collect()}
+        assert {x.id: x.group for x in nearcopies.near_classes(df, "word", 2, threshold).collect()} == all_pairs
 
 
 def test_crowded_regions_go_deeper(monkeypatch):

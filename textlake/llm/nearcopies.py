@@ -2,9 +2,13 @@
 
 Every text becomes a set of shingles, its set TREES x DEPTH minima under random orders of the shingles. A tree reads
 DEPTH of them as a label; rows sorted by label stand beside the rows with which they share the longest prefix. Rows
-that share at least `shallow` values are candidates, however many rows do; a region that holds far more than REGION
-rows is compared in pairs of blocks, by several tasks. Candidates pass a two-bit sketch of all minima, and are then
-verified exactly on their whole texts.
+that share at least `shallow` values are candidates, however many rows do. Candidates pass a two-bit sketch of all
+minima, and are then verified exactly on their whole texts.
+
+A region that holds far more than REGION rows is crowded. Where all pairs are asked for, it is compared in pairs of
+blocks by several tasks. Where groups are asked for, its rows are first linked to the rows beside them, with which they
+share the longest prefix, and to the first of their task; once these links are verified, only rows of different groups
+are still compared, so that a crowd of variants of one text costs in proportion to its rows.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ WORD = re.compile(r"[^\W_]+")
 TREES, DEPTH = 24, 4
 #: Rows of a block of a crowded region; each pair of blocks is compared by itself.
 REGION = 4096
+#: Rows of a region beyond which, where groups are asked for, neighbours are linked before anything else is compared.
+CROWD = 64
 #: Standard deviations of the sketch's estimate that a candidate may lie under the threshold (1 of 30,000 pairs at it).
 SLACK = 4.0
 #: Copies of one class that are expanded into pairs; of a larger class each copy is linked to its least member.
@@ -159,6 +165,14 @@ def _neighbours(label: np.ndarray, shallow: int, deeper: bool = True) -> Iterato
         step += 1
 
 
+def _across(side: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions of the rows of side 1 with those of side 0 that are of another group."""
+    others = np.flatnonzero(side == 0)
+    for i in np.flatnonzero(side == 1):
+        j = others[group[others] != group[i]]
+        yield np.full(len(j), i), j
+
+
 def _between(side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions of two blocks, or of all rows if there is one block only."""
     others = np.flatnonzero(side != side[0])
@@ -173,16 +187,16 @@ def _candidates(threshold: float, shallow: int) -> Callable:
     least = int(np.floor(m * expected - SLACK * np.sqrt(m * expected * (1 - expected))))
     shift = np.uint64(16 * (DEPTH - shallow))
 
-    def region(tree: np.ndarray, label: np.ndarray, part: np.ndarray, side: np.ndarray, ids: np.ndarray, classes: np.ndarray, s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def region(tree: np.ndarray, label: np.ndarray, part: np.ndarray, side: np.ndarray, ids: np.ndarray, classes: np.ndarray, s: np.ndarray, group: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Candidates among whole regions, or pairs of blocks, sorted by tree, prefix, part, label, class and id."""
-        first = np.r_[True, (tree[1:] != tree[:-1]) | (part[1:] != part[:-1]) | (label[1:] != label[:-1]) | (classes[1:] != classes[:-1])]
+        first = np.r_[True, (side[1:] != side[:-1]) if group is not None else np.zeros(len(side) - 1, bool)] | np.r_[True, (tree[1:] != tree[:-1]) | (part[1:] != part[:-1]) | (label[1:] != label[:-1]) | (classes[1:] != classes[:-1])]
         out = []
         for crowded in (False, True):
             own = np.flatnonzero(first & ((part >= 0) == crowded))
             if not len(own):
                 continue
             for at in np.split(own, np.flatnonzero((np.diff(tree[own]) != 0) | crowded & ((np.diff(part[own]) != 0) | (np.diff(label[own] >> shift) != 0))) + 1):
-                for i, j in _between(side[at]) if crowded else _neighbours(label[at], shallow, deeper=False):
+                for i, j in _across(side[at], group[at]) if group is not None else _between(side[at]) if crowded else _neighbours(label[at], shallow, deeper=False):
                     good = _alike(s, at[i], at[j]) >= least
                     if good.any():
                         out.append((ids[at[i][good]], ids[at[j][good]]))
@@ -199,7 +213,7 @@ def _candidates(threshold: float, shallow: int) -> Callable:
             if not batch.num_rows:
                 continue
             s = np.stack([batch.column(i).to_numpy() for i in (6, 7, 8)], 1).view(np.uint64)
-            part = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.array(batch.column(4).to_pylist(), object), np.array(batch.column(5).to_pylist(), object), s)
+            part = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.array(batch.column(4).to_pylist(), object), np.array(batch.column(5).to_pylist(), object), s, *([np.array(batch.column(9).to_pylist(), object)] if batch.num_columns > 9 else []))
             same = (part[0] == part[0][-1]) & (part[2] == part[2][-1]) & (part[1] >> shift == part[1][-1] >> shift)
             end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if end:  # rows from `end` on may go on in the next batch
@@ -213,20 +227,80 @@ def _candidates(threshold: float, shallow: int) -> Callable:
     return run
 
 
-def candidates(signed: DataFrame, threshold: float, shallow: int) -> DataFrame:
-    """Distinct pairs (a, b) of ids, a < b, of different classes that some tree holds for alike."""
+LABELLED = ("tree", "label", "part", "side", "id", "class", "s1", "s2", "s3")
+
+
+def _trees(signed: DataFrame, shallow: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each tree of each labelled row, and the regions (tree, prefix, blocks) of more than about `crowd` rows.
+
+    The size of a region is an estimate, over distinct classes, and decides only where and when pairs are compared.
+    """
     trees = signed.where("labels is not null").select("id", "class", "s1", "s2", "s3", F.posexplode("labels").alias("tree", "label"))
     trees = trees.withColumn("prefix", F.shiftrightunsigned("label", 16 * (DEPTH - shallow)))
-    # A prefix that a great part of all texts share goes to several tasks as pairs of blocks of about REGION texts. The
-    # count is an estimate, over distinct classes, and decides only where pairs are compared.
-    watched = trees.where(F.pmod(F.xxhash64("class"), F.lit(WATCHED)) == 0).groupBy("tree", "prefix").agg(F.count_distinct("class").alias("n")).where(F.col("n") > 4 * REGION // WATCHED)
-    hot = watched.select("tree", "prefix", F.ceil(F.col("n") * WATCHED / REGION).cast("bigint").alias("blocks"))
+    watched = trees.where(F.pmod(F.xxhash64("class"), F.lit(WATCHED)) == 0).groupBy("tree", "prefix").agg(F.count_distinct("class").alias("n")).where(F.col("n") > crowd // WATCHED)
+    return trees, watched.select("tree", "prefix", F.ceil(F.col("n") * WATCHED / REGION).cast("bigint").alias("blocks"))
+
+
+def _compared(spread: DataFrame, threshold: float, shallow: int, outside: bool = False) -> DataFrame:
+    """Candidates (a, b) inside each (tree, prefix, part); `outside`: only of rows of different groups, see between_groups."""
+    ordered = spread.repartition("tree", "prefix", "part").sortWithinPartitions("tree", "prefix", "part", F.shiftrightunsigned("label", 1), "label", "class", "id")
+    return ordered.select(*LABELLED, *(["group"] if outside else [])).mapInArrow(_candidates(threshold, shallow), "a string, b string").distinct()
+
+
+def candidates(signed: DataFrame, threshold: float, shallow: int) -> DataFrame:
+    """Distinct pairs (a, b) of ids, a < b, of different classes that some tree holds for alike."""
+    trees, hot = _trees(signed, shallow, 4 * REGION)
+    # A prefix that a great part of all texts share goes to several tasks as pairs of blocks of about REGION texts.
     sided = trees.join(small(hot), ["tree", "prefix"], "left").withColumn("side", F.coalesce(F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")), F.lit(0).cast("bigint")))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: F.least(k, "side") * F.col("blocks") + F.greatest(k, "side"))
     spread = sided.withColumn("part", F.explode(F.when(F.col("blocks").isNotNull(), pairs).otherwise(F.array(F.lit(-1).cast("bigint")))))
-    ordered = spread.repartition("tree", "prefix", "part").sortWithinPartitions("tree", "prefix", "part", F.shiftrightunsigned("label", 1), "label", "class", "id")
-    found = ordered.select("tree", "label", "part", "side", "id", "class", "s1", "s2", "s3").mapInArrow(_candidates(threshold, shallow), "a string, b string")
-    return found.distinct()
+    return _compared(spread, threshold, shallow)
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each row (tree, prefix, id), as sorted, to the row before it and to the first of its region here."""
+    last = first = None
+    for batch in batches:
+        left, right = [], []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is None or row[:2] != last[:2]:
+                first = row
+            for other in {first[2], last[2]} - {row[2]} if last and row[:2] == last[:2] else ():
+                left.append(min(row[2], other))
+                right.append(max(row[2], other))
+            last = row
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+
+
+def neighbours(trees: DataFrame, hot: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), two for each row of a crowded region: the row beside it in the first such tree, and a pivot.
+
+    Rows are sorted by their whole label and then the sketch, so that those beside each other share the longest prefix;
+    a region of many rows is spread over tasks by the same order.
+    """
+    crowd = trees.join(small(hot), ["tree", "prefix"]).groupBy("id").agg(F.min(F.struct("tree", "prefix", "label", "s1", "s2", "s3")).alias("own")).select("id", "own.*")
+    order = ("tree", "prefix", "label", "s1", "s2", "s3", "id")
+    ranged = crowd.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("tree", "prefix", "id").mapInArrow(_beside, "a string, b string").distinct()
+
+
+def between_groups(trees: DataFrame, hot: DataFrame, groups: DataFrame, threshold: float, shallow: int) -> DataFrame:
+    """Distinct candidates (a, b) of crowded regions whose rows aren't of one group (key, group) yet.
+
+    Of each region the largest group stays in blocks, each row once; rows of other groups meet all blocks. Only pairs of
+    different groups are looked at.
+    """
+    crowd = trees.join(small(hot), ["tree", "prefix"]).join(groups.withColumnRenamed("key", "id"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    sizes = crowd.groupBy("tree", "prefix", "group").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("tree", "prefix").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups"), (F.sum("n") - F.max("n")).alias("others")).where("groups > 1")
+    rows = crowd.join(small(main), ["tree", "prefix"]).withColumn("own", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")))
+    # Rows outside the largest group come in blocks of their own, so that a task holds two blocks at most.
+    wide = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("others") / F.lit(float(REGION))).cast("bigint"))
+    rows = rows.withColumn("wide", wide)
+    inside = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("wide") - 1)).alias("w")).select(*rows.columns, (F.col("own") * F.col("wide") + F.col("w")).alias("part"), F.lit(0).cast("bigint").alias("side"))
+    odd = rows.where(F.col("group") != F.col("main"))
+    outside = odd.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b")).select(*rows.columns, (F.col("b") * F.col("wide") + F.pmod(F.xxhash64("class", F.lit(2)), F.col("wide"))).alias("part"), F.lit(1).cast("bigint").alias("side"))
+    return _compared(inside.unionByName(outside), threshold, shallow, outside=True)
 
 
 def _verify(kind: str, n: int) -> Callable:
@@ -243,19 +317,28 @@ def _verify(kind: str, n: int) -> Callable:
     return run
 
 
-def _classes(rows: DataFrame, kind: str, n: int, threshold: float, shallow: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, similarity) of classes, each by its least id; (least, id, copies) of the classes of several ids."""
+def _signed(rows: DataFrame, kind: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, text); signatures, each class by its least id; (least, id, copies) of the classes of several ids."""
     rows = rows.where("id is not null and text is not null").select(F.col("id").cast("string").alias("id"), "text")
     signed = cut(sign(rows, kind, n))
     classes = signed.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     members = cut(signed.select("id", "class").join(classes, "class").select("least", "id", "copies").distinct())
     # Labels go to any member of a class; its least id stands for it.
-    base = signed.join(small(members.select("id", "least"), 500_000), "id", "left").withColumn("id", F.coalesce("least", "id")).drop("least")
-    found = cut(candidates(base, threshold, shallow))
+    return rows, signed.join(small(members.select("id", "least"), 500_000), "id", "left").withColumn("id", F.coalesce("least", "id")).drop("least"), members
+
+
+def _sure(found: DataFrame, rows: DataFrame, kind: str, n: int, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the candidates `found` (a, b) that are as alike as the threshold."""
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = rows.join(small(wanted, 500_000), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sides = found.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    return sides.mapInArrow(_verify(kind, n), "a string, b string, similarity double").where(F.col("similarity") >= threshold), members
+    return sides.mapInArrow(_verify(kind, n), "a string, b string, similarity double").where(F.col("similarity") >= threshold)
+
+
+def _classes(rows: DataFrame, kind: str, n: int, threshold: float, shallow: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, similarity) of classes, each by its least id; (least, id, copies) of the classes of several ids."""
+    rows, base, members = _signed(rows, kind, n)
+    return _sure(cut(candidates(base, threshold, shallow)), rows, kind, n, threshold), members
 
 
 def near_pairs(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float = 0.8, shallow: int = 3) -> DataFrame:
@@ -313,6 +396,7 @@ def near_groups(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     named = components(pairs).withColumnRenamed("key", "id")
     return ids.join(ends, "id", "left").join(named, "id", "left").select("id", F.coalesce("group", "id").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
+
 def near_links(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float = 0.8, shallow: int = 3) -> DataFrame:
     """(id, group, links): near_groups over all pairs of `rows`, none of which is made: links come from the classes' sizes.
 
@@ -330,3 +414,28 @@ def near_links(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float
     counted = own.join(sizes, "least", "left").join(far, "least", "left").join(named, "least", "left")
     links = F.coalesce("size", F.lit(1)) - 1 + F.coalesce("far", F.lit(0))
     return counted.select("id", F.coalesce("group", "least").alias("group"), links.alias("links"))
+
+
+def near_classes(rows: DataFrame, kind: str = "word", n: int = 5, threshold: float = 0.8, shallow: int = 3) -> DataFrame:
+    """(id, group): every distinct id of `rows` (id, text) with the least id that links lead to, as near_groups gives it.
+
+    Links aren't all made: in crowded regions rows that others already hold together aren't compared, which changes no
+    group. Parameters, nulls and copies are those of near_pairs; an id without a partner is its own group.
+    """
+    whole, base, members = _signed(rows, kind, n)
+    trees, hot = _trees(base, shallow, CROWD)
+    hot = cut(hot)
+    key = lambda df: df.select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+    found = trees.join(small(hot), ["tree", "prefix"], "left_anti").withColumn("part", F.lit(-1).cast("bigint")).withColumn("side", F.lit(0).cast("bigint"))
+    links = _compared(found, threshold, shallow)
+    crowded = not hot.isEmpty()
+    if crowded:
+        links = links.unionByName(neighbours(trees, hot)).distinct()
+    links = key(cut(_sure(cut(links), whole, kind, n, threshold)))
+    if crowded:
+        more = between_groups(trees, hot, cut(components(links)), threshold, shallow)
+        links = links.unionByName(key(_sure(cut(more), whole, kind, n, threshold)))
+    named = components(links).withColumnRenamed("key", "least")
+    ids = rows.where("id is not null").select(F.col("id").cast("string").alias("id")).distinct()
+    own = ids.join(members.select("id", "least").distinct(), "id", "left").withColumn("least", F.coalesce("least", "id"))
+    return own.join(named, "least", "left").select("id", F.coalesce("group", "least").alias("group"))

@@ -61,7 +61,13 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk and every spelling of a drug name with its group of near-duplicates and its number of links."""
+    """Every chunk and every spelling of a drug name with its group of near-duplicates."""
+    chunks, names = _near(spark, d, nearcopies.near_classes)
+    return chunks.select(F.lit("chunk_text").alias("field"), "id", "group").unionByName(names.select(F.lit("drug_name").alias("field"), "id", "group"))
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk and every spelling of a drug name with its group and its number of near-duplicates."""
     chunks, names = _near(spark, d, nearcopies.near_links)
     return chunks.select(F.lit("chunk_text").alias("field"), "id", "group", "links").unionByName(names.select(F.lit("drug_name").alias("field"), "id", "group", "links"))
 
@@ -142,7 +148,7 @@ def p8_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_groups, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_groups, p8_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_groups, p3_links, p4_found, p5_found, p5_unmatched, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_groups, p8_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
