@@ -2,30 +2,110 @@
 
 from __future__ import annotations
 
+import json
+import logging
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import DATA
 from textlake import providers
-from textlake.__main__ import ingest
+from textlake.__main__ import check, ingest, stored
 from textlake.retriever import Retriever
-from textlake.sources import files
+from textlake.sources import files, tables
+from textlake.streaming import ingest as ingest_stream
 
 
-def test_ingest_takes_what_is_new(spark, tmp_path):
+def test_ingest_takes_what_is_new(spark, tmp_path, monkeypatch):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
-    (src / "a.md").write_text("# Uses\nIt is used for many things. It works.\n- a first item\n\f# More\nA second page of text.")
+    (src / "a.md").write_text("# Uses\nIt is used for many things. It works.\n- a first item\n| a | row |\n\f# More\nA second page of text.")
     (src / "b.txt").write_bytes(b"\xff\xfe broken")
     ingest(spark, str(src), out)
     ingest(spark, str(src), out)
-    assert spark.read.parquet(f"{out}/files").where("file_path like '%a.md'").count() == 1
-    assert spark.read.parquet(f"{out}/pages").count() == 2
-    assert {r.heading for r in spark.read.parquet(f"{out}/sections").collect()} == {"Uses", "More"}
+    now = lambda name: stored(spark, out, name)
+    assert now("files").count() == 1 and now("pages").count() == 2
+    assert {(r.heading, r.page_start, r.page_end) for r in now("sections").collect()} == {("Uses", 1, 1), ("More", 2, 2)}
+    assert {r.text_type for r in now("spans").collect()} == {"sentence", "bullet", "table_row"}
+    assert spark.read.parquet(f"{out}/log").where("not parse_success").count() == 2  # tried again
     (src / "a.md").write_text("# Uses\nChanged text of the file here.")
+    # A run that breaks off before its commit counts for nothing, and the next does its work.
+    real = files.pages
+    monkeypatch.setattr(files, "pages", lambda df: real(df) if not (tmp_path / "out" / "pages" / "number=3").exists() else 1 / 0)
+    ingest(spark, str(src), out)
+    monkeypatch.undo()
+    assert [r.text for r in now("pages").collect()] == ["# Uses\nChanged text of the file here."] and now("files").count() == 1
+    (src / "a.md").write_text("# Uses\nChanged once more.")
+    monkeypatch.setattr("textlake.__main__.structure.spans", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest(spark, str(src), out)
+    monkeypatch.undo()
+    assert now("pages").first().text.endswith("here.")
     ingest(spark, str(src), out)
-    assert spark.read.parquet(f"{out}/files").where("file_path like '%a.md'").count() == 2
-    assert spark.read.parquet(f"{out}/log").where("not parse_success").count() >= 1
+    assert now("pages").first().text.endswith("more.") and check(spark, out)["files"] == 1
+
+
+def test_changed_rows_replace_old_ones(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "t")
+    put = lambda rows: spark.createDataFrame(rows, "k string, n int").coalesce(1).write.mode("append").parquet(src)
+    run = lambda: ingest_stream.replace_changed(ingest_stream.arriving(spark, src, "k string, n int"), out, "k", str(tmp_path / "c"), "n")
+    put([("a", 1), ("b", 1), ("a", 3)])
+    run()
+    assert {tuple(r) for r in ingest_stream.current(spark, out).collect()} == {("a", 3), ("b", 1)}
+    put([("b", 5), ("c", 1)])
+    run()
+    assert {tuple(r) for r in ingest_stream.current(spark, out).collect()} == {("a", 3), ("b", 5), ("c", 1)}
+    # A version without its commit mark, as a lost driver leaves it, isn't read.
+    (tmp_path / "t" / "v9").mkdir()
+    assert ingest_stream.current(spark, out).count() == 3
+
+
+def test_streams(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [(i, f"2024-01-01 00:{i // 2:02}:00", i % 3) for i in range(60)]
+    spark.createDataFrame(rows + rows[:5], "id int, at string, v int").select("id", F.col("at").cast("timestamp").alias("at"), "v").write.parquet(src)
+    events = lambda: ingest_stream.arriving(spark, src, "id int, at timestamp, v int")
+    ingest_stream.run_once(ingest_stream.once_each(events(), "id", "at"), str(tmp_path / "once"), str(tmp_path / "c1"))
+    assert spark.read.schema("id int, at timestamp, v int").parquet(str(tmp_path / "once")).count() == 60
+
+
+def test_index_is_deleted_and_restored(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
+    files.save_index(rows, a, 2)
+    files.save_index(rows.unionByName(rows), b, 2)
+    assert tuple(files.index_facts(spark, a).first()) == (1, 2)
+    files.restore_index(spark, b, a)
+    assert files.load_index(spark, a, 2).count() == 2
+    files.truncate(spark, a)
+    assert files.load_index(spark, a, 2).count() == 0
+    assert files.delete_index(spark, a) and not files.delete_index(spark, a) and files.index_facts(spark, a) is None
+    files.write_json(rows, str(tmp_path / "j"))
+    assert files.read_json(spark, str(tmp_path / "j")).first().vec_id == 1
+
+
+def test_log_lines_are_json():
+    record = logging.makeLogRecord({"msg": "took %d", "args": (3,), "levelname": "INFO", "name": "x", "run": 7})
+    own = json.loads(files.JsonLines().format(record))
+    assert (own["message"], own["level"], own["run"]) == ("took 3", "INFO", 7)
+
+
+def test_cut_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError, match="share"):
+        tables.shared_folder(Cluster)
+    tables.cut(spark.range(3))
+    path = tables._CUT[-1]
+    monkeypatch.setattr(tables, "_CUT", [path])
+    tables.clear(spark)
+    assert not Path(path).exists()
 
 
 def test_page_offsets(spark, tmp_path):

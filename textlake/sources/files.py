@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,8 +21,18 @@ def scan_folder(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("
 
 
 def plain_pages(content: bytes) -> list[str]:
-    """The default parser: UTF-8 text whose pages are parted by form feeds."""
-    return content.decode("utf-8").split("\f")
+    """The default parser: UTF-8 text whose pages are parted by form feeds; a page that isn't UTF-8 is left blank, but a
+    file without any readable page is an error."""
+    out, bad = [], None
+    for part in content.split(b"\f"):
+        try:
+            out.append(part.decode("utf-8"))
+        except UnicodeDecodeError as e:
+            bad = e
+            out.append("")
+    if bad and not any(x.strip() for x in out):
+        raise bad
+    return out
 
 
 def parse(files: DataFrame, parser: Parser = plain_pages) -> DataFrame:
@@ -70,3 +82,52 @@ def load_index(spark: SparkSession, path: str, dim: int) -> DataFrame | None:
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
     return spark.read.parquet(path).where(F.expr(f"assert_true(size(embedding) = {int(dim)}) is null"))
+
+
+def _at(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, in place of what lies there."""
+    rows.write.mode("overwrite").json(path)
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """Takes all rows out of a Parquet table; its columns stay."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
+def delete_index(spark: SparkSession, path: str) -> bool:
+    """Deletes a table or folder; whether there was one."""
+    at, fs = _at(spark, path)
+    return fs.delete(at, True) if fs.exists(at) else False
+
+
+def restore_index(spark: SparkSession, backup: str, path: str) -> None:
+    """Puts a copy of `backup` in the place of `path`: the copy is whole before the old table goes."""
+    spark.read.parquet(backup).write.mode("overwrite").parquet(f"{path}.new")
+    (new, fs), (at, _) = _at(spark, f"{path}.new"), _at(spark, path)
+    fs.delete(at, True)
+    fs.rename(new, at)
+
+
+def index_facts(spark: SparkSession, path: str) -> DataFrame | None:
+    """(rows, dim): what an index holds, from its Parquet footers and one vector; None if nothing lies there."""
+    at, fs = _at(spark, path)
+    return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dim")) if fs.exists(at) else None
+
+
+class JsonLines(logging.Formatter):
+    """Log records of the driver as lines of JSON, with the fields that a record brings as `extra`."""
+
+    KNOWN = frozenset(vars(logging.makeLogRecord({}))) | {"message", "asctime"}
+
+    def format(self, record: logging.LogRecord) -> str:
+        """One record as one line."""
+        own = {"time": self.formatTime(record, "%Y-%m-%dT%H:%M:%S"), "level": record.levelname, "logger": record.name, "message": record.getMessage()}
+        own |= {k: v for k, v in vars(record).items() if k not in self.KNOWN}
+        if record.exc_info:
+            own["error"] = self.formatException(record.exc_info)
+        return json.dumps(own, default=str, ensure_ascii=False)

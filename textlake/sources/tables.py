@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,18 +47,33 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset a local session gets one of its own
+    (tests); on a cluster it is an error, as a machine's own folder isn't shared."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "textlake-checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+#: Tables that `cut` wrote and `clear` hasn't deleted yet.
+_CUT: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read back: its lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUT.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that `cut` has written so far, once what was read from them is done with."""
+    while _CUT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
