@@ -153,4 +153,7 @@ def test_retriever(spark):
     assert got[1].path == "EXACT" and got[1].sources > 0 and got[2].path == "NONE" and "No evidence" in got[3].answer
     assert r.names().count() > 0 and r.section_types().count() > 0 and r.sections_of("Velmotrazine").count() > 0
     assert r.health().first().degraded is False
+    assert r.get_section("velmotrazine", "contraindications").count() >= 0 and r.get_structure_image("velmotrazine").count() >= 0
+    asked = spark.createDataFrame([(1, "side effects of velmotrazine"), (2, "Tell me about velmotrazine"), (3, "zzz")], "query_id bigint, text string")
+    assert {x.query_id: x.path for x in r.ask(asked).collect()}.keys() == {1, 2, 3}
     assert r.search_sections(q.withColumn("text", F.lit("dose"))).count() >= 0

@@ -123,3 +123,32 @@ def is_junk(x: Str) -> Column:
     """Lines of a table of contents and bare numbers: short texts with leader dots, or of digits, blanks and dots."""
     t = F.trim(_c(x))
     return (F.length(t) < 50) & (t.rlike(r"\.{3,}\s*\d+") | t.rlike(r"^[\d\s.]+$"))
+
+
+def search_terms(x: Str) -> Column:
+    """A text without anything but letters, digits, hyphens and single blanks."""
+    return squeeze(F.regexp_replace(_c(x), r"[^\p{L}\p{N}_\s-]", ""))
+
+
+def reply_line(x: Str, label: str) -> Column:
+    """What follows a label at a line's start, in small letters; null if there is nothing, or unknown."""
+    found = F.lower(F.trim(F.regexp_extract(_c(x), rf"(?:^|\n){label}:[ \t]*([^\n]*)", 1)))
+    return F.when((found != "") & (found != "unknown"), found)
+
+
+def document_name(x: Str) -> Column:
+    """The generic name that a reply gives, else the brand, else a name in the wording of a title."""
+    title = F.lower(F.regexp_extract(_c(x), r"(?i)(?:product\s+monograph|prescribing\s+information)[\s-]*([a-z]+)", 1))
+    form = F.lower(F.regexp_extract(_c(x), r"(?:^|\n)([A-Z][A-Za-z]{3,})\s[^\n]*(?:tablet|capsule|injection)", 1))
+    filled = lambda c: F.when(c != "", c)
+    return F.coalesce(reply_line(x, "GENERIC"), reply_line(x, "BRAND"), filled(title), filled(form), F.lit("unknown_drug"))
+
+
+# Kinds of files by their suffix.
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "pdf": "application/pdf"}
+
+
+def mime_type(path: Str) -> Column:
+    """The kind of a file by its suffix."""
+    suffix = F.lower(F.regexp_extract(_c(path), r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(*(F.when(suffix == k, F.lit(v)) for k, v in MIME.items()), F.lit("application/octet-stream"))

@@ -50,11 +50,3 @@ def nearest_names(typed: DataFrame, names: DataFrame, edits: int = 2) -> DataFra
     known = names.select("name").distinct().withColumn("_len", F.length("name"))
     met = words.join(small(known), "_len").withColumn("distance", F.levenshtein(F.lower("word"), F.lower("name"), edits)).where(F.col("distance") >= 0)
     return first_per(met, ["word"], ["distance", "name"]).select("word", "name", "distance")
-
-
-def with_vocabulary(questions: DataFrame, vocabulary: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """Questions (query_id, text) with every entry (entry, pattern, ord) whose pattern their text matches.
-
-    The vocabulary is a small list: patterns can't be joined by equality.
-    """
-    return questions.join(small(vocabulary, 1000), F.expr(f"text rlike {pattern}"))

@@ -243,3 +243,22 @@ def stride(rows: DataFrame, key: str, text: str, size: int, overlap: int) -> Dat
 def carried_sections(pages: DataFrame, key: str, order: str, found: str) -> DataFrame:
     """Pages with `section`: the last one found so far."""
     return pages.withColumn("section", F.last(found, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def image_names(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, source, name): each picture of a row (original_filename, document_hash, image_paths) with the name it is kept
+    under: the file's stem, eight digits of its hash and its number."""
+    each = rows.select(key, "original_filename", "document_hash", F.posexplode("image_paths").alias("n", "source"))
+    stem = F.regexp_replace("original_filename", r"\.[^.]*$", "")
+    return each.select(key, "n", "source", F.concat(stem, F.lit("_"), F.substring("document_hash", 1, 8), F.lit("_img"), F.lpad(F.col("n").cast("string"), 3, "0"), F.lit(".png")).alias("name"))
+
+
+def first_page_names(rows: DataFrame, key: str, text: str, file: str) -> DataFrame:
+    """(key, name): the first of a text's first twenty lines that gives a name: after Pr at its start, under a line with
+    PRODUCT MONOGRAPH, or all in capitals and no heading; else the file's name."""
+    each = rows.select(key, F.posexplode(F.slice(F.split(text, "\n"), 1, 21)).alias("n", "_x")).withColumn("_t", F.trim("_x"))
+    each = each.withColumn("_next", F.lead("_t").over(Window.partitionBy(key).orderBy("n")))
+    size = F.length("_t")
+    found = F.when(F.col("_t").startswith("Pr") & size.between(6, 51), F.trim(F.substring("_t", 3, 60))).when(F.contains(F.upper("_t"), F.lit("PRODUCT MONOGRAPH")) & F.length("_next").between(4, 49), F.col("_next")).when(F.col("_t").rlike(r"\p{Lu}") & ~F.col("_t").rlike(r"\p{Ll}") & size.between(4, 49) & ~F.col("_t").rlike("PAGE|TABLE|PART|SECTION"), F.col("_t"))
+    best = each.where("n < 20").withColumn("name", found).where("name is not null").groupBy(key).agg(F.min_by("name", "n").alias("name"))
+    return rows.select(key, file).join(best, key, "left").select(key, F.coalesce("name", file).alias("name"))

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from textlake.functions import text as T
 
 
+def _first(rows: DataFrame, key: list[str], order: list) -> DataFrame:
+    """Of each key the row that comes first, as an aggregate: rows are compared before the shuffle, and no key's rows meet in
+    one sort. Orders are names, the smaller first and nulls last, or (name, True) for the greater first."""
+    ranks = []
+    for o in order:
+        name, down = o if isinstance(o, tuple) else (o, False)
+        ranks += [F.col(name).isNull(), -F.col(name) if down else F.col(name)]
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), F.struct(*(r.alias(f"_{i}") for i, r in enumerate(ranks)))).alias("_row"))
+    return best.select("_row.*")
+
+
 def insert_ignore(target: DataFrame, batch: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The rows of `batch` that an insert would add: keys the target lacks, of equal ones the first."""
-    fresh = batch.join(target.select(*key), key, "left_anti")
-    return fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    """The rows of `batch` that an insert would add: keys the target lacks, of equal ones the first by `order` (see _first)."""
+    return _first(batch.join(target.select(*key), key, "left_anti").select(*batch.columns), key, order)
 
 
 def latest(target: DataFrame, batch: DataFrame, key: list[str], version: list) -> DataFrame:
-    """The target after an upsert: for each key the row with the highest version."""
-    every = target.unionByName(batch, allowMissingColumns=True)
-    return every.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*version))).where("_n = 1").drop("_n")
+    """The target after an upsert: for each key the first row by `version` (see _first)."""
+    return _first(target.unionByName(batch, allowMissingColumns=True), key, version)
 
 
 def count_up(target: DataFrame, batch: DataFrame, key: str, count: str, first: str, last: str) -> DataFrame:
@@ -51,6 +60,16 @@ def merged_lists(rows: DataFrame, key: str, lists: dict[str, Column], sums: dict
 
 def max_score(rows: DataFrame, key: str, score: str, position: str) -> DataFrame:
     """For each key the row of the highest score, the earlier of equals; `place` is the position of the key's first row."""
-    w = Window.partitionBy(key)
-    out = rows.withColumn("place", F.min(position).over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.desc(score), position)))
-    return out.where("_n = 1").drop("_n")
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct((-F.col(score)).alias("s"), F.col(position).alias("p"))).alias("_row"), F.min(position).alias("place"))
+    return best.select("_row.*", "place")
+
+
+def add_mappings(known: DataFrame, more: DataFrame) -> DataFrame:
+    """(brand, generic): both lists as one, without case, outer blanks and repetitions; rows without either are left out."""
+    plain = lambda df: df.where("brand is not null and generic is not null").select(F.lower(F.trim("brand")).alias("brand"), F.lower(F.trim("generic")).alias("generic"))
+    return plain(known).unionByName(plain(more)).distinct()
+
+
+def truncated(target: DataFrame) -> DataFrame:
+    """The table without its rows; its columns stay."""
+    return target.where(F.lit(False))

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.functions import text as T
 from textlake.operators.lookup import first_per
 
 #: Query vectors that are compared with a batch of rows at once; more are taken in blocks of this size.
@@ -21,7 +20,7 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, scope: str | None = None) -
     """(query_id, vec_id, distance): the `k` nearest rows (vec_id, embedding) of each query by squared L2 distance.
 
     The queries (query_id, embedding) are a stated set: they go to the tasks in blocks, each task keeps its own `k`
-    best for each query, computed as a matrix product, and only those are shuffled. With `scope`, a column of both
+    best for each query over all its rows, and only those are shuffled. With `scope`, a column of both
     sides, only rows of the query's scope count. Distances are rounded to 6 digits before ties go to the smaller id.
     """
     cols = ["query_id", "embedding", *([scope] if scope else [])]
@@ -43,62 +42,137 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, scope: str | None = None) -
     return first_per(out, ["query_id"], ["distance", "vec_id"], k, "rank").select("query_id", "vec_id", "distance", "rank")
 
 
+class _Best:
+    """The `k` nearest rows of each query that a task has seen so far; of equal distances the smaller id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k = queries, k
+        self.square = (queries**2).sum(1)
+        self.near: list[list[tuple[float, int]]] = [[] for _ in queries]
+        self.bound = np.full(len(queries), np.inf)
+
+    def add(self, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """Takes rows in; `allowed` says which query may have which row."""
+        square = (x**2).sum(1)
+        for lo in range(0, len(x), 1024):
+            part = slice(lo, lo + 1024)
+            # A first estimate finds the rows that may count; their distance is then taken as defined.
+            d = self.square[:, None] + square[part] - 2 * self.q @ x[part].T
+            may = d <= (self.bound + 1e-5 * (1 + self.square))[:, None] + 1e-5 * square[part]
+            if allowed is not None:
+                may &= allowed[:, part]
+            for i in np.flatnonzero(may.any(1)):
+                at = lo + np.flatnonzero(may[i])
+                if len(at) > 4 * self.k:  # the k nearest by the estimate, and all within its error of the last of them
+                    own = d[i][at - lo]
+                    last = np.partition(own, self.k - 1)[self.k - 1]
+                    at = at[own <= last + 2e-5 * (1 + self.square[i] + square[at].max())]
+                exact = np.round(((x[at] - self.q[i]) ** 2).sum(1), 6)
+                self.near[i] = sorted([*self.near[i], *zip(exact.tolist(), ids[at].tolist(), strict=True)])[: self.k]
+                if len(self.near[i]) == self.k:
+                    self.bound[i] = self.near[i][-1][0]
+
+
 def _pass(rows: DataFrame, block: list, k: int, scope: str | None) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = shared.value
-        names = ["query_id", "vec_id", "distance"]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
         if not part:
             return
-        q = np.array([x[1] for x in part], np.float64)
+        best = _Best(np.array([x[1] for x in part], np.float64), k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            d = np.empty((len(part), len(x)))
-            for lo in range(0, len(x), 1024):
-                d[:, lo : lo + 1024] = ((q[:, None, :] - x[None, lo : lo + 1024, :]) ** 2).sum(2) if q.size < 1 << 16 else np.maximum(0, (q**2).sum(1)[:, None] + (x[lo : lo + 1024] ** 2).sum(1) - 2 * q @ x[lo : lo + 1024].T)
-            d = np.round(d, 6)
-            if scope:
-                d[np.array([p[2] for p in part], object)[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = np.inf
-            cols: list[list] = [[], [], []]
-            for i, p in enumerate(part):
-                best = np.lexsort((ids, d[i]))[:k]
-                best = best[np.isfinite(d[i][best])]
-                for col, v in zip(cols, ([p[0]] * len(best), ids[best].tolist(), d[i][best].tolist()), strict=True):
-                    col += v
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            if batch.num_rows:
+                allowed = np.array([p[2] for p in part], object)[:, None] == np.array(batch.column(2).to_pylist(), object)[None, :] if scope else None
+                best.add(np.array(batch.column(1).to_pylist(), np.float64), batch.column(0).to_numpy(zero_copy_only=False), allowed)
+        found = [(p[0], i, d) for p, near in zip(part, best.near, strict=True) for d, i in near]
+        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "distance"])
 
     picked = rows.where("embedding is not null").select(F.col("vec_id").cast("bigint"), "embedding", *([scope] if scope else []))
     return picked.mapInArrow(run, "query_id bigint, vec_id bigint, distance double")
 
 
-def cells(rows: DataFrame, n: int, sample: int = 50_000, seed: int = 1) -> list[list[float]]:
-    """Centres of `n` cells, by k-means on at most `sample` rows, the first by a hash of their id."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def cells(rows: DataFrame, n: int, sample: int = 20_000, seed: int = 1, steps: int = 10) -> np.ndarray:
+    """Centres of `n` cells, by k-means on at most `sample` rows, the first by a hash of their id, on the driver."""
+    drawn = rows.where("embedding is not null").select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample)
+    x = np.array([r.embedding for r in drawn.collect()], np.float64)
+    if not len(x):
+        return np.zeros((0, 0))
+    rng = np.random.default_rng(seed)
+    centres = x[np.sort(rng.choice(len(x), min(n, len(x)), replace=False))]
+    for _ in range(steps):
+        nearest = _nearest(x, centres, 1)[:, 0]
+        counts = np.bincount(nearest, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, x)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
 
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return [c.tolist() for c in KMeans(k=n, seed=seed, maxIter=15).fit(drawn).clusterCenters()]
+def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    d = (centres**2).sum(1)[None, :] - 2 * x @ centres.T
+    return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
-def with_cells(rows: DataFrame, centres: list[list[float]], probes: int = 1) -> DataFrame:
-    """Rows with `cell`, the nearest centre; each row once for each of its `probes` nearest centres."""
-    far = F.array(*(F.struct(T.squared_l2(F.col("embedding"), F.lit(c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
-    return rows.withColumn("cell", F.explode(F.transform(F.slice(F.array_sort(far), 1, probes), lambda x: x["cell"])))
+def with_cells(rows: DataFrame, centres: np.ndarray, name: str = "cell") -> DataFrame:
+    """(vec_id, embedding) with `cell`, the nearest centre: the index of knn_in_cells, to be written partitioned by it."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float64)
+            own = _nearest(x, shared.value, 1)[:, 0] if len(x) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32())], names=["vec_id", "embedding", name])
 
-def knn_in_cells(indexed: DataFrame, queries: DataFrame, centres: list[list[float]], k: int, probes: int) -> DataFrame:
-    """Approximate neighbours: rows (vec_id, embedding, cell) in the `probes` cells nearest to each query.
+    kind = dict(rows.dtypes)["embedding"]
+    return rows.where("embedding is not null").select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, f"vec_id bigint, embedding {kind}, {name} int")
 
-    Every row is indexed; a query meets its cells by equality.
+
+def knn_in_cells(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
+    """Approximate neighbours: of the rows (vec_id, embedding, cell) those in the `probes` cells nearest to each query.
+
+    Every row is indexed. The queries go to the tasks in blocks, as in `knn`; a task compares a row only with the
+    queries that probe its cell, and keeps each query's `k` best, so that a large cell is spread as the rows are.
     """
-    asked = with_cells(queries.select("query_id", F.col("embedding").alias("_q"), "embedding"), centres, probes).select("query_id", "_q", "cell")
-    met = indexed.join(asked, "cell").withColumn("distance", F.round(T.squared_l2(F.col("embedding"), F.col("_q")), 6))
-    return first_per(met.select("query_id", "vec_id", "distance"), ["query_id"], ["distance", "vec_id"], k, "rank")
+    out, block = None, []
+
+    def add(part: list) -> None:
+        nonlocal out
+        one = _probe(indexed, part, centres, k, probes)
+        out = one if out is None else out.unionByName(one)
+
+    for row in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
+        block.append(tuple(row))
+        if len(block) == BLOCK:
+            add(block)
+            block = []
+    if block or out is None:
+        add(block)
+    return first_per(out, ["query_id"], ["distance", "vec_id"], k, "rank").select("query_id", "vec_id", "distance", "rank")
+
+
+def _probe(indexed: DataFrame, block: list, centres: np.ndarray, k: int, probes: int) -> DataFrame:
+    q = np.array([x[1] for x in block], np.float64) if block else np.zeros((0, centres.shape[1] if centres.ndim == 2 else 0))
+    asked: dict[int, list[int]] = {}
+    for i, own in enumerate(_nearest(q, centres, probes) if len(q) and len(centres) else []):
+        for c in own.tolist():
+            asked.setdefault(c, []).append(i)
+    shared = indexed.sparkSession.sparkContext.broadcast((block, q, {c: np.array(v) for c, v in asked.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own, by_cell = shared.value
+        best: dict[int, _Best] = {}
+        for batch in batches:
+            cell = batch.column(2).to_numpy()
+            for c in np.unique(cell):
+                if int(c) in by_cell:
+                    at = np.flatnonzero(cell == c)
+                    few = batch.take(pa.array(at))
+                    best.setdefault(int(c), _Best(own[by_cell[int(c)]], k)).add(np.array(few.column(1).to_pylist(), np.float64), few.column(0).to_numpy())
+        found = [(part[i][0], v, d) for c, b in best.items() for i, near in zip(by_cell[c].tolist(), b.near, strict=True) for d, v in near]
+        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "distance"])
+
+    return indexed.select("vec_id", "embedding", "cell").mapInArrow(run, "query_id bigint, vec_id bigint, distance double")
 
 
 def diverse(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textlake.plans import more_queries, table_queries, text_queries  # noqa: F401
+from textlake.plans import more_queries, path_queries, survey_queries, table_queries, text_queries  # noqa: F401
 from textlake.plans.base import QUERIES, SQL, Query
 
 FLAGSHIP = "r2_exact_path"

@@ -239,10 +239,14 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w11_sliding_minute", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), 4) AS total FROM events")
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    """The sum of the last 60 seconds, by type of event."""
+    """The sum of the last 60 seconds, by type of event. Each event also goes to the minute after its own, so that a task
+    sorts one type's two minutes, however few types there are."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("event_type").orderBy("_ts").rangeBetween(-59_999_999, 0)
-    return table(spark, d, "events").withColumn("_ts", ts).select("event_id", F.round(F.sum("value").over(w), 4).alias("total"))
+    rows = table(spark, d, "events").select("event_id", "event_type", "value", ts.alias("_ts"))
+    minute = F.floor(F.col("_ts") / 60_000_000)
+    spread = rows.withColumn("_own", minute).withColumn("_minute", F.explode(F.array(minute, minute + 1)))
+    w = Window.partitionBy("event_type", "_minute").orderBy("_ts").rangeBetween(-59_999_999, 0)
+    return spread.withColumn("total", F.round(F.sum("value").over(w), 4)).where("_minute = _own").select("event_id", "total")
 
 
 @query("t3_priority_order", "SELECT id, CASE WHEN lower(section_name) LIKE '%indication%' THEN 1 WHEN lower(section_name) LIKE '%dose%' THEN 2 WHEN lower(section_name) LIKE '%warning%' THEN 3 ELSE 4 END AS place FROM monograph_sections")
@@ -278,7 +282,7 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
 def d2(spark: SparkSession, d: str) -> DataFrame:
     """For each content the record of the highest version, after an upsert of newer on older ones."""
     files = table(spark, d, "files")
-    return upkeep.latest(files.where("ingestion_version <= 1"), files.where("ingestion_version > 1 or ingestion_version is null"), ["file_hash"], [F.desc_nulls_last("ingestion_version"), "file_path"]).select("file_hash", "file_path", "ingestion_version")
+    return upkeep.latest(files.where("ingestion_version <= 1"), files.where("ingestion_version > 1 or ingestion_version is null"), ["file_hash"], [("ingestion_version", True), "file_path"]).select("file_hash", "file_path", "ingestion_version")
 
 
 KEY = ["section_id", "sentence_index", "source_type"]

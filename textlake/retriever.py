@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from textlake import providers
 from textlake.functions import text as T
-from textlake.operators import lexical, lookup, retrieve
-from textlake.sources.tables import table
+from textlake.functions import vocabulary as V
+from textlake.operators import intent, lexical, lookup, retrieve
+from textlake.sources.tables import cut, table
 
 
 class Retriever:
@@ -31,10 +32,11 @@ class Retriever:
 
     def answer(self, questions: DataFrame, size: int = 20) -> DataFrame:
         """(query_id, path, answer, sources): the first `size` hits of each question as its context, answered by the default."""
-        hits = self.hits(questions).where(F.col("rank") <= size)
+        every = cut(self.hits(questions))
+        hits = every.where(F.col("rank") <= size)
         found = hits.join(self.sections.select("id", "section_name", "content_text"), "id")
         context = retrieve.context(found, "content_text", "section_name")
-        paths = self.hits(questions).groupBy("query_id").agg(F.first("path").alias("path"))
+        paths = every.groupBy("query_id").agg(F.first("path").alias("path"))
         whole = questions.select("query_id").distinct().join(context, "query_id", "left")
         return providers.extractive(whole).join(whole.select("query_id", F.coalesce("sources", F.lit(0)).alias("sources")), "query_id").join(paths, "query_id")
 
@@ -59,3 +61,21 @@ class Retriever:
     def health(self) -> DataFrame:
         """One row of counts."""
         return self.sections.agg(F.count("*").alias("sections"), F.count_distinct("drug_name").alias("names"), F.count_if(F.col("content_text").isNull()).alias("empty")).withColumn("degraded", F.col("sections") == 0)
+
+    def get_section(self, name: str, section: str) -> DataFrame:
+        """The sections of a name under a section's name, by page."""
+        asked = self.spark.createDataFrame([(1, name, section)], "query_id bigint, name string, section string")
+        return retrieve.exact(asked, self.sections).select("id", "rank", "section_name", "content_text").orderBy("rank")
+
+    def get_structure_image(self, name: str) -> DataFrame:
+        """The pictures of a name's structure, by section."""
+        asked = self.spark.createDataFrame([(1, name, True)], "query_id bigint, name string, needs_image boolean")
+        return retrieve.images(asked, self.sections).select("id", "rank", "image_paths").orderBy("rank")
+
+    def ask(self, questions: DataFrame, core: list[str] = V.CORE) -> DataFrame:
+        """(query_id, path, id, rank): whole questions (query_id, text), classified and sent through all paths."""
+        known = intent.classified(self.spark, questions)
+        attributes = self.spark.createDataFrame([(a, [w.strip() for w in words.split(",")], [s.strip() for s in sections.split(",")]) for a, words, sections in V.ATTRIBUTES], "attribute string, words array<string>, sections array<string>")
+        none = F.array().cast("array<string>")
+        asked = known.join(F.broadcast(attributes), "attribute", "left").withColumn("words", F.coalesce("words", none)).withColumn("sections", F.coalesce("sections", none))
+        return retrieve.cascade(asked.withColumn("candidates", none).withColumn("plan_name", F.col("name")).withColumn("phrases", F.array("text")), self.sections, self.spans, core)
