@@ -223,6 +223,7 @@ def _variants(n: int, r: random.Random, *bases: list[str]) -> dict[str, str]:
 
 def test_a_crowd_of_variants_is_grouped_in_proportion_to_its_rows(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "REGION", 64)
+    monkeypatch.setattr(nearcopies, "CROWD", 64)
     base = [f"w{i}" for i in range(200)]
     texts = _variants(3000, random.Random(1), base) | {"other": " ".join(f"v{i}" for i in range(50)), "null": None}
     compared, sure = [], nearcopies._sure
@@ -234,6 +235,7 @@ def test_a_crowd_of_variants_is_grouped_in_proportion_to_its_rows(spark, monkeyp
 
 def test_groups_of_crowded_regions_equal_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "REGION", 16)
+    monkeypatch.setattr(nearcopies, "CROWD", 16)
     r = random.Random(2)
     base = [f"w{i}" for i in range(40)]
     far = [x if i % 9 else f"y{i}" for i, x in enumerate(base)]
