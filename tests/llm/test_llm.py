@@ -6,6 +6,7 @@ import collections
 import itertools
 import random
 import re
+from itertools import zip_longest
 
 import pytest
 from hypothesis import given, settings
@@ -92,7 +93,7 @@ BODY = (
 ).lower().split()
 
 
-def _scan(seed: int) -> tuple[str, set]:
+def _scan(seed: int) -> tuple[str, set, list[str]]:
     r = random.Random(seed)
     words = [r.choice(BODY) for _ in range(500)]
     lines, damage, line = [], set(), ""
@@ -110,11 +111,11 @@ def _scan(seed: int) -> tuple[str, set]:
         if bad != w:
             damage.add((len(lines) + 1, "misread"))
         line += bad + " "
-    return "\n".join([*lines, line.rstrip()]), damage
+    return "\n".join([*lines, line.rstrip()]), damage, words
 
 
 def test_scans_are_repaired(spark):
-    made = {str(i): _scan(i) for i in range(40)}
+    made = {str(i): _scan(i)[:2] for i in range(40)}
     clean = [("raw_text", f"c{i}", " ".join(random.Random(i).choices(BODY, k=300)) + ".") for i in range(40)]
     rows = spark.createDataFrame([("raw_text", k, t) for k, (t, _) in made.items()] + clean + [("raw_text", "null", None), ("raw_text", "empty", "")], "field string, record_key string, text string")
     lexicon = scans.learn(rows, rows)
@@ -124,16 +125,55 @@ def test_scans_are_repaired(spark):
     texts = {r.record_key: r.text for r in scans.repaired(rows, lexicon).collect()}
     assert texts["empty"] == "" and "null" not in texts
     assert "Confidential" not in texts["0"] and "Page" not in texts["0"]
+    # The texts themselves: characters that differ from the truth.
+    truth = {str(i): " ".join(_scan(i)[2]) for i in range(40)}
+    wrong = sum(mapping.distance(a, b) for k in list(made)[:10] for a, b in zip_longest(truth[k].split(), " ".join(texts[k].split()).split(), fillvalue=""))
+    before = sum(mapping.distance(a, b) for k in list(made)[:10] for a, b in zip_longest(truth[k].split(), made[k][0].split(), fillvalue=""))
+    assert wrong <= 0.001 * sum(len(truth[k]) for k in list(made)[:10]) < before
 
 
 def test_scan_details():
-    lexicon = scans.Lexicon({"unchanged": 100, "the": 500, "patients": 90, "is": 200, "in": 300, "and": 300, "spray": 80}, {"unchanged", "the", "patients", "is", "in", "and", "spray"}).build()
+    words = {"unchanged": 100, "the": 500, "patients": 90, "is": 200, "in": 300, "and": 300, "spray": 80}
+    lexicon = scans.Lexicon(words, set(words), known={"sproy": [(0.2, "spray")]})
     text = "the spray is uncha-\nnged in the sproy and in-\npatients l2 the\nand is"
     got = scans.repair(text, lexicon)
     assert set(got.damage) == {(1, "split_word"), (2, "misread"), (3, "misread")}
     assert got.text == "the spray is unchanged in the spray and in-patients 12 the and is"
     assert [scans.is_page_number(x) for x in ("- 4 -", "Page l0 of 48", "vii", "[l3]", "p. 3", "8.12.", "in 1999.", "mg", "12/60")] == [True, True, True, True, True, False, False, False, True]
     assert scans.cost("irifusion", "infusion") == pytest.approx(0.2) and scans.cost("abc", "xyz") > 1
+    assert scans.cost("pati3nt", "patient") <= scans.MOST < scans.cost("patieut", "patient") and scans.cost("patieut", "patient", learned={("u", "n"): 0.3}) == pytest.approx(0.3)
+
+
+def test_every_word_within_the_cost_is_a_candidate(spark):
+    r = random.Random(4)
+    words = {"".join(r.choices("abcdefghilmnorstuw", k=r.randrange(3, 24))) for _ in range(120)}
+    tokens = set()
+    for w in words:
+        for n in (1, 2, 3):
+            t = w
+            for _ in range(n):
+                meant = [(a, b) for a, b in scans.CONFUSIONS if b in t]
+                if meant:
+                    a, b = r.choice(meant)
+                    t = t.replace(b, a, 1)
+            tokens.add(t)
+        i = r.randrange(len(w))
+        tokens |= {w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + "3" + w[i + 1 :]}
+    tokens = {t for t in tokens if t}
+    found = {(x.token, x.word): x.cost for x in scans.near(spark.createDataFrame([(t,) for t in tokens], "word string"), spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    want = {(t, w) for t in tokens for w in words if t != w and abs(len(t) - len(w)) <= 3 and (scans.cost(t, w) <= scans.MOST or scans._change(t, w))}
+    assert len(want) > 300 and found.keys() >= want
+    assert all(found[k] == pytest.approx(scans.cost(*k)) for k in want if scans.cost(*k) <= scans.MOST)
+
+
+def test_what_scans_show_often_is_learned(spark):
+    words = [f"treat{chr(97 + i)}ent" for i in range(12)]
+    scanned = "\n".join(" ".join(w.replace("t", "q", 1) for w in words) for _ in range(2))
+    rows = [("f", str(i), " ".join(words) + ".") for i in range(20)] + [("f", "scan", scanned), ("f", "other", " ".join(w.replace("n", "x", 1) for w in words) + ".")]
+    known = scans.learn(spark.createDataFrame(rows, "field string, record_key string, text string"))
+    facts = {r.word: r for r in known.facts.collect()}
+    assert [(c.word, c.cost < 0.65) for c in facts["qreataent"].cands] == [("treataent", True)]
+    assert "treataext" not in facts
 
 
 def test_scans_without_rows(spark):

@@ -1,8 +1,9 @@
 """Repairing text from scanned pages: words whole, characters right, page furniture gone.
 
-Everything is learned from the corpus itself: a lexicon with frequencies, in which a symmetric-delete index finds
-candidates for a token that is no word; how often words follow each other; and how the lines look that one document
-repeats from page to page.
+Everything is learned from the corpus itself, over all texts, and kept as tables: a lexicon with frequencies, in which a
+symmetric-delete index finds candidates for a token that is no word; what is misread as what; how often words follow
+each other; and how the lines look that one document repeats from page to page. Texts are repaired in groups of a
+bounded size, each of which gets what the tables say about its own words, however large the tables are.
 """
 
 from __future__ import annotations
@@ -13,22 +14,36 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlake.sources.tables import cut, small
+
 # What is read where something else stands, as (read, meant).
 CONFUSIONS = (
     ("0", "o"), ("1", "i"), ("1", "l"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("b", "h"), ("c", "e"), ("cl", "d"), ("f", "t"), ("ii", "u"), ("o", "a"), ("ri", "n"), ("rn", "m"), ("vv", "w"), ("l", "i"), ("i", "l"),
 )
-#: Cost of a confusion, and the most a repair may cost; any other edit costs 1, so that only confusions are repaired.
-CONFUSED, MOST = 0.2, 0.65
+#: Cost of a confusion, of a digit inside a word of letters, and the most a repair may cost. Any other change of a letter
+#: costs 1, or what the corpus says (see `learned_costs`): a change that scanned texts show far more often than others
+#: comes down to the cost of a confusion.
+CONFUSED, DIGIT, MOST = 0.2, 0.6, 0.65
+#: Distinct tokens that must show a change before its cost is learned.
+SHOWN = 5
 #: Times a word must stand in the corpus to be in the lexicon, and times more often than what it may be misread as.
 KNOWN, TIMES = 5, 10
 #: Share of a word's places inside sentences where a name has a capital letter.
 NAME = 0.3
-#: Words that the lexicon holds at most, the most frequent first (about 2 kB each with the index), and pairs of words.
-WORDS, PAIRS = 50_000, 500_000
+#: Letters beyond which a token is no word.
+LONGEST = 64
+#: Characters of the texts that are repaired together; what is known of their words is of that order too.
+GROUP = 4_000_000
+#: Buckets to which the features of lines are hashed: the header model has one weight for each.
+BUCKETS = 1 << 18
+#: Bits of a filter of words: 16 for each, at most 16 MB. A fuller filter lets more through and loses nothing.
+FILTER_BITS = 1 << 27
 
 TOKEN = re.compile(r"[^\W_]+")
 CAPITAL = re.compile(r"[a-zß-ÿ0-9,%)] ([A-ZÀ-Ý][^\W_]*)")
@@ -40,6 +55,7 @@ NUMBER = re.compile(rf"(?<![^\W_])(?=[{NUMERIC}.,]*[0-9])(?=[0-9.,]*[OolISsBbZzg
 _N = rf"(?:[{NUMERIC}]+|[ivxlcIVXLC1]{{1,7}})"
 PAGE = re.compile(rf"[\s\f]*[\[(\-–—|]*\s*(?:[^\W\d_]{{1,5}}[.:]?\s+)?{_N}(?:\s*(?:/|[^\W\d_]{{2}})\s*{_N})?\s*[\])\-–—|]*\s*")
 PAGE_WORDS = ("page", "p", "pg", "seite")
+GLUE = re.compile(rf"([^\W_]+)[{HYPHENS}][^\S\n]*\n")
 COUNTS = "kind string, a string, b string, n bigint, clean bigint"
 
 
@@ -57,12 +73,26 @@ def is_wrapped(text: str) -> bool:
     return any(a and b and a[-1] not in ".!?:|; " for a, b in zip(lines, lines[1:], strict=False))
 
 
+def glued(text: str) -> Iterator[tuple[str, str]]:
+    """The two ends of each word that may be cut at a line's end: its second end begins one of the next few lines."""
+    for m in GLUE.finditer(text):
+        seen = 0
+        for line in text[m.end() : m.end() + 400].split("\n"):
+            first = re.match(r"\s*([^\W_]+)", line)
+            if first:
+                yield m[1].lower(), first[1].lower()
+            seen += bool(line.strip())
+            if seen > 4:
+                break
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each word how often it stands (clean: in texts without wrapped lines), how often as a name does, and how
-    often before a hyphen inside a line."""
+    often before a hyphen inside a line; and words that only stand if two lines' ends are one."""
     clean: Counter = Counter()
     other: Counter = Counter()
     names: Counter = Counter()
+    wholes: set[str] = set()
 
     def rows() -> Iterator[pa.RecordBatch]:
         out: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
@@ -78,22 +108,30 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         out[("left", w.lower(), "")][0] += n
         for w, n in names.items():
             out[("name", w.lower(), "")][0] += n
-        for c in (clean, other, names):
+        for w in wholes:
+            out[("glue", w, "")][0] = 0
+        for c in (clean, other, names, wholes):
             c.clear()
         yield from _emit(out)
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            (other if is_wrapped(text) else clean).update(text.split())
+            wrapped = is_wrapped(text)
+            (other if wrapped else clean).update(text.split())
             names.update(CAPITAL.findall(text))
+            if wrapped:
+                wholes.update(a + b for a, b in glued(text))
         if len(clean) + len(other) > 1_000_000:
             yield from rows()
     yield from rows()
 
 
-def cost(read: str, meant: str, most: float = MOST) -> float:
-    """Weighted edit distance: CONFUSED for what is easily misread, 1 for any other change of a letter."""
+def cost(read: str, meant: str, most: float = MOST, learned: dict[tuple[str, str], float] | None = None) -> float:
+    """Weighted edit distance: CONFUSED for what is easily misread, DIGIT for a digit inside a word, what is `learned` of a
+    change (read, meant) of one letter, in or out too, and 1 for any other."""
+    learned = learned or {}
     n, m = len(read), len(meant)
+    digit = DIGIT if m > 4 and meant.isalpha() else 1.0
     best = [[math.inf] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
     for i in range(n + 1):
@@ -104,12 +142,13 @@ def cost(read: str, meant: str, most: float = MOST) -> float:
                 continue
             least = min(least, here)
             if i < n and j < m:
-                step = 0.0 if read[i] == meant[j] else 1.0
+                x, y = read[i], meant[j]
+                step = 0.0 if x == y else learned.get((x, y), digit if x.isdigit() else 1.0)
                 best[i + 1][j + 1] = min(best[i + 1][j + 1], here + step)
             if i < n:
-                best[i + 1][j] = min(best[i + 1][j], here + 1)
+                best[i + 1][j] = min(best[i + 1][j], here + learned.get((read[i], ""), 1.0))
             if j < m:
-                best[i][j + 1] = min(best[i][j + 1], here + 1)
+                best[i][j + 1] = min(best[i][j + 1], here + learned.get(("", meant[j]), 1.0))
             for a, b in CONFUSIONS:
                 if read.startswith(a, i) and meant.startswith(b, j):
                     best[i + len(a)][j + len(b)] = min(best[i + len(a)][j + len(b)], here + CONFUSED)
@@ -118,62 +157,50 @@ def cost(read: str, meant: str, most: float = MOST) -> float:
     return best[n][m]
 
 
-def _deletes(word: str, k: int) -> set[str]:
-    out = {word}
-    for _ in range(k):
-        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+def _keys(word: str, units: tuple[str, ...]) -> set[str]:
+    """What is left of a word with one letter deleted, or with up to three of the `units` deleted.
+
+    A token within MOST of a word differs by up to three confusions, or by one other change: with what was read deleted from
+    the one and what was meant from the other, equal strings are left, so that every such pair meets, at any length.
+    """
+    out = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    spots = [(i, i + len(u)) for i in range(len(word)) for u in units if word.startswith(u, i)]
+    last: list[tuple[str, int]] = [("", 0)]  # what stands before the end of the last deleted unit, and that end
+    for _ in range(int(MOST / CONFUSED)):
+        last = [(left + word[end:i], j) for left, end in last for i, j in spots if i >= end]
+        out.update(left + word[end:] for left, end in last)
     return out
 
 
-def _reach(word: str) -> int:
-    return 1 if len(word) < 6 else 2
+READ, MEANT = (tuple(sorted({c[k] for c in CONFUSIONS})) for k in (0, 1))
+
+
+def _change(read: str, meant: str) -> tuple[str, str] | None:
+    """The one letter that was changed, put in or left out; None if it is more."""
+    if read == meant or abs(len(read) - len(meant)) > 1:
+        return None
+    i = next((k for k, (x, y) in enumerate(zip(read, meant, strict=False)) if x != y), min(len(read), len(meant)))
+    a, b = (1, 1) if len(read) == len(meant) else (1, 0) if len(read) > len(meant) else (0, 1)
+    return (read[i : i + a], meant[i : i + b]) if read[i + a :] == meant[i + b :] else None
 
 
 @dataclass
 class Lexicon:
-    """Words with their counts, an index of what is left of them with letters deleted, and what follows what."""
+    """What is known of the words of some texts: counts, candidates of what is no word, and what follows what."""
 
     words: dict[str, int]
     ordinary: set[str]
     pairs: dict[tuple[str, str], int] = field(default_factory=dict)
-    lines: dict[str, float] = field(default_factory=dict)
-    index: dict[str, list[str]] = field(default_factory=dict)
+    lines: np.ndarray | None = None
     siblings: dict[str, list[str]] = field(default_factory=dict)
     before_hyphen: dict[str, int] = field(default_factory=dict)
     known: dict[str, list[tuple[float, str]]] = field(default_factory=dict)
-
-    def build(self) -> Lexicon:
-        """Fills the index; takes words out that are misread ones of much more frequent words."""
-        index = defaultdict(list)
-        for w in self.ordinary:
-            for d in _deletes(w, _reach(w)):
-                index[d].append(w)
-        self.index = dict(index)
-        wrong = [w for w, n in self.words.items() if any(self.words[x] >= TIMES * n for _, x in self._candidates(w) if x != w)]
-        self.misread = {w for w in wrong if w not in self.ordinary}
-        for w in self.misread:
-            self.words.pop(w)
-        self.siblings = {w: s for w in self.ordinary if (s := [x for _, x in self._candidates(w) if x != w])}
-        # Words one of whose letters is misread as the same sign as that of another word: their neighbours decide.
-        swaps = [(a, b) for r, a in CONFUSIONS for q, b in CONFUSIONS if r == q and a != b and len(a) == len(b) == 1]
-        doubtful = {w for w in self.ordinary for a, b in swaps for i, c in enumerate(w) if c == a and w[:i] + b + w[i + 1 :] in self.ordinary}
-        self.watched = doubtful | set(self.siblings) | {x for s in self.siblings.values() for x in s}
-        return self
-
-    def _candidates(self, token: str) -> list[tuple[float, str]]:
-        seen = {w for d in _deletes(token, 2 if len(token) < 16 else 1) for w in self.index.get(d, ())}
-        out = [(c, w) for w in seen if abs(len(w) - len(token)) <= 3 and (c := cost(token, w)) <= MOST]
-        return sorted(out, key=lambda x: (x[0], -self.words[x[1]], x[1]))
+    #: Words of all the lexicon that candidates name, with their counts.
+    counts: dict[str, int] = field(default_factory=dict)
 
     def candidates(self, token: str) -> list[tuple[float, str]]:
         """What a token that is no word may have been, (cost, word), the cheapest first; nothing for a word."""
-        if token in self.words or token.isdigit() or len(token) > 40:
-            return []
-        if token not in self.known:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[token] = self._candidates(token)
-        return self.known[token]
+        return [] if token in self.words else self.known.get(token, [])
 
     def repair(self, token: str, before: str, after: str) -> str | None:
         """The word a token was misread from, if any: of those that cost least the one the neighbours speak for."""
@@ -188,7 +215,7 @@ class Lexicon:
         if not found or len(low) < 3 and not any(c.isdigit() for c in low) and not (self.pairs.get((before, found[0][1]), 0) or self.pairs.get((found[0][1], after), 0)):
             return None
         least = [w for c, w in found if c <= found[0][0] + 1e-9]
-        return max(least, key=lambda w: (self.pairs.get((before, w), 0) + self.pairs.get((w, after), 0), self.words[w]))
+        return max(least, key=lambda w: (self.pairs.get((before, w), 0) + self.pairs.get((w, after), 0), self.counts.get(w, 0)))
 
     def doubts(self, chunk: str) -> bool:
         """Whether anything between two blanks may need repair. Words that exist are doubted in wrapped texts only."""
@@ -205,6 +232,11 @@ class Lexicon:
         return found[0][1] if found else "#" if NUMBER.fullmatch(word) else "*"
 
 
+def bucket(feature: str) -> int:
+    """The bucket of a feature of a line."""
+    return xxhash.xxh3_64_intdigest(feature) % BUCKETS
+
+
 def line_features(line: str, lexicon: Lexicon) -> set[str]:
     """What tells a running header from a line of the body."""
     tokens = [lexicon.seen(t) if t[0].isalnum() else t for t in re.findall(r"[^\W_]+|[^\w\s]", line)]
@@ -239,69 +271,349 @@ def is_page_number(line: str) -> bool:
     return len(words) == 1 and re.fullmatch("[ivxlc]+", words[0]) is not None or bool(re.match(r"(?i)[\[(\-–\s]*(?:p|page)[.:]?\s+\w+", s))
 
 
-def _pairs_and_lines(lexicon: Lexicon, documents: bool):  # noqa: ANN202
+WORDS = "word string, n bigint, clean bigint, name bigint, before bigint"
+NEEDS = "kind string, g int, a string, b string, c string, n bigint"
+FACTS = "g int, kind string, a string, b string, n bigint, ordinary boolean, before bigint, cands array<struct<cost double, word string, n bigint>>"
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _filter(words: DataFrame) -> bytes:
+    """A bit map of the words (word), made by the tasks and put together one at a time."""
+    n, bits = words.count(), 1 << 16
+    while bits < min(FILTER_BITS, 16 * n):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bytearray(bits // 8)
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                h = _hash(w) % bits
+                own[h >> 3] |= 1 << (h & 7)
+        yield pa.RecordBatch.from_arrays([pa.array([bytes(own)])], names=["own"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for row in words.select("word").mapInArrow(run, "own binary").toLocalIterator():
+        out |= np.frombuffer(row.own, np.uint8)
+    return out.tobytes()
+
+
+def _in(bits: bytes, word: str) -> bool:
+    h = _hash(word) % (len(bits) * 8)
+    return bool(bits[h >> 3] >> (h & 7) & 1)
+
+
+def _keyed(words: DataFrame, units: tuple[str, ...], bits: bytes | None = None) -> DataFrame:
+    """(word, key) for what deletions leave of each word, as a hash; with `bits` only what that filter knows."""
+    shared = words.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        watched = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, lexicon.watched))) + r")\b") if lexicon.watched else None
-        rows: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
+        known = shared.value
+        size = len(known) * 8 if known else 1
+        for batch in (b.slice(lo, 2000) for b in batches for lo in range(0, b.num_rows, 2000)):
+            out, keys = [], []
+            for word in batch.column(0).to_pylist():
+                own = {_hash(k) for k in _keys(word, units)}
+                if known:
+                    own = {h for h in own if known[(h % size) >> 3] >> (h % size & 7) & 1}
+                out += [word] * len(own)
+                keys += [h - (1 << 64) if h >> 63 else h for h in own]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(keys, pa.int64())], names=["word", "key"])
+
+    return words.select("word").mapInArrow(run, "word string, key bigint")
+
+
+def _spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """`rows` over all cores: few bytes make much work here, so that sizes alone would gather them in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
+
+def near(tokens: DataFrame, ordinary: DataFrame) -> DataFrame:
+    """(token, word, cost, change): tokens (word) with the ordinary words (word) that one change or a few confusions part
+    them from. Both meet by what deletions leave; the cost is that of the fixed confusions."""
+    index = cut(_keyed(_spread(ordinary, "word"), MEANT))
+    keys = index.select(F.col("key").alias("k")).distinct()
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1)
+            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()])], names=["own"])
+
+    n, size = keys.count(), 1 << 16
+    while size < min(FILTER_BITS, 16 * n):
+        size *= 2
+    bits = np.zeros(size // 8, np.uint8)
+    for row in keys.mapInArrow(bits_of, "own binary").toLocalIterator():
+        bits |= np.frombuffer(row.own, np.uint8)
+    asked = _keyed(_spread(tokens, "word"), READ, bits.tobytes()).withColumnRenamed("word", "token")
+    pairs = asked.join(index, "key").where("token != word").select("token", "word").distinct()
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if watched and not documents:
-                    low = text.lower()
-                    for m in watched.finditer(low):
-                        before, after = low[max(0, m.start() - 30) : m.start()].split()[-1:], low[m.end() : m.end() + 30].split()[:1]
-                        for pair in ((before[0], m[0]) if before else None, (m[0], after[0].strip(",.;:")) if after else None):
-                            if pair and pair[0] in lexicon.words and pair[1] in lexicon.words:
-                                rows[("pair", *pair)][0] += 1
-                if documents and is_wrapped(text):
-                    lines = [x for x in text.replace("\f", "").split("\n") if x.strip() and not is_page_number(x)]
-                    times = Counter(map(_shape, lines))
-                    for line in lines:
-                        is_head = times[_shape(line)] > 1 and len(TOKEN.findall(line)) > 1
-                        if not is_head and times[_shape(line)] > 1:
-                            continue
-                        for f in line_features(line, lexicon) | {"all"}:
-                            v = rows[("line", f, "")]
-                            v[0] += 1
-                            v[1] += is_head
-            if len(rows) > 500_000:
-                yield from _emit(rows)
-                rows.clear()
-        yield from _emit(rows)
-
-    return run
-
-
-def learn(texts: DataFrame, documents: DataFrame | None = None) -> Lexicon:
-    """The lexicon of all `texts` (text), and, of whole `documents` (text), how their repeated lines look."""
-    texts = texts.where("text is not null").select("text")
-    counted = texts.mapInArrow(_count_words, COUNTS).groupBy("a").agg(F.sum(F.when(F.col("kind") == "word", F.col("n"))).alias("n"), F.sum("clean").alias("clean"), F.coalesce(F.sum(F.when(F.col("kind") == "name", F.col("n"))), F.lit(0)).alias("name"), F.coalesce(F.sum(F.when(F.col("kind") == "left", F.col("n"))), F.lit(0)).alias("left"))
-    kept = counted.where(F.col("n") >= KNOWN).orderBy(F.desc("n"), "a").limit(WORDS).collect()
-    clean, whole = sum(r.clean for r in kept), sum(r.n for r in kept)
+            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = [cost(a, b) if abs(len(a) - len(b)) <= 3 else math.inf for a, b in zip(x, y, strict=True)]
+            change = ["\0".join(c) if (c := _change(a, b)) else None for a, b in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array(change, pa.string())], names=["token", "word", "cost", "change"])
+
+    return _spread(pairs, "token").mapInArrow(costs, "token string, word string, cost double, change string").where(F.col("change").isNotNull() | (F.col("cost") <= MOST))
+
+
+def learned_costs(found: DataFrame, counts: DataFrame, scanned: float) -> DataFrame:
+    """(change, learned): what a change of one letter costs, from how much more often tokens that are no words show it in
+    scanned texts than in others.
+
+    scanned: the share of all words that stands in scanned texts. A change 16 times as frequent there as it would be by
+    chance costs as little as a confusion, one as frequent as by chance costs 1; changes that fewer than SHOWN tokens show
+    aren't learned. There are as many changes as pairs of letters, whatever the corpus.
+    """
+    odd = counts.where(F.col("n") < KNOWN).select(F.col("word").alias("token"), "n", "clean")
+    shown = found.where("change is not null").select("token", "change").distinct().join(odd, "token")
+    sums = shown.groupBy("change").agg(F.count("*").alias("tokens"), F.sum(F.col("n") - F.col("clean")).alias("bad"), F.sum("clean").alias("good"))
+    scanned = min(0.999, max(0.001, scanned))
+    by_chance = (F.col("good") + 0.5) * scanned / (1 - scanned)
+    cheap = F.greatest(F.lit(CONFUSED), 1 - 0.2 * F.log2((F.col("bad") + 0.5) / by_chance))
+    return sums.where(F.col("tokens") >= SHOWN).select("change", F.least(F.lit(1.0), cheap).alias("learned")).where("learned < 1")
+
+
+@dataclass
+class Knowledge:
+    """What the corpus teaches, as tables: facts about words, pairs of words, and the weights of the header model."""
+
+    facts: DataFrame
+    #: Filters of what is no word but may have been one, of words that may be others, and of words whose pairs count.
+    odd: bytes
+    doubtful: bytes
+    watched: bytes
+    pairs: DataFrame | None = None
+    lines: np.ndarray | None = None
+    #: The texts it was learned from, and what their groups need, so that this isn't asked again for the same texts.
+    texts: DataFrame | None = None
+    needs: DataFrame | None = None
+
+
+def _group_of(texts: DataFrame, groups: int) -> DataFrame:
+    """Texts with the group they are repaired in; equal texts under other keys go to other groups."""
+    return texts.withColumn("g", F.pmod(F.xxhash64("field", "record_key", "text"), F.lit(groups)).cast("int"))
+
+
+def _groups(texts: DataFrame) -> int:
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, math.ceil(size / GROUP), min(2 * texts.sparkSession.sparkContext.defaultParallelism, size // 200_000))
+
+
+def _needs(texts: DataFrame, known: Knowledge, count_pairs: bool) -> DataFrame:
+    """NEEDS of the groups of `texts` (g, text): words (kind need), contexts of doubtful tokens (kind ask) and of cut words
+    (kind join); and, over all groups, how often pairs with a watched word stand (kind pair).
+
+    A text without wrapped lines, without a token that may have been a word and without an odd number needs nothing: it
+    is sound whatever else is known.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((known.odd, known.doubtful, known.watched))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd, doubtful, watched = shared.value
+        is_odd, in_doubt, on_watch = {}, {}, {}
+        words: set[tuple[int, str]] = set()
+        asks: set[tuple[str, int, str, str, str]] = set()
+        pairs: Counter = Counter()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            every = [("need", g, w, "", "", 1) for g, w in words] + [(*a, 1) for a in asks] + [("pair", 0, a, b, "", n) for (a, b), n in pairs.items()]
+            for lo in range(0, len(every), 50_000):
+                cols = list(zip(*every[lo : lo + 50_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "g", "a", "b", "c", "n"])
+            for held in (words, asks, pairs, is_odd, in_doubt, on_watch):
+                held.clear()
+
+        for batch in batches:
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                wrapped, lower = is_wrapped(text), text.lower()
+                low = TOKEN.findall(lower)
+                own = set(low)
+                for w in own.difference(in_doubt):
+                    is_odd[w] = _in(odd, w)
+                    in_doubt[w], on_watch[w] = is_odd[w] or _in(doubtful, w), _in(watched, w)
+                if count_pairs:
+                    # Words that nothing but a blank parts, a mark behind the second one aside.
+                    chunks = lower.split()
+                    for x, y in zip(chunks, chunks[1:], strict=False):
+                        y = y.strip(",.;:")
+                        if (on_watch.get(x) or on_watch.get(y)) and x in on_watch and y in on_watch:
+                            pairs[x, y] += 1
+                if not (wrapped or any(map(is_odd.__getitem__, own)) or NUMBER.search(text)):
+                    continue
+                words.update([(g, w) for w in own])
+                for i, w in enumerate(low):
+                    if in_doubt[w]:
+                        asks.add(("ask", g, low[i - 1] if i else "", w, low[i + 1] if i + 1 < len(low) else ""))
+                ends = list(glued(text)) if wrapped else []
+                for a, b in ends:
+                    w = a + b
+                    words.add((g, w))
+                    asks.add(("join", g, a, b, ""))
+                    if _in(odd, w) or _in(doubtful, w):
+                        at = next((i for i in range(len(low) - 1) if low[i] == a and low[i + 1] == b), None)
+                        if at is not None:
+                            asks.add(("ask", g, low[at - 1] if at else "", w, low[at + 2] if at + 2 < len(low) else ""))
+            if len(words) + len(asks) + len(pairs) + len(in_doubt) > 1_000_000:
+                yield from rows()
+        yield from rows()
+
+    return texts.select("g", "text").mapInArrow(run, NEEDS)
+
+
+def _facts(known: Knowledge, needs: DataFrame) -> DataFrame:
+    """FACTS of each group: what is known of its words, and how often the pairs stand that its repairs may ask for."""
+    word = needs.where("kind = 'need'").select("g", F.col("a").alias("word")).distinct().join(known.facts, "word")
+    facts = word.select("g", F.lit("word").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), "n", "ordinary", "before", "cands")
+    if known.pairs is None:
+        return facts
+    asks = needs.where("kind = 'ask'").select("g", "a", F.col("b").alias("word"), "c").distinct().join(known.facts.select("word", "cands"), "word")
+    either = asks.select("g", "a", "c", F.explode(F.concat(F.array("word"), F.transform("cands", lambda x: x["word"]))).alias("x"))
+    wanted = either.select("g", F.explode(F.array(F.struct("a", F.col("x").alias("b")), F.struct(F.col("x").alias("a"), F.col("c").alias("b")))).alias("p")).select("g", "p.*")
+    wanted = wanted.unionByName(needs.where("kind = 'join'").select("g", "a", "b")).distinct()
+    pairs = wanted.join(known.pairs, ["a", "b"]).select("g", F.lit("pair").alias("kind"), "a", "b", "n", F.lit(False).alias("ordinary"), F.lit(0).cast("bigint").alias("before"), F.array().cast("array<struct<cost double, word string, n bigint>>").alias("cands"))
+    return facts.unionByName(pairs)
+
+
+def _lexicon(facts: pa.Table, lines: np.ndarray | None) -> Lexicon:
+    """What a group's FACTS say."""
+    own = Lexicon({}, set(), lines=lines)
+    for kind, a, b, n, ordinary, before, cands in zip(*(facts.column(c).to_pylist() for c in ("kind", "a", "b", "n", "ordinary", "before", "cands")), strict=True):
+        if kind == "pair":
+            own.pairs[a, b] = n
+            continue
+        found = [(x["cost"], x["word"]) for x in sorted(cands or (), key=lambda x: (x["cost"], -x["n"], x["word"]))]
+        own.counts.update((x["word"], x["n"]) for x in cands or ())
+        if n is None:
+            own.known[a] = found
+            continue
+        own.words[a] = n
+        if ordinary:
+            own.ordinary.add(a)
+            if found:
+                own.siblings[a] = [w for _, w in found]
+        if before:
+            own.before_hyphen[a] = before
+    return own
+
+
+def _in_groups(texts: DataFrame, facts: DataFrame, lines: np.ndarray | None, make, schema: str) -> DataFrame:  # noqa: ANN001
+    """make(lexicon, texts) of each group, of its texts (g, field, record_key, text) and its own lexicon."""
+    shared = texts.sparkSession.sparkContext.broadcast(lines)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return make(_lexicon(right, shared.value), left)
+
+    return texts.groupBy("g").cogroup(facts.groupBy("g")).applyInArrow(run, schema)
+
+
+def _header_lines(lexicon: Lexicon, texts: pa.Table) -> pa.Table:
+    """How often each bucket of line features stands in lines that a document repeats, and in others; -1 counts lines."""
+    rows: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for text in texts.column("text").to_pylist():
+        if not is_wrapped(text):
+            continue
+        lines = [x for x in text.replace("\f", "").split("\n") if x.strip() and not is_page_number(x)]
+        times = Counter(map(_shape, lines))
+        for line in lines:
+            is_head = times[_shape(line)] > 1 and len(TOKEN.findall(line)) > 1
+            if not is_head and times[_shape(line)] > 1:
+                continue
+            for f in {*map(bucket, line_features(line, lexicon)), -1}:
+                rows[f][0] += 1
+                rows[f][1] += is_head
+    return pa.table({"bucket": pa.array(list(rows), pa.int32()), "n": pa.array([v[0] for v in rows.values()], pa.int64()), "head": pa.array([v[1] for v in rows.values()], pa.int64())})
+
+
+def learn(texts: DataFrame, documents: DataFrame | None = None) -> Knowledge:
+    """What all `texts` (field, record_key, text) teach about words, and whole `documents` of them about repeated lines.
+
+    Words that stand KNOWN times make the lexicon, whatever their number. Those that also stand in texts that weren't
+    scanned as often as can be expected, and are no names, are the ordinary ones that a token may be repaired to. All
+    joins are by equality of words, of pairs, or of what deletions leave of words.
+    """
+    spark, given = texts.sparkSession, texts
+    texts = texts.where("text is not null").select("field", F.col("record_key").cast("string").alias("record_key"), "text")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    counted = texts.select("text").mapInArrow(_count_words, COUNTS).groupBy(F.col("a").alias("word")).agg(of("word").alias("n"), F.sum("clean").alias("clean"), of("name").alias("name"), of("left").alias("before"))
+    counts = cut(counted)
+    kept = counts.where(F.col("n") >= KNOWN)
+    sums = kept.agg(F.sum("clean").alias("clean"), F.sum("n").alias("n")).first()
     # A word belongs to the body of the language if it also stands where nothing was scanned, as often as can be
     # expected; without such texts, frequency alone decides.
-    share = clean / whole if whole else 0.0
-    sound = {r.a for r in kept if r.clean >= 0.25 * share * r.n}
-    ordinary = {r.a for r in kept if r.name < NAME * r.n and r.a in sound and not any(c.isdigit() for c in r.a) and len(r.a) > 1}
-    lexicon = Lexicon({r.a: r.n for r in kept}, ordinary, before_hyphen={r.a: r.left for r in kept if r.left}).build()
-    rows = texts.mapInArrow(_pairs_and_lines(lexicon, False), COUNTS)
+    share = (sums.clean or 0) / sums.n if sums.n else 0.0
+    good = (F.col("clean") >= 0.25 * share * F.col("n")) & (F.col("name") < NAME * F.col("n")) & ~F.col("word").rlike(r"\p{N}") & (F.length("word") > 1) & (F.length("word") <= LONGEST)
+    lexicon = kept.select("word", "n", "before", good.alias("ordinary"))
+    ordinary = lexicon.where("ordinary").select("word")
+    tokens = counts.where((F.length("word") <= LONGEST) & ~F.col("word").rlike(r"^\p{N}+$")).select("word")
+    found = cut(near(tokens, ordinary))
+    costs = learned_costs(found, counts, 1 - share)
+    cheap = {tuple(r.change.split("\0")): r.learned for r in costs.limit(100_000).collect()}  # pairs of letters
+    shared = spark.sparkContext.broadcast(cheap)
+
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [cost(a, b, learned=shared.value) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.float64())], names=["token", "word", "cost"])
+
+    again = found.where(F.col("cost") > MOST).join(F.broadcast(costs.select("change")), "change", "left_semi") if cheap else found.where("false")
+    priced_ = again.select("token", "word").mapInArrow(priced, "token string, word string, cost double")
+    sure = found.select("token", "word", "cost").unionByName(priced_).where(F.col("cost") <= MOST).groupBy("token", "word").agg(F.min("cost").alias("cost"))
+    sized = sure.join(lexicon.select("word", "n"), "word")
+    cands = cut(sized.groupBy("token").agg(F.collect_list(F.struct("cost", "word", "n")).alias("cands"), F.max("n").alias("most")))
+    every = lexicon.join(cands.withColumnRenamed("token", "word"), "word", "full_outer")
+    # What is misread from a word that stands far more often, and isn't ordinary, is no word.
+    wrong = F.col("n").isNull() | ~F.col("ordinary") & F.coalesce(F.col("most") >= TIMES * F.col("n"), F.lit(False))
+    none = F.array().cast("array<struct<cost double, word string, n bigint>>")
+    facts = cut(every.select("word", F.when(~wrong, F.col("n")).alias("n"), (~wrong & F.coalesce("ordinary", F.lit(False))).alias("ordinary"), F.when(~wrong, F.col("before")).otherwise(0).alias("before"), F.when(wrong | F.col("ordinary"), F.coalesce("cands", none)).otherwise(none).alias("cands")))
+    siblings = facts.where("ordinary and size(cands) > 0")
+    watched = siblings.select(F.explode(F.concat(F.array("word"), F.transform("cands", lambda x: x["word"]))).alias("word")).unionByName(_swapped(ordinary)).distinct()
+    known = Knowledge(facts, _filter(facts.where("n is null and size(cands) > 0")), _filter(siblings), _filter(watched), texts=given)
+    known.needs = cut(_needs(_group_of(texts, _groups(texts)), known, True))
+    counted_pairs = known.needs.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 3")
+    exact = counted_pairs.join(small(watched.withColumnRenamed("word", "a").withColumn("_a", F.lit(1)), 500_000), "a", "left").join(small(watched.withColumnRenamed("word", "b").withColumn("_b", F.lit(1)), 500_000), "b", "left")
+    real = lexicon.select("word")
+    kept_pairs = exact.where("_a = 1 or _b = 1").select("a", "b", "n")
+    known.pairs = cut(kept_pairs.join(small(real.withColumnRenamed("word", "a"), 500_000), "a", "left_semi").join(small(real.withColumnRenamed("word", "b"), 500_000), "b", "left_semi"))
     if documents is not None:
-        rows = rows.where("kind = 'pair'").unionByName(documents.where("text is not null").select("text").mapInArrow(_pairs_and_lines(lexicon, True), COUNTS).where("kind = 'line'"))
-    found = rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")).where("n >= 3").orderBy(F.desc("n"), "kind", "a", "b").limit(PAIRS).collect()
-    lexicon.pairs = {(r.a, r.b): r.n for r in found if r.kind == "pair"}
-    lines = {r.a: (r.clean, r.n - r.clean) for r in found if r.kind == "line"}
-    heads, bodies = lines.pop("all", (0, 0))
-    lexicon.lines = {f: math.log((h + 0.2) / (heads + 1)) - math.log((b + 0.2) / (bodies + 1)) for f, (h, b) in lines.items()} if heads and bodies else {}
-    lexicon.known.clear()
-    return lexicon
+        own = documents.where("text is not null").select(F.lit("").alias("field"), F.lit("").alias("record_key"), "text")
+        own = _group_of(own, _groups(own))
+        bare = Knowledge(facts, known.odd, known.doubtful, known.watched)
+        made = _in_groups(own, _facts(bare, _needs(own, bare, False)), None, _header_lines, "bucket int, n bigint, head bigint")
+        rows = made.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("head").alias("head")).where("n >= 3").collect()  # a row a bucket
+        by = {r.bucket: (r.head, r.n - r.head) for r in rows}
+        heads, bodies = by.pop(-1, (0, 0))
+        if heads and bodies:
+            known.lines = np.zeros(BUCKETS)
+            for f, (h, b) in by.items():
+                known.lines[f] = math.log((h + 0.2) / (heads + 1)) - math.log((b + 0.2) / (bodies + 1))
+    return known
+
+
+def _swapped(ordinary: DataFrame) -> DataFrame:
+    """(word): ordinary words one of whose letters is misread as the same sign as that of another one: their neighbours decide."""
+    swaps = sorted({(a, b) for r, a in CONFUSIONS for q, b in CONFUSIONS if r == q and a != b and len(a) == len(b) == 1})
+    alike = None
+    for a, b in swaps:
+        at = ordinary.where(F.contains("word", F.lit(a))).select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).where(F.substr("word", "i", F.lit(1)) == a)
+        own = at.select("word", F.concat(F.substr("word", F.lit(1), F.col("i") - 1), F.lit(b), F.substr("word", F.col("i") + 1)).alias("other"))
+        alike = own if alike is None else alike.unionByName(own)
+    return alike.join(small(ordinary.withColumnRenamed("word", "other"), 500_000), "other", "left_semi").select("word").distinct()
 
 
 def is_furniture(line: str, lexicon: Lexicon) -> bool:
     """Whether a line looks like those that documents repeat from page to page."""
     s = line.strip()
-    if not s or not lexicon.lines or s[0].islower() or len(s) > 120:
+    if not s or lexicon.lines is None or s[0].islower():
         return False
     # The short last line of a paragraph looks a little like a header; only names bring a full stop into one.
-    return math.fsum(lexicon.lines.get(f, 0.0) for f in line_features(line, lexicon)) > (8.0 if s[-1] in ".!?" else 3.0)
+    return math.fsum(lexicon.lines[f] for f in set(map(bucket, line_features(line, lexicon)))) > (8.0 if s[-1] in ".!?" else 3.0)
 
 
 @dataclass
@@ -399,59 +711,55 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
     return Repaired("".join(fixed).replace("\n", "\n\n"), sorted(set(damage)))
 
 
-def _repaired(lexicon: Lexicon, texts_too: bool):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+OUT = "field string, record_key string, line_no int, damage string"
+
+
+def _repaired(texts_too: bool):  # noqa: ANN202
+    def make(lexicon: Lexicon, texts: pa.Table) -> pa.Table:
         fine: set[str] = set()  # what stands between blanks and needs no repair
 
         def sound(text: str) -> bool:
-            nonlocal fine
             if is_wrapped(text):
                 return False
             for chunk in set(text.split()) - fine:
                 if lexicon.doubts(chunk):
                     return False
-                if len(fine) > 1_000_000:
-                    fine = set()
                 fine.add(chunk)
             return True
 
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for name, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                r = Repaired(text, []) if sound(text) else repair(text, lexicon)
-                for line, kind in r.damage:
-                    for col, x in zip(cols, (name, key, line, kind), strict=True):
-                        col.append(x)
-                if texts_too:
-                    for col, x in zip(cols, (name, key, 0, r.text), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["field", "record_key", "line_no", "damage"])
-
-    return run
+        cols: list[list] = [[], [], [], []]
+        for name, key, text in zip(*(texts.column(c).to_pylist() for c in ("field", "record_key", "text")), strict=True):
+            r = Repaired(text, []) if sound(text) else repair(text, lexicon)
+            for line, kind in r.damage:
+                for col, x in zip(cols, (name, key, line, kind), strict=True):
+                    col.append(x)
+            if texts_too:
+                for col, x in zip(cols, (name, key, 0, r.text), strict=True):
+                    col.append(x)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["field", "record_key", "line_no", "damage"])
 
+    return make
 
-def _shared(lexicon: Lexicon, texts: DataFrame, texts_too: bool) -> DataFrame:
-    known = texts.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _repaired(known.value, texts_too)(batches)
 
+def _whole(texts: DataFrame, known: Knowledge, texts_too: bool) -> DataFrame:
     rows = texts.where("text is not null").select("field", F.col("record_key").cast("string").alias("record_key"), "text")
-    return rows.mapInArrow(run, "field string, record_key string, line_no int, damage string")
+    grouped = _group_of(rows, _groups(rows))
+    needs = known.needs if texts is known.texts else cut(_needs(grouped, known, False))
+    return _in_groups(grouped, _facts(known, needs), known.lines, _repaired(texts_too), OUT)
 
 
-def damaged(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+def damaged(texts: DataFrame, known: Knowledge) -> DataFrame:
     """(field, record_key, line_no, damage) for every damaged line of `texts` (field, record_key, text).
 
     damage is split_word, misread, running_header or page_number; lines count from 1. Headers and page numbers are
     looked for where a text has wrapped lines. Nulls and empty texts have no damage; repeated rows repeat theirs.
     """
-    return _shared(lexicon, texts, False)
+    return _whole(texts, known, False)
 
 
-def repaired(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+def repaired(texts: DataFrame, known: Knowledge) -> DataFrame:
     """(field, record_key, text): every text of `texts` (field, record_key, text) as continuous paragraphs.
 
     A blank line parts paragraphs. Null texts are left out, an empty text stays empty.
     """
-    return _shared(lexicon, texts, True).where("line_no = 0").select("field", "record_key", F.col("damage").alias("text"))
+    return _whole(texts, known, True).where("line_no = 0").select("field", "record_key", F.col("damage").alias("text"))
