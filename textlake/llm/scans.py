@@ -375,9 +375,9 @@ def learned_costs(found: DataFrame, counts: DataFrame, scanned: float) -> DataFr
     shown = found.where("change is not null").select("token", "change").distinct().join(odd, "token")
     sums = shown.groupBy("change").agg(F.count("*").alias("tokens"), F.sum(F.col("n") - F.col("clean")).alias("bad"), F.sum("clean").alias("good"))
     scanned = min(0.999, max(0.001, scanned))
-    by_chance = (F.col("good") + 0.5) * scanned / (1 - scanned)
-    cheap = F.greatest(F.lit(CONFUSED), 1 - 0.2 * F.log2((F.col("bad") + 0.5) / by_chance))
-    return sums.where(F.col("tokens") >= SHOWN).select("change", F.least(F.lit(1.0), cheap).alias("learned")).where("learned < 1")
+    by_chance = F.col("good") * scanned / (1 - scanned) + 0.5
+    cheap = F.greatest(F.lit(CONFUSED), 1 - 0.2 * F.log2(F.col("bad") / by_chance))
+    return sums.where((F.col("tokens") >= SHOWN) & (F.col("bad") >= SHOWN)).select("change", F.least(F.lit(1.0), cheap).alias("learned")).where("learned < 1")
 
 
 @dataclass
