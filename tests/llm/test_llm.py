@@ -598,7 +598,18 @@ def test_look_alike_pairs_equal_brute_force(spark):
     assert {tuple(r) for r in queries.p8_found(spark, f"{DATA}/sf0.01").collect()} == want
 
 
+def test_letters_off_the_table_are_found_by_the_words_of_the_documents(spark):
+    # The Georgian and Cyrillic letters here are in no table; the words are, in enough documents.
+    rows = [(i, f"the bottle number{'x' * i} of tablets") for i in range(6)] + [(10, "one bottle"), (11, "one ბottle"), (12, "one boттle"), (13, "one BOTTLE"), (14, "ЖЩШЫbottle"), (15, "TNFω and gene"), (16, "bottlの one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.canonical for r in lookalikes.canonical(docs).collect()}
+    assert got[11] == got[10] == "one bottle" and got[13] != got[10]
+    assert got[14] == "ЖЩШЫbottle" and got[15] == "TNFω and gene" and got[16] == "bottlの one"
+    assert {(r.doc_id_a, r.doc_id_b) for r in lookalikes.same_look(docs).collect()} >= {(10, 11)}
+
+
 def test_trie_costs():
     trie = lookalikes.Trie({"café": 5, "cafés": 2, "сор": 9})
     assert trie.canonical("café") == "café" and trie.canonical("cafe") is None
+    assert trie.canonical("cжfé", cost=1, other=2, weak={"ж"}) == "café" and trie.canonical("cofé", cost=1, other=2, weak={"ж"}) is None
     assert trie.canonical("cofé", cost=1) == "café" and trie.canonical("cop") == "сор"

@@ -42,6 +42,9 @@ LONGEST = 64
 GROUP = 4_000_000
 #: Buckets to which the features of lines are hashed: the header model has one weight for each.
 BUCKETS = 1 << 18
+#: Words, the most frequent first, that every task knows (some 150 bytes each): a cache, which spares them the joins that
+#: all others take part in, and has no say in any result.
+CORE = 50_000
 #: Bits of a filter of words: 16 for each, at most 16 MB. A fuller filter lets more through and loses nothing.
 FILTER_BITS = 1 << 27
 
@@ -271,8 +274,6 @@ def is_page_number(line: str) -> bool:
     return len(words) == 1 and re.fullmatch("[ivxlc]+", words[0]) is not None or bool(re.match(r"(?i)[\[(\-–\s]*(?:p|page)[.:]?\s+\w+", s))
 
 
-WORDS = "word string, n bigint, clean bigint, name bigint, before bigint"
-NEEDS = "kind string, g int, a string, b string, c string, n bigint"
 FACTS = "g int, kind string, a string, b string, n bigint, ordinary boolean, before bigint, cands array<struct<cost double, word string, n bigint>>"
 
 
@@ -385,15 +386,14 @@ class Knowledge:
     """What the corpus teaches, as tables: facts about words, pairs of words, and the weights of the header model."""
 
     facts: DataFrame
-    #: Filters of what is no word but may have been one, of words that may be others, and of words whose pairs count.
+    core: Lexicon
+    #: Filters of what is no word but may have been one; of what the core doesn't know; of what only its neighbours settle.
     odd: bytes
-    doubtful: bytes
-    watched: bytes
+    rest: bytes
+    unsure: bytes
+    #: Pairs of words that stand often enough, and a filter of them.
     pairs: DataFrame | None = None
-    lines: np.ndarray | None = None
-    #: The texts it was learned from, and what their groups need, so that this isn't asked again for the same texts.
-    texts: DataFrame | None = None
-    needs: DataFrame | None = None
+    paired: bytes | None = None
 
 
 def _group_of(texts: DataFrame, groups: int) -> DataFrame:
@@ -406,69 +406,108 @@ def _groups(texts: DataFrame) -> int:
     return max(1, math.ceil(size / GROUP), min(2 * texts.sparkSession.sparkContext.defaultParallelism, size // 200_000))
 
 
-def _needs(texts: DataFrame, known: Knowledge, count_pairs: bool) -> DataFrame:
-    """NEEDS of the groups of `texts` (g, text): words (kind need), contexts of doubtful tokens (kind ask) and of cut words
-    (kind join); and, over all groups, how often pairs with a watched word stand (kind pair).
+def _pairs(texts: DataFrame, watched: bytes) -> DataFrame:
+    """(a, b, n): pairs of words that nothing but a blank parts, a mark behind the second one aside, one of them watched."""
+    shared = texts.sparkSession.sparkContext.broadcast(watched)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter = Counter()
+        known: dict[str, tuple[str, bool]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            every = list(pairs.items())
+            for lo in range(0, len(every), 50_000):
+                part = every[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p, _ in part], pa.string()), pa.array([p[1] for p, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["a", "b", "n"])
+            pairs.clear()
+            known.clear()
+
+        def look(chunk: str) -> tuple[str, str, bool]:
+            bare = chunk.strip(",.;:")
+            return chunk if chunk.isalnum() else "", bare if bare.isalnum() else "", bare.isalnum() and _in(shared.value, bare)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                before, of_note = "", False
+                for chunk in text.lower().split():
+                    if chunk not in known:
+                        known[chunk] = look(chunk)
+                    first, second, now = known[chunk]
+                    if before and second and (of_note or now):
+                        pairs[before, second] += 1
+                    before, of_note = first, now
+            if len(pairs) + len(known) > 1_000_000:
+                yield from rows()
+        yield from rows()
+
+    return texts.select("text").mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 3")
+
+
+def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
+    """(kind, g, a, b, c) of the groups of `texts` (g, text): words that the core doesn't know (kind need), contexts of tokens that only
+    their neighbours settle (kind ask), and pairs of words that may decide something (kind pair).
 
     A text without wrapped lines, without a token that may have been a word and without an odd number needs nothing: it
-    is sound whatever else is known.
+    is sound whatever else is known. A pair that the filter of pairs doesn't know decides nothing.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((known.odd, known.doubtful, known.watched))
+    shared = texts.sparkSession.sparkContext.broadcast((known.odd, known.rest, known.unsure, known.paired, known.core.siblings if known.paired else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd, doubtful, watched = shared.value
-        is_odd, in_doubt, on_watch = {}, {}, {}
-        words: set[tuple[int, str]] = set()
-        asks: set[tuple[str, int, str, str, str]] = set()
-        pairs: Counter = Counter()
+        odd, rest, unsure, paired, siblings = shared.value
+        state: dict[str, tuple[bool, bool, bool]] = {}
+        out: set[tuple[str, int, str, str, str]] = set()
+        stands = (lambda a, b: _in(paired, f"{a} {b}")) if paired else (lambda a, b: False)
 
         def rows() -> Iterator[pa.RecordBatch]:
-            every = [("need", g, w, "", "", 1) for g, w in words] + [(*a, 1) for a in asks] + [("pair", 0, a, b, "", n) for (a, b), n in pairs.items()]
+            every = list(out)
             for lo in range(0, len(every), 50_000):
                 cols = list(zip(*every[lo : lo + 50_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "g", "a", "b", "c", "n"])
-            for held in (words, asks, pairs, is_odd, in_doubt, on_watch):
-                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["kind", "g", "a", "b", "c"])
+            out.clear()
+            state.clear()
+
+        def of(w: str) -> tuple[bool, bool, bool]:
+            if w not in state:
+                state[w] = (_in(odd, w), _in(rest, w), bool(paired) and _in(unsure, w))
+            return state[w]
 
         for batch in batches:
             for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wrapped, lower = is_wrapped(text), text.lower()
-                low = TOKEN.findall(lower)
-                own = set(low)
-                for w in own.difference(in_doubt):
-                    is_odd[w] = _in(odd, w)
-                    in_doubt[w], on_watch[w] = is_odd[w] or _in(doubtful, w), _in(watched, w)
-                if count_pairs:
-                    # Words that nothing but a blank parts, a mark behind the second one aside.
-                    chunks = lower.split()
-                    for x, y in zip(chunks, chunks[1:], strict=False):
-                        y = y.strip(",.;:")
-                        if (on_watch.get(x) or on_watch.get(y)) and x in on_watch and y in on_watch:
-                            pairs[x, y] += 1
-                if not (wrapped or any(map(is_odd.__getitem__, own)) or NUMBER.search(text)):
+                wrapped = is_wrapped(text)
+                low = TOKEN.findall(text.lower())
+                own = {w: of(w) for w in set(low)}
+                if not (wrapped or any(x[0] for x in own.values()) or NUMBER.search(text)):
                     continue
-                words.update([(g, w) for w in own])
+                out.update([("need", g, w, "", "") for w, x in own.items() if x[1]])
                 for i, w in enumerate(low):
-                    if in_doubt[w]:
-                        asks.add(("ask", g, low[i - 1] if i else "", w, low[i + 1] if i + 1 < len(low) else ""))
-                ends = list(glued(text)) if wrapped else []
-                for a, b in ends:
+                    if not own[w][2] and w not in siblings:
+                        continue
+                    before, after = low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else ""
+                    if own[w][2]:
+                        out.add(("ask", g, before, w, after))
+                    for x in siblings.get(w, ()):
+                        if stands(before, x) and stands(x, after):
+                            out.update([("pair", g, before, x, ""), ("pair", g, x, after, ""), ("pair", g, before, w, ""), ("pair", g, w, after, "")])
+                for a, b in glued(text) if wrapped else ():
                     w = a + b
-                    words.add((g, w))
-                    asks.add(("join", g, a, b, ""))
-                    if _in(odd, w) or _in(doubtful, w):
+                    is_odd, is_rest, is_unsure = of(w)
+                    if is_rest:
+                        out.add(("need", g, w, "", ""))
+                    if stands(a, b):
+                        out.add(("pair", g, a, b, ""))
+                    if is_unsure:
                         at = next((i for i in range(len(low) - 1) if low[i] == a and low[i + 1] == b), None)
                         if at is not None:
-                            asks.add(("ask", g, low[at - 1] if at else "", w, low[at + 2] if at + 2 < len(low) else ""))
-            if len(words) + len(asks) + len(pairs) + len(in_doubt) > 1_000_000:
+                            out.add(("ask", g, low[at - 1] if at else "", w, low[at + 2] if at + 2 < len(low) else ""))
+            if len(out) + len(state) > 1_000_000:
                 yield from rows()
         yield from rows()
 
-    return texts.select("g", "text").mapInArrow(run, NEEDS)
+    return texts.select("g", "text").mapInArrow(run, "kind string, g int, a string, b string, c string")
 
 
 def _facts(known: Knowledge, needs: DataFrame) -> DataFrame:
-    """FACTS of each group: what is known of its words, and how often the pairs stand that its repairs may ask for."""
+    """FACTS of each group: what is known of its words beyond the core, and how often the pairs stand that it may ask for."""
     word = needs.where("kind = 'need'").select("g", F.col("a").alias("word")).distinct().join(known.facts, "word")
     facts = word.select("g", F.lit("word").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), "n", "ordinary", "before", "cands")
     if known.pairs is None:
@@ -476,39 +515,54 @@ def _facts(known: Knowledge, needs: DataFrame) -> DataFrame:
     asks = needs.where("kind = 'ask'").select("g", "a", F.col("b").alias("word"), "c").distinct().join(known.facts.select("word", "cands"), "word")
     either = asks.select("g", "a", "c", F.explode(F.concat(F.array("word"), F.transform("cands", lambda x: x["word"]))).alias("x"))
     wanted = either.select("g", F.explode(F.array(F.struct("a", F.col("x").alias("b")), F.struct(F.col("x").alias("a"), F.col("c").alias("b")))).alias("p")).select("g", "p.*")
-    wanted = wanted.unionByName(needs.where("kind = 'join'").select("g", "a", "b")).distinct()
+    wanted = wanted.unionByName(needs.where("kind = 'pair'").select("g", "a", "b")).distinct()
     pairs = wanted.join(known.pairs, ["a", "b"]).select("g", F.lit("pair").alias("kind"), "a", "b", "n", F.lit(False).alias("ordinary"), F.lit(0).cast("bigint").alias("before"), F.array().cast("array<struct<cost double, word string, n bigint>>").alias("cands"))
     return facts.unionByName(pairs)
 
 
-def _lexicon(facts: pa.Table, lines: np.ndarray | None) -> Lexicon:
-    """What a group's FACTS say."""
-    own = Lexicon({}, set(), lines=lines)
-    for kind, a, b, n, ordinary, before, cands in zip(*(facts.column(c).to_pylist() for c in ("kind", "a", "b", "n", "ordinary", "before", "cands")), strict=True):
-        if kind == "pair":
-            own.pairs[a, b] = n
-            continue
-        found = [(x["cost"], x["word"]) for x in sorted(cands or (), key=lambda x: (x["cost"], -x["n"], x["word"]))]
-        own.counts.update((x["word"], x["n"]) for x in cands or ())
-        if n is None:
-            own.known[a] = found
-            continue
-        own.words[a] = n
-        if ordinary:
-            own.ordinary.add(a)
-            if found:
-                own.siblings[a] = [w for _, w in found]
-        if before:
-            own.before_hyphen[a] = before
-    return own
-
-
-def _in_groups(texts: DataFrame, facts: DataFrame, lines: np.ndarray | None, make, schema: str) -> DataFrame:  # noqa: ANN001
-    """make(lexicon, texts) of each group, of its texts (g, field, record_key, text) and its own lexicon."""
-    shared = texts.sparkSession.sparkContext.broadcast(lines)
+def _add(own: Lexicon, word: str, n: int | None, ordinary: bool, before: int, cands: list[dict]) -> None:
+    """Puts one word's facts into a lexicon."""
+    found = [(x["cost"], x["word"]) for x in sorted(cands or (), key=lambda x: (x["cost"], -x["n"], x["word"]))]
+    own.counts.update((x["word"], x["n"]) for x in cands or ())
+    if n is None:
+        own.known[word] = found
+        return
+    own.words[word] = n
+    if ordinary:
+        own.ordinary.add(word)
+        if found:
+            own.siblings[word] = [w for _, w in found]
+    if before:
+        own.before_hyphen[word] = before
+
+
+def _without(own: Lexicon, words: list[str]) -> None:
+    """Takes words out of a lexicon again."""
+    for held in (own.words, own.siblings, own.before_hyphen):
+        for w in words:
+            held.pop(w, None)
+    own.ordinary.difference_update(words)
+    own.known.clear()
+    own.counts.clear()
+    own.pairs.clear()
+
+
+def _in_groups(texts: DataFrame, facts: DataFrame, core: Lexicon, make, schema: str) -> DataFrame:  # noqa: ANN001
+    """make(lexicon, texts) of each group: its texts (g, field, record_key, text), and the core with the group's own facts."""
+    shared = texts.sparkSession.sparkContext.broadcast(core)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return make(_lexicon(right, shared.value), left)
+        own, words = shared.value, []
+        for kind, a, b, n, ordinary, before, cands in zip(*(right.column(c).to_pylist() for c in ("kind", "a", "b", "n", "ordinary", "before", "cands")), strict=True):
+            if kind == "pair":
+                own.pairs[a, b] = n
+            elif a not in own.words:
+                words.append(a)
+                _add(own, a, n, ordinary, before, cands)
+        try:
+            return make(own, left)
+        finally:
+            _without(own, words)
 
     return texts.groupBy("g").cogroup(facts.groupBy("g")).applyInArrow(run, schema)
 
@@ -538,7 +592,7 @@ def learn(texts: DataFrame, documents: DataFrame | None = None) -> Knowledge:
     scanned as often as can be expected, and are no names, are the ordinary ones that a token may be repaired to. All
     joins are by equality of words, of pairs, or of what deletions leave of words.
     """
-    spark, given = texts.sparkSession, texts
+    spark = texts.sparkSession
     texts = texts.where("text is not null").select("field", F.col("record_key").cast("string").alias("record_key"), "text")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     counted = texts.select("text").mapInArrow(_count_words, COUNTS).groupBy(F.col("a").alias("word")).agg(of("word").alias("n"), F.sum("clean").alias("clean"), of("name").alias("name"), of("left").alias("before"))
@@ -574,25 +628,29 @@ def learn(texts: DataFrame, documents: DataFrame | None = None) -> Knowledge:
     facts = cut(every.select("word", F.when(~wrong, F.col("n")).alias("n"), (~wrong & F.coalesce("ordinary", F.lit(False))).alias("ordinary"), F.when(~wrong, F.col("before")).otherwise(0).alias("before"), F.when(wrong | F.col("ordinary"), F.coalesce("cands", none)).otherwise(none).alias("cands")))
     siblings = facts.where("ordinary and size(cands) > 0")
     watched = siblings.select(F.explode(F.concat(F.array("word"), F.transform("cands", lambda x: x["word"]))).alias("word")).unionByName(_swapped(ordinary)).distinct()
-    known = Knowledge(facts, _filter(facts.where("n is null and size(cands) > 0")), _filter(siblings), _filter(watched), texts=given)
-    known.needs = cut(_needs(_group_of(texts, _groups(texts)), known, True))
-    counted_pairs = known.needs.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 3")
+    core = Lexicon({}, set())
+    for r in facts.where("n is not null").orderBy(F.desc("n"), "word").limit(CORE).collect():
+        _add(core, r.word, r.n, r.ordinary, r.before, [x.asDict() for x in r.cands])
+    core.counts.clear()
+    beyond = facts.join(F.broadcast(spark.createDataFrame([(w,) for w in core.words], "word string")), "word", "left_anti")
+    lone = F.size(F.filter("cands", lambda x: x["cost"] <= F.array_min(F.transform("cands", lambda y: y["cost"])) + 1e-9)) == 1
+    known = Knowledge(facts, core, _filter(facts.where("n is null and size(cands) > 0")), _filter(beyond), _filter(beyond.where("size(cands) > 0").where(F.col("n").isNotNull() | ~lone | (F.length("word") < 3))))
+    counted_pairs = _pairs(texts, _filter(watched))
     exact = counted_pairs.join(small(watched.withColumnRenamed("word", "a").withColumn("_a", F.lit(1)), 500_000), "a", "left").join(small(watched.withColumnRenamed("word", "b").withColumn("_b", F.lit(1)), 500_000), "b", "left")
     real = lexicon.select("word")
-    kept_pairs = exact.where("_a = 1 or _b = 1").select("a", "b", "n")
-    known.pairs = cut(kept_pairs.join(small(real.withColumnRenamed("word", "a"), 500_000), "a", "left_semi").join(small(real.withColumnRenamed("word", "b"), 500_000), "b", "left_semi"))
+    pairs = cut(exact.where("_a = 1 or _b = 1").select("a", "b", "n").join(small(real.withColumnRenamed("word", "a"), 500_000), "a", "left_semi").join(small(real.withColumnRenamed("word", "b"), 500_000), "b", "left_semi"))
     if documents is not None:
         own = documents.where("text is not null").select(F.lit("").alias("field"), F.lit("").alias("record_key"), "text")
         own = _group_of(own, _groups(own))
-        bare = Knowledge(facts, known.odd, known.doubtful, known.watched)
-        made = _in_groups(own, _facts(bare, _needs(own, bare, False)), None, _header_lines, "bucket int, n bigint, head bigint")
+        made = _in_groups(own, _facts(known, _needs(own, known)), core, _header_lines, "bucket int, n bigint, head bigint")
         rows = made.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("head").alias("head")).where("n >= 3").collect()  # a row a bucket
         by = {r.bucket: (r.head, r.n - r.head) for r in rows}
         heads, bodies = by.pop(-1, (0, 0))
         if heads and bodies:
-            known.lines = np.zeros(BUCKETS)
+            core.lines = np.zeros(BUCKETS)
             for f, (h, b) in by.items():
-                known.lines[f] = math.log((h + 0.2) / (heads + 1)) - math.log((b + 0.2) / (bodies + 1))
+                core.lines[f] = math.log((h + 0.2) / (heads + 1)) - math.log((b + 0.2) / (bodies + 1))
+    known.pairs, known.paired = pairs, _filter(pairs.select(F.concat_ws(" ", "a", "b").alias("word")))
     return known
 
 
@@ -744,8 +802,7 @@ def _repaired(texts_too: bool):  # noqa: ANN202
 def _whole(texts: DataFrame, known: Knowledge, texts_too: bool) -> DataFrame:
     rows = texts.where("text is not null").select("field", F.col("record_key").cast("string").alias("record_key"), "text")
     grouped = _group_of(rows, _groups(rows))
-    needs = known.needs if texts is known.texts else cut(_needs(grouped, known, False))
-    return _in_groups(grouped, _facts(known, needs), known.lines, _repaired(texts_too), OUT)
+    return _in_groups(grouped, _facts(known, cut(_needs(grouped, known))), known.core, _repaired(texts_too), OUT)
 
 
 def damaged(texts: DataFrame, known: Knowledge) -> DataFrame:
