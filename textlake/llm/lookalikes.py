@@ -1,9 +1,16 @@
-"""Bringing text that looks the same to one form."""
+"""Bringing text that looks the same to one form.
+
+Letters, widths, spaces and invisible characters with a known look are undone by a table. A token that mixes scripts even
+then holds a letter the table doesn't know: it is walked through tries of the words of the documents by a weighted edit
+automaton, to which look-alikes and ignorables cost nothing and a letter of a foreign script little. Where look-alikes
+leave the spelling open, a word takes the one the documents use.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -11,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.sources.tables import cut
+from textlake.sources.tables import cut, small
 
 # Letters of other scripts and the Latin letter each looks like, in two rows.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеоѕіјрсухһԁԛԝҮӀѴѵԌӏ"
@@ -23,10 +30,13 @@ AS_OTHERS = "OoSunhjqgULDRTiAJEWMHGZVSLCPKBOoPpCcXxBPDTGKJCZFMNLSRVHWXYAEIOUagco
 #: Signs that look like another: hyphens without a break, the Greek mu and the micro sign, the Greek question mark.
 SIGNS = {"‑": "-", "‐": "-", "μ": "µ", ";": ";", "·": "·"}
 
-#: Documents in which a spelling must stand to count as canonical, and spellings the tries hold at most (the more
-#: frequent first; 100 bytes each). Tokens without a spelling there take the table's form, in which the same tokens
-#: are equal: neither number has a say in which texts compare equal.
-SPELLED_IN, SPELLINGS = 5, 50_000
+#: Documents in which a spelling must stand to count as canonical.
+SPELLED_IN = 5
+#: Letters of its own script that a token must have for one of a foreign script to be taken for a look-alike, and letters
+#: for each of which one foreign one is allowed.
+NATIVE, EACH = 3, 4
+# Scripts whose letters can stand inside a word of another of them and be taken for its own.
+ALPHABETS = {"LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU", "GEORGIAN", "TIFINAGH", "GOTHIC", "DESERET"}
 #: Documents of one form whose pairs one task makes with all documents of the form.
 SALTED = 1000
 
@@ -68,8 +78,19 @@ def skeleton(text: str) -> str:
 
 @cache
 def _script(c: str) -> str:
-    name = unicodedata.name(c, "")
-    return next((s for s in ("LATIN", "CYRILLIC", "GREEK") if name.startswith(s)), "")
+    """The alphabet of a letter; nothing for signs and other scripts."""
+    name = unicodedata.name(c, "").split(" ", 1)[0] if c.isalpha() else ""
+    return name if name in ALPHABETS else ""
+
+
+def foreign(seen: str) -> set[str]:
+    """The letters of a token, in its skeleton, that are of another alphabet than most of it; none if there are too many."""
+    by = Counter(s for c in unicodedata.normalize("NFD", seen) if (s := _script(c)))
+    if len(by) < 2:
+        return set()
+    own, n = min(by.items(), key=lambda x: (-x[1], x[0]))
+    out = [c for c in seen if _script(unicodedata.normalize("NFD", c)[0]) not in ("", own)]
+    return set(out) if n >= NATIVE and len(out) <= len(seen) // EACH else set()
 
 
 def from_table(token: str) -> str:
@@ -101,11 +122,11 @@ class Trie:
                 node = node.edges.setdefault(plain(c), {}).setdefault(c, Node())
             node.end = (n, word)
 
-    def canonical(self, token: str, cost: int = 0, other: int = 1) -> str | None:
+    def canonical(self, token: str, cost: int = 0, other: int = 1, weak: set[str] | frozenset[str] = frozenset()) -> str | None:
         """The spelling that costs least, of equals the most frequent, then the first; None if none is within `cost`.
 
-        A character that looks like the spelling's costs nothing, as does one that shows nothing; any other change,
-        insertion or deletion costs `other`.
+        A character that looks like the spelling's costs nothing, as does one that shows nothing; one of the `weak` for any
+        letter costs 1; any other change, insertion or deletion costs `other`.
         """
         states = self._skipping({self.root: 0}, cost, other)
         for c in unicodedata.normalize("NFC", token):
@@ -114,6 +135,10 @@ class Trie:
                 for node, spent in states.items():
                     for child in node.edges.get(shown, {}).values():
                         nxt[child] = min(spent, nxt.get(child, spent))
+                    if shown in weak and spent + 1 <= cost:
+                        for look, children in node.edges.items():
+                            for child in children.values() if look != shown and look.isalpha() else ():
+                                nxt[child] = min(spent + 1, nxt.get(child, cost))
                     if spent + other <= cost:
                         nxt[node] = min(spent + other, nxt.get(node, cost))
                         for look, children in node.edges.items():
@@ -140,29 +165,99 @@ class Trie:
         return states
 
 
+WORDS = r"([\p{L}\p{M}\p{Cf}]{2,})"
+MIXED = r"\p{IsLatin}[\p{L}\p{M}\p{Cf}]*[\p{L}&&[^\p{IsLatin}]]|[\p{L}&&[^\p{IsLatin}]][\p{L}\p{M}\p{Cf}]*\p{IsLatin}|\p{IsGreek}[\p{L}\p{M}\p{Cf}]*\p{IsCyrillic}|\p{IsCyrillic}[\p{L}\p{M}\p{Cf}]*\p{IsGreek}"
+
+
+def _words(docs: DataFrame, keep: str) -> DataFrame:
+    """(word): each document's distinct words that match the pattern `keep`."""
+    return docs.where(F.col("text").rlike(keep)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORDS)))).alias("word")).where(F.col("word").rlike(keep))
+
+
 def spellings(docs: DataFrame) -> DataFrame:
-    """(word, n): spellings with letters beyond ASCII that are clean, and the documents they stand in.
+    """(word, n): words that look otherwise than the table spells them, and the documents they stand in.
+
+    All letters of such a word have doubles in another script, or the table would leave it as it is: there are few of
+    them in any language. Counted over all documents; each counts a word once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            keep = [len(w) > 1 and not skeleton(w).isascii() and from_table(w) != w for w in words]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    counted = _words(docs, r"[\p{IsCyrillic}\p{IsGreek}]").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SPELLED_IN)
+    return counted.mapInArrow(run, "word string, n bigint")
+
+
+ODD = "token string, seen string, size int, place int, sign string"
+
+
+def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for token in batch.column(0).to_pylist():
+            seen = skeleton(token)
+            weak = foreign(seen)
+            if weak:
+                place = next(i for i, c in enumerate(seen) if c not in weak)
+                rows.append((token, seen, len(seen), place, seen[place]))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["token", "seen", "size", "place", "sign"])
+
+
+def unmixed(docs: DataFrame) -> DataFrame:
+    """(token, spelling): tokens of the documents that mix scripts even in the table's form, with the word they look like.
 
-    Clean is a word that the table leaves as it is. Counted over all documents; each counts a word once.
+    Such tokens are few. Only words of their length that have the same first letter of their own at its place are
+    counted; they make a trie for each length, place and letter, and the automaton takes the tokens through it. A letter
+    of the foreign script costs 1, as many as `foreign` allows; of equal words the one in most documents wins.
     """
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]*[\p{L}&&[^\x00-\x7f]][\p{L}\p{M}]*)")))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SPELLED_IN)
-    return counted
+    tokens = _words(docs, MIXED).distinct().mapInArrow(_odd, ODD)
+    tokens = cut(tokens)
+    none = docs.sparkSession.createDataFrame([], "token string, spelling string")
+    if tokens.isEmpty():
+        return none
+    keys = tokens.select("size", "place", "sign").distinct()
+    words = _words(docs, r"\p{L}").where(~F.col("word").rlike(MIXED)).withColumn("size", F.length("word"))
+    places = tokens.select(F.col("size").alias("_size"), F.col("place").alias("_place")).distinct()
+    signed = words.join(small(places), F.col("size") == F.col("_size")).select("word", "size", F.col("_place").alias("place"), F.substr("word", F.col("_place") + 1, F.lit(1)).alias("sign"))
+    asked = signed.join(small(keys), ["size", "place", "sign"], "left_semi")
+    counted = asked.groupBy("size", "place", "sign", "word").agg(F.count("*").alias("n")).where(F.col("n") >= SPELLED_IN)
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        trie = Trie(dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True)))
+        out = []
+        for token, seen in zip(left.column("token").to_pylist(), left.column("seen").to_pylist(), strict=True):
+            most = len(seen) // EACH
+            found = trie.canonical(seen, cost=most, other=most + 1, weak=foreign(seen))
+            if found:
+                out.append((token, from_table(found)))
+        return pa.table([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["token", "spelling"])
+
+    by = ["size", "place", "sign"]
+    return cut(tokens.groupBy(*by).cogroup(counted.groupBy(*by)).applyInArrow(walk, "token string, spelling string"))
 
 
 def canonical(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, *keep, canonical): every text in its one form.
 
-    Texts of the same look have equal canonical texts: each token becomes the spelling the vocabulary trie finds at no
-    cost, else what the table makes of it, and the skeletons of both are the same. Accents, case, digits, units,
-    fractions, superscripts, line breaks and punctuation stay. ASCII texts stay as they are (a tab is a space) and
-    don't leave the JVM. A null text stays null, an empty one empty; repeated rows come out repeatedly.
+    Texts of the same look have equal canonical texts: each token takes its look in the table, in the spelling that the
+    documents use where look-alikes leave it open; a token that still mixes scripts takes the word it looks like (see
+    `unmixed`). Accents, case, digits, units, fractions, superscripts, line breaks and punctuation stay. ASCII texts stay
+    as they are (a tab is a space) and don't leave the JVM. A null text stays null, an empty one empty; repeated rows come
+    out repeatedly.
     """
     spark = docs.sparkSession
     keep = [k for k in keep or [] if k not in ("doc_id", "text", "canonical")]
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
-    spelled = {r.word: r.n for r in spellings(own).orderBy(F.desc("n"), "word").limit(SPELLINGS).collect()}
-    shared = spark.sparkContext.broadcast({w: n for w, n in spelled.items() if from_table(w) == w or len(w) > 1 and skeleton(w) == skeleton(from_table(w))})
+    shared = spark.sparkContext.broadcast({r.word: r.n for r in spellings(own).collect()})  # few in any language
+    words = unmixed(own)
+    # Documents with such tokens, which are few, bring what they turn into; others bring nothing.
+    odd = F.col("text").rlike(MIXED)
+    mixed = own.where(odd).select(F.md5("text").alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORDS)))).alias("token")).distinct().join(words, "token")
+    turned = mixed.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("_turned"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = Trie(shared.value), {}
@@ -180,13 +275,21 @@ def canonical(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             return known[token]
 
         for batch in batches:
-            texts = [TOKEN.sub(one, separated(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], names=["doc_id", "canonical", *batch.schema.names[2:]])
+            texts = []
+            for text, own_words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for token, spelling in sorted(own_words or (), key=lambda x: (-len(x[0]), x[0])):
+                    text = re.sub(rf"(?<![^\W\d_]){re.escape(token)}(?![^\W\d_])", spelling, text)
+                texts.append(TOKEN.sub(one, separated(text)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], names=["doc_id", "canonical", *batch.schema.names[3:]])
 
     kept = [f for f in own.schema if f.name in keep]
     schema = ", ".join(["doc_id bigint", "canonical string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
-    beyond = own.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(run, schema)
-    rest = own.where(~F.coalesce(F.col("text").rlike(r"[^\x00-\x7f]"), F.lit(False))).select("doc_id", F.translate("text", "\t", " ").alias("canonical"), *keep)
+    wide = F.col("text").rlike(r"[^\x00-\x7f]")
+    nothing = F.lit(None).cast("map<string,string>").alias("_turned")
+    plain_ = own.where(wide & ~odd).select("doc_id", "text", nothing, *keep)
+    joined = own.where(odd).withColumn("_key", F.md5("text")).join(turned, "_key", "left").select("doc_id", "text", "_turned", *keep)
+    beyond = plain_.unionByName(joined).mapInArrow(run, schema)
+    rest = own.where(~F.coalesce(wide, F.lit(False))).select("doc_id", F.translate("text", "\t", " ").alias("canonical"), *keep)
     return beyond.select("doc_id", "canonical", *keep).unionByName(rest)
 
 
