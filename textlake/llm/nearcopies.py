@@ -30,6 +30,8 @@ WORD = re.compile(r"[^\W_]+")
 TREES, DEPTH = 24, 4
 #: Rows of a block of a crowded region; each pair of blocks is compared by itself.
 REGION = 4096
+#: Rows of the trees, of some 60 bytes each, that a task sorts.
+ROWS = 1_000_000
 #: Rows of a region beyond which, where groups are asked for, neighbours are linked before anything else is compared.
 CROWD = 1024
 #: Standard deviations of the sketch's estimate that a candidate may lie under the threshold (1 of 30,000 pairs at it).
@@ -241,9 +243,15 @@ def _trees(signed: DataFrame, shallow: int, crowd: int) -> tuple[DataFrame, Data
     return trees, watched.select("tree", "prefix", F.ceil(F.col("n") * WATCHED / REGION).cast("bigint").alias("blocks"))
 
 
-def _compared(spread: DataFrame, threshold: float, shallow: int, outside: bool = False) -> DataFrame:
+def _parts(signed: DataFrame) -> int:
+    """Partitions for the trees' rows, of about ROWS rows, however many there are."""
+    n = signed.where("labels is not null").count() * TREES
+    return max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS))
+
+
+def _compared(spread: DataFrame, threshold: float, shallow: int, parts: int, outside: bool = False) -> DataFrame:
     """Candidates (a, b) inside each (tree, prefix, part); `outside`: only of rows of different groups, see between_groups."""
-    ordered = spread.repartition("tree", "prefix", "part").sortWithinPartitions("tree", "prefix", "part", F.shiftrightunsigned("label", 1), "label", "class", "id")
+    ordered = spread.repartition(parts, "tree", "prefix", "part").sortWithinPartitions("tree", "prefix", "part", F.shiftrightunsigned("label", 1), "label", "class", "id")
     return ordered.select(*LABELLED, *(["group"] if outside else [])).mapInArrow(_candidates(threshold, shallow), "a string, b string").distinct()
 
 
@@ -254,7 +262,7 @@ def candidates(signed: DataFrame, threshold: float, shallow: int) -> DataFrame:
     sided = trees.join(small(hot), ["tree", "prefix"], "left").withColumn("side", F.coalesce(F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")), F.lit(0).cast("bigint")))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: F.least(k, "side") * F.col("blocks") + F.greatest(k, "side"))
     spread = sided.withColumn("part", F.explode(F.when(F.col("blocks").isNotNull(), pairs).otherwise(F.array(F.lit(-1).cast("bigint")))))
-    return _compared(spread, threshold, shallow)
+    return _compared(spread, threshold, shallow, _parts(signed))
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +292,7 @@ def neighbours(trees: DataFrame, hot: DataFrame) -> DataFrame:
     return ranged.select("tree", "prefix", "id").mapInArrow(_beside, "a string, b string").distinct()
 
 
-def between_groups(trees: DataFrame, hot: DataFrame, groups: DataFrame, threshold: float, shallow: int) -> DataFrame:
+def between_groups(trees: DataFrame, hot: DataFrame, groups: DataFrame, threshold: float, shallow: int, parts: int) -> DataFrame:
     """Distinct candidates (a, b) of crowded regions whose rows aren't of one group (key, group) yet.
 
     Of each region the largest group stays in blocks, each row once; rows of other groups meet all blocks. Only pairs of
@@ -300,7 +308,7 @@ def between_groups(trees: DataFrame, hot: DataFrame, groups: DataFrame, threshol
     inside = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("wide") - 1)).alias("w")).select(*rows.columns, (F.col("own") * F.col("wide") + F.col("w")).alias("part"), F.lit(0).cast("bigint").alias("side"))
     odd = rows.where(F.col("group") != F.col("main"))
     outside = odd.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b")).select(*rows.columns, (F.col("b") * F.col("wide") + F.pmod(F.xxhash64("class", F.lit(2)), F.col("wide"))).alias("part"), F.lit(1).cast("bigint").alias("side"))
-    return _compared(inside.unionByName(outside), threshold, shallow, outside=True)
+    return _compared(inside.unionByName(outside), threshold, shallow, parts, outside=True)
 
 
 def _verify(kind: str, n: int) -> Callable:
@@ -427,13 +435,14 @@ def near_classes(rows: DataFrame, kind: str = "word", n: int = 5, threshold: flo
     hot = cut(hot)
     key = lambda df: df.select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))
     found = trees.join(small(hot), ["tree", "prefix"], "left_anti").withColumn("part", F.lit(-1).cast("bigint")).withColumn("side", F.lit(0).cast("bigint"))
-    links = _compared(found, threshold, shallow)
+    parts = _parts(base)
+    links = _compared(found, threshold, shallow, parts)
     crowded = not hot.isEmpty()
     if crowded:
         links = links.unionByName(neighbours(trees, hot)).distinct()
     links = key(cut(_sure(cut(links), whole, kind, n, threshold)))
     if crowded:
-        more = between_groups(trees, hot, cut(components(links)), threshold, shallow)
+        more = between_groups(trees, hot, cut(components(links)), threshold, shallow, parts)
         links = links.unionByName(key(_sure(cut(more), whole, kind, n, threshold)))
     named = components(links).withColumnRenamed("key", "least")
     ids = rows.where("id is not null").select(F.col("id").cast("string").alias("id")).distinct()
