@@ -58,7 +58,7 @@ NUMBER = re.compile(rf"(?<![^\W_])(?=[{NUMERIC}.,]*[0-9])(?=[0-9.,]*[OolISsBbZzg
 _N = rf"(?:[{NUMERIC}]+|[ivxlcIVXLC1]{{1,7}})"
 PAGE = re.compile(rf"[\s\f]*[\[(\-–—|]*\s*(?:[^\W\d_]{{1,5}}[.:]?\s+)?{_N}(?:\s*(?:/|[^\W\d_]{{2}})\s*{_N})?\s*[\])\-–—|]*\s*")
 PAGE_WORDS = ("page", "p", "pg", "seite")
-GLUE = re.compile(rf"([^\W_]+)[{HYPHENS}][^\S\n]*\n")
+LAST, FIRST = re.compile(r"([^\W_]+)$"), re.compile(r"\s*([^\W_]+)")
 COUNTS = "kind string, a string, b string, n bigint, clean bigint"
 
 
@@ -76,17 +76,17 @@ def is_wrapped(text: str) -> bool:
     return any(a and b and a[-1] not in ".!?:|; " for a, b in zip(lines, lines[1:], strict=False))
 
 
-def glued(text: str) -> Iterator[tuple[str, str]]:
+def glued(text: str) -> list[tuple[str, str]]:
     """The two ends of each word that may be cut at a line's end: its second end begins one of the next few lines."""
-    for m in GLUE.finditer(text):
-        seen = 0
-        for line in text[m.end() : m.end() + 400].split("\n"):
-            first = re.match(r"\s*([^\W_]+)", line)
-            if first:
-                yield m[1].lower(), first[1].lower()
-            seen += bool(line.strip())
-            if seen > 4:
-                break
+    lines, out = text.lower().split("\n"), []
+    for i, line in enumerate(lines):
+        left = line.rstrip()
+        if left[-1:] not in HYPHENS or not left:
+            continue
+        one = LAST.search(left, max(0, len(left) - LONGEST), len(left) - 1)
+        follow = [x for x in lines[i + 1 : i + 9] if x.strip()][:5]
+        out += [(one[1], two[1]) for x in follow if one and (two := FIRST.match(x))]
+    return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,6 +455,10 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd, rest, unsure, paired, siblings = shared.value
         state: dict[str, tuple[bool, bool, bool]] = {}
+        #: What stands between two blanks: whether it is odd, and its words of which something may be asked.
+        chunks: dict[str, tuple[bool, list[str]]] = {}
+        plain: set[str] = set()
+        asked: dict[tuple[str, str, str], list[tuple[str, str]]] = {}
         out: set[tuple[str, int, str, str, str]] = set()
         stands = (lambda a, b: _in(paired, f"{a} {b}")) if paired else (lambda a, b: False)
 
@@ -463,43 +467,71 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
             for lo in range(0, len(every), 50_000):
                 cols = list(zip(*every[lo : lo + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["kind", "g", "a", "b", "c"])
-            out.clear()
-            state.clear()
+            for held in (out, state, chunks, plain, asked):
+                held.clear()
 
         def of(w: str) -> tuple[bool, bool, bool]:
             if w not in state:
                 state[w] = (_in(odd, w), _in(rest, w), bool(paired) and _in(unsure, w))
             return state[w]
 
+        def look(chunk: str) -> None:
+            words = TOKEN.findall(chunk.lower())
+            told = [w for w in words if of(w)[1] or of(w)[2] or w in siblings]
+            is_odd = any(of(w)[0] for w in words) or NUMBER.search(chunk) is not None
+            chunks[chunk] = (is_odd, told)
+            if not is_odd and not told:
+                plain.add(chunk)
+
+        def pairs_of(before: str, w: str, after: str) -> list[tuple[str, str]]:
+            """Pairs that decide whether a word that exists was misread from another one."""
+            key = (before, w, after)
+            if key not in asked:
+                xs = [x for x in siblings[w] if stands(before, x) and stands(x, after)]
+                asked[key] = [p for x in xs for p in ((before, x), (x, after), (before, w), (w, after))]
+            return asked[key]
+
         for batch in batches:
             for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 wrapped = is_wrapped(text)
-                low = TOKEN.findall(text.lower())
-                own = {w: of(w) for w in set(low)}
-                if not (wrapped or any(x[0] for x in own.values()) or NUMBER.search(text)):
+                every = text.split()
+                several = set(every) - plain
+                for chunk in several:
+                    if chunk not in chunks:
+                        look(chunk)
+                if not wrapped and not any(chunks[c][0] for c in several):
                     continue
-                out.update([("need", g, w, "", "") for w, x in own.items() if x[1]])
-                for i, w in enumerate(low):
-                    if not own[w][2] and w not in siblings:
-                        continue
-                    before, after = low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else ""
-                    if own[w][2]:
-                        out.add(("ask", g, before, w, after))
-                    for x in siblings.get(w, ()):
-                        if stands(before, x) and stands(x, after):
-                            out.update([("pair", g, before, x, ""), ("pair", g, x, after, ""), ("pair", g, before, w, ""), ("pair", g, w, after, "")])
-                for a, b in glued(text) if wrapped else ():
-                    w = a + b
-                    is_odd, is_rest, is_unsure = of(w)
-                    if is_rest:
-                        out.add(("need", g, w, "", ""))
-                    if stands(a, b):
-                        out.add(("pair", g, a, b, ""))
-                    if is_unsure:
-                        at = next((i for i in range(len(low) - 1) if low[i] == a and low[i + 1] == b), None)
-                        if at is not None:
-                            out.add(("ask", g, low[at - 1] if at else "", w, low[at + 2] if at + 2 < len(low) else ""))
-            if len(out) + len(state) > 1_000_000:
+                told = {c for c in several if chunks[c][1]}
+                out.update([("need", g, w, "", "") for c in told for w in chunks[c][1] if of(w)[1]])
+                if paired:
+                    for i, chunk in enumerate(every):
+                        if chunk not in told:
+                            continue
+                        own = TOKEN.findall(chunk.lower())
+                        left = next((t[-1:] for j in range(i - 1, -1, -1) if (t := TOKEN.findall(every[j].lower()))), [])
+                        right = next((t[:1] for j in range(i + 1, len(every)) if (t := TOKEN.findall(every[j].lower()))), [])
+                        low, first = [*left, *own, *right], len(left)
+                        for k in range(first, first + len(own)):
+                            w, before, after = low[k], low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else ""
+                            if of(w)[2]:
+                                out.add(("ask", g, before, w, after))
+                            if w in siblings:
+                                out.update([("pair", g, a, b, "") for a, b in pairs_of(before, w, after)])
+                if wrapped:
+                    low = None
+                    for a, b in glued(text):
+                        w = a + b
+                        is_odd, is_rest, is_unsure = of(w)
+                        if is_rest:
+                            out.add(("need", g, w, "", ""))
+                        if stands(a, b):
+                            out.add(("pair", g, a, b, ""))
+                        if is_unsure:
+                            low = low or TOKEN.findall(text.lower())
+                            at = next((i for i in range(len(low) - 1) if low[i] == a and low[i + 1] == b), None)
+                            if at is not None:
+                                out.add(("ask", g, low[at - 1] if at else "", w, low[at + 2] if at + 2 < len(low) else ""))
+            if len(out) + len(state) + len(chunks) + len(asked) > 1_500_000:
                 yield from rows()
         yield from rows()
 
