@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.compare import DATA
@@ -150,3 +152,21 @@ def test_small_and_cut(spark):
     assert "Broadcast" in spark.range(5).join(small(df, 10), "id")._jdf.queryExecution().executedPlan().toString()
     assert small(df, 9) is df
     assert cut(df).count() == 10
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab .\n", max_size=300), st.integers(5, 40))
+def test_recursive_pieces_hold_all_words(text, size):
+    got = structure._recursive(text, size, size // 4)
+    assert all(0 < len(p) <= size for p in got)
+    at = 0
+    for p in got:  # pieces follow each other through the text
+        at = text.index(p, max(0, at - size))
+    assert "".join(text.split()) in "".join("".join(p.split()) for p in got) or sum(map(len, got)) >= len(text.strip())
+
+
+def test_heading_before_and_after(spark):
+    rows = spark.createDataFrame([("d", 1, "# One\ntext here\nmore"), ("d", 2, "still\n# Two\nlast")], "k string, page_num int, text string")
+    blocks = structure.page_blocks(rows, "k")
+    got = {(r.heading, r.page_start, r.page_end, r.content) for r in structure.sections_of(blocks, blocks.where("level > 0"), "k", "page_num").collect()}
+    assert got == {("One", 1, 2, "One\ntext here\nmore\nstill"), ("Two", 2, 2, "Two\nlast")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.functions import vocabulary as V
+from textlake.sources.tables import small
 
 
 def _phrases(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -138,7 +139,7 @@ def resolved(questions: DataFrame, names: DataFrame, word: str = r"[^\p{L}\p{N}]
 
 def variants(questions: DataFrame, templates: DataFrame, most: int = 5) -> DataFrame:
     """(query_id, place, variant): the question, and the templates (kind, ord, template) of its kind filled with its name."""
-    made = questions.join(F.broadcast(templates), "kind", "left").select("query_id", "text", "ord", F.replace("template", F.lit("{name}"), F.col("name")).alias("v"))
+    made = questions.join(small(templates), "kind", "left").select("query_id", "text", "ord", F.replace("template", F.lit("{name}"), F.col("name")).alias("v"))
     every = questions.select("query_id", F.lit(-1).alias("ord"), F.col("text").alias("v")).unionByName(made.where("v is not null").select("query_id", "ord", "v"))
     first = every.groupBy("query_id", "v").agg(F.min("ord").alias("ord"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "v"))).where(F.col("place") <= most).select("query_id", "place", F.col("v").alias("variant"))

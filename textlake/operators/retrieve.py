@@ -29,7 +29,7 @@ def fuzzy(questions: DataFrame, sections: DataFrame, least: float = 0.2, n: int
 def spans_with(questions: DataFrame, spans: DataFrame, allowed: list[str]) -> DataFrame:
     """Path for an attribute: spans (fact_span_id, drug_name, sentence_text, assertion_type) of the name that state facts
     and hold any of the question's words (query_id, name, words)."""
-    sides = spans.where(F.col("assertion_type").isin(allowed)).withColumn("_name", F.lower("drug_name")).join(F.broadcast(questions.withColumn("_name", F.lower("name"))), "_name")
+    sides = spans.where(F.col("assertion_type").isin(allowed)).withColumn("_name", F.lower("drug_name")).join(small(questions.withColumn("_name", F.lower("name"))), "_name")
     return sides.where(F.exists("words", lambda w: F.contains(F.lower("sentence_text"), F.lower(w)))).select("query_id", "fact_span_id", "sentence_text", "section_enum", "section_id", "sentence_index")
 
 
@@ -274,7 +274,7 @@ def report(scores: DataFrame, targets: DataFrame, key: str, worst: int = 3) -> D
     means = scores.groupBy("metric").agg(F.avg("score").alias("_m"))
     low = scores.where("score is not null").withColumn("_n", F.row_number().over(Window.partitionBy("metric").orderBy("score", key))).where(F.col("_n") <= worst)
     few = low.groupBy("metric").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", key))), lambda x: x[key]).alias("worst"))
-    return means.join(F.broadcast(targets), "metric").join(few, "metric").select("metric", F.round("_m", 6).alias("mean"), "target", (F.col("_m") >= F.col("target")).alias("passed"), "worst")
+    return means.join(small(targets), "metric").join(few, "metric").select("metric", F.round("_m", 6).alias("mean"), "target", (F.col("_m") >= F.col("target")).alias("passed"), "worst")
 
 
 def alike_or_worded(questions: DataFrame, sections: DataFrame, words: dict[str, list[str]], least: float = 0.2) -> DataFrame:

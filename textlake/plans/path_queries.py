@@ -9,6 +9,7 @@ from textlake.functions import text as T
 from textlake.functions import vocabulary as V
 from textlake.operators import lexical, retrieve, upkeep, vectors
 from textlake.plans.base import ASKED, JUNK, Literal, query, similarity, squeeze
+from textlake.plans.survey_queries import MORE, _named
 from textlake.plans.text_queries import EXACT, FUZZY, VEC, _vectors
 from textlake.providers import extractive
 from textlake.sources.tables import small, table
@@ -231,6 +232,20 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
     return files.index_facts(spark, f"{d}/embeddings.parquet")
 
 
+RELATED = "(SELECT ' ' || string_agg(s, ' ' ORDER BY o) FROM (SELECT s, o FROM (VALUES " + ", ".join(f"('{k}', '{w}', {i})" for i, (k, w) in enumerate((k, w) for k, ws in V.EXPANSIONS.items() for w in ws)) + ") v(k, s, o) WHERE contains({x}, k) AND NOT contains({x}, s) ORDER BY o LIMIT 3))"
+
+
+@query("r26_names_and_wording", f"""WITH {MORE.cte}, n AS (SELECT count(*) AS n FROM chunks), b AS (SELECT query_id, text, lower(text) AS t, CASE WHEN n < 3000 THEN 5 WHEN n < 6000 THEN 8 WHEN n < 12000 THEN 10 ELSE 12 END AS lo, CASE WHEN n < 3000 THEN 8 WHEN n < 6000 THEN 12 WHEN n < 12000 THEN 15 ELSE 20 END AS hi FROM more_questions, n),
+    k AS (SELECT *, len(list_filter({V.COMPLEX}, lambda w: contains(t, w))) > 0 AS c, len(list_filter({V.COMPREHENSIVE}, lambda w: contains(t, w))) > 0 AS a FROM b)
+    SELECT query_id, {_named('text')} AS name, text || coalesce({RELATED.replace('{x}', 't')}, '') AS wider, lo + CASE WHEN c THEN 3 WHEN a THEN 10 ELSE 0 END AS least, hi + CASE WHEN c THEN 5 WHEN a THEN 15 ELSE 0 END AS most FROM k""")
+def r26(spark: SparkSession, d: str) -> DataFrame:
+    """The name, the wider wording and the size of context of each question."""
+    from textlake.operators import intent
+
+    n = table(spark, d, "chunks").agg(F.count("*").alias("n"))  # one row
+    return MORE.df(spark).join(F.broadcast(n)).select("query_id", intent.named(F.col("text")).alias("name"), intent.widened(F.col("text")).alias("wider"), intent.context_size(F.col("text"), F.col("n")).alias("size")).select("query_id", "name", "wider", "size.*")
+
+
 @query("f17_expanded_headers", f"WITH h AS (SELECT DISTINCT {squeeze('lower(original_header)')} AS h FROM section_mappings WHERE original_header IS NOT NULL) SELECT h, h || coalesce((SELECT ' ' || string_agg(s, ' ' ORDER BY o) FROM (SELECT s, o FROM (VALUES " + ", ".join(f"('{k}', '{w}', {i})" for i, (k, w) in enumerate((k, w) for k, ws in V.EXPANSIONS.items() for w in ws)) + ") v(k, s, o) WHERE contains(h, k) AND NOT contains(h, s) ORDER BY o LIMIT 3)), '') AS wider FROM h")
 def f17(spark: SparkSession, d: str) -> DataFrame:
     """All headings, widened by related terms."""

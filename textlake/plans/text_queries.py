@@ -11,7 +11,7 @@ from textlake.functions import text as T
 from textlake.functions import vocabulary as V
 from textlake.operators import intent, lexical, lookup, retrieve, structure, vectors
 from textlake.plans.base import ASKED, JUNK, QUESTIONS, STOP, STOP_SQL, Literal, clean_header, query, similarity, squeeze, trigrams
-from textlake.sources.tables import shared_folder, table
+from textlake.sources.tables import shared_folder, small, table
 from textlake.streaming import ingest
 
 HEADERS = "SELECT DISTINCT original_header AS h FROM section_mappings WHERE original_header IS NOT NULL"
@@ -77,7 +77,7 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
 
 
-@query("f16_keywords", rf"""WITH {QUESTIONS.cte} SELECT query_id, list_distinct(k) AS unordered, len(list_distinct(k)) AS n FROM (SELECT query_id, list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({STOP_SQL}, w)), lambda w: regexp_replace(regexp_replace(w, '^[?.!,;:]+', ''), '[?.!,;:]+$', '')), lambda w: w <> '') AS k FROM questions)""".replace("list_distinct(k) AS unordered", "list_sort(list_distinct(k)) AS words"))
+@query("f16_keywords", rf"""WITH {QUESTIONS.cte} SELECT query_id, list_sort(list_distinct(k)) AS words, len(list_distinct(k)) AS n FROM (SELECT query_id, list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({STOP_SQL}, w)), lambda w: regexp_replace(regexp_replace(w, '^[?.!,;:]+', ''), '[?.!,;:]+$', '')), lambda w: w <> '') AS k FROM questions)""")
 def f16(spark: SparkSession, d: str) -> DataFrame:
     """Words that carry a question."""
     return QUESTIONS.df(spark).select("query_id", T.keywords("text", STOP).alias("k")).select("query_id", F.sort_array("k").alias("words"), F.size("k").cast("bigint").alias("n"))
@@ -197,13 +197,6 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
     return lookup.alike(asked, rows, "header", 0.3, 10, "h").select("query_id", "h", "similarity", "rank")
 
 
-@query("r26_names_and_wording")
-def r26(spark: SparkSession, d: str) -> DataFrame:
-    """The name, the wider wording and the size of context of each question."""
-    n = table(spark, d, "chunks").agg(F.count("*").alias("n"))
-    return QUESTIONS.df(spark).join(F.broadcast(n)).select("query_id", intent.named(F.col("text")).alias("name"), intent.widened(F.col("text")).alias("wider"), intent.context_size(F.col("text"), F.col("n")).alias("size")).select("query_id", "name", "wider", "size.*")
-
-
 @query("r27_resolved_names", rf"WITH {QUESTIONS.cte}, w AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS w FROM questions) SELECT DISTINCT query_id, entry_name AS name FROM w JOIN canonical_entries c ON lower(c.entry_name) = w.w WHERE length(w.w) >= 3")
 def r27(spark: SparkSession, d: str) -> DataFrame:
     """Listed names that stand in a question."""
@@ -258,7 +251,7 @@ def v3_recall(spark: SparkSession, d: str) -> DataFrame:
 def v4(spark: SparkSession, d: str) -> DataFrame:
     """Eight diverse ones of the forty nearest."""
     rows, asked = _vectors(spark, d)
-    near = vectors.knn(rows, asked, 40).join(rows.select("vec_id", "embedding"), "vec_id").join(F.broadcast(asked.select("query_id", F.col("embedding").alias("query"))), "query_id")
+    near = vectors.knn(rows, asked, 40).join(rows.select("vec_id", "embedding"), "vec_id").join(small(asked.select("query_id", F.col("embedding").alias("query"))), "query_id")
     return vectors.diverse(near.select("query_id", "vec_id", "query", "embedding"), 8)
 
 
@@ -305,7 +298,7 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     """Whether the first three spans with a question's first word hold enough of its words."""
     asked = TERMS.df(spark)
     spans = table(spark, d, "fact_spans").select("fact_span_id", "sentence_text")
-    hits = spans.join(F.broadcast(asked.withColumn("_w", F.get(F.split("text", " "), F.lit(0)))), F.expr("contains(lower(sentence_text), _w)"))
+    hits = spans.join(small(asked.withColumn("_w", F.get(F.split("text", " "), F.lit(0))), 10_000), F.expr("contains(lower(sentence_text), _w)"))
     top = lookup.first_per(hits, ["query_id"], ["fact_span_id"], 3, "rank").select("query_id", "rank", F.col("sentence_text").alias("text"), F.lit(None).cast("double").alias("score"))
     return retrieve.evidence(asked, top, STOP)
 
