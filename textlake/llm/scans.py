@@ -200,6 +200,8 @@ class Lexicon:
     known: dict[str, list[tuple[float, str]]] = field(default_factory=dict)
     #: Words of all the lexicon that candidates name, with their counts.
     counts: dict[str, int] = field(default_factory=dict)
+    #: What stands between blanks and needs no repair, whatever the group: a doubtful token is known where it stands.
+    fine: set[str] = field(default_factory=set)
 
     def candidates(self, token: str) -> list[tuple[float, str]]:
         """What a token that is no word may have been, (cost, word), the cheapest first; nothing for a word."""
@@ -458,7 +460,7 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
         #: What stands between two blanks: whether it is odd, and its words of which something may be asked.
         chunks: dict[str, tuple[bool, list[str]]] = {}
         plain: set[str] = set()
-        asked: dict[tuple[str, str, str], list[tuple[str, str]]] = {}
+        contexts: dict[tuple[str, str, str], list[tuple[str, str, str, str]]] = {}
         out: set[tuple[str, int, str, str, str]] = set()
         stands = (lambda a, b: _in(paired, f"{a} {b}")) if paired else (lambda a, b: False)
 
@@ -467,7 +469,7 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
             for lo in range(0, len(every), 50_000):
                 cols = list(zip(*every[lo : lo + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["kind", "g", "a", "b", "c"])
-            for held in (out, state, chunks, plain, asked):
+            for held in (out, state, chunks, plain, contexts):
                 held.clear()
 
         def of(w: str) -> tuple[bool, bool, bool]:
@@ -483,13 +485,18 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
             if not is_odd and not told:
                 plain.add(chunk)
 
-        def pairs_of(before: str, w: str, after: str) -> list[tuple[str, str]]:
-            """Pairs that decide whether a word that exists was misread from another one."""
-            key = (before, w, after)
-            if key not in asked:
-                xs = [x for x in siblings[w] if stands(before, x) and stands(x, after)]
-                asked[key] = [p for x in xs for p in ((before, x), (x, after), (before, w), (w, after))]
-            return asked[key]
+        def around(left: list[str], own: list[str], right: list[str]) -> list[tuple[str, str, str, str]]:
+            """(kind, a, b, c) of what the words between two blanks ask of their neighbours."""
+            low, found = [*left, *own, *right], []
+            for k in range(len(left), len(left) + len(own)):
+                w, before, after = low[k], low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else ""
+                if of(w)[2]:
+                    found.append(("ask", before, w, after))
+                # Pairs that decide whether a word that exists was misread from another one.
+                for x in siblings.get(w, ()):
+                    if stands(before, x) and stands(x, after):
+                        found += [("pair", before, x, ""), ("pair", x, after, ""), ("pair", before, w, ""), ("pair", w, after, "")]
+            return found
 
         for batch in batches:
             for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -503,20 +510,17 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
                     continue
                 told = {c for c in several if chunks[c][1]}
                 out.update([("need", g, w, "", "") for c in told for w in chunks[c][1] if of(w)[1]])
-                if paired:
+                if paired and told:
+                    last = len(every) - 1
                     for i, chunk in enumerate(every):
-                        if chunk not in told:
-                            continue
-                        own = TOKEN.findall(chunk.lower())
-                        left = next((t[-1:] for j in range(i - 1, -1, -1) if (t := TOKEN.findall(every[j].lower()))), [])
-                        right = next((t[:1] for j in range(i + 1, len(every)) if (t := TOKEN.findall(every[j].lower()))), [])
-                        low, first = [*left, *own, *right], len(left)
-                        for k in range(first, first + len(own)):
-                            w, before, after = low[k], low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else ""
-                            if of(w)[2]:
-                                out.add(("ask", g, before, w, after))
-                            if w in siblings:
-                                out.update([("pair", g, a, b, "") for a, b in pairs_of(before, w, after)])
+                        if chunk in told:
+                            key = (every[i - 1] if i else "", chunk, every[i + 1] if i < last else "")
+                            if key not in contexts:
+                                left = next((t[-1:] for j in range(i - 1, -1, -1) if (t := TOKEN.findall(every[j].lower()))), [])
+                                right = next((t[:1] for j in range(i + 1, len(every)) if (t := TOKEN.findall(every[j].lower()))), [])
+                                contexts[key] = around(left, TOKEN.findall(chunk.lower()), right)
+                            if contexts[key]:
+                                out.update([(kind, g, *x) for kind, *x in contexts[key]])
                 if wrapped:
                     low = None
                     for a, b in glued(text):
@@ -531,7 +535,7 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
                             at = next((i for i in range(len(low) - 1) if low[i] == a and low[i + 1] == b), None)
                             if at is not None:
                                 out.add(("ask", g, low[at - 1] if at else "", w, low[at + 2] if at + 2 < len(low) else ""))
-            if len(out) + len(state) + len(chunks) + len(asked) > 1_500_000:
+            if len(out) + len(state) + len(chunks) + len(contexts) > 1_500_000:
                 yield from rows()
         yield from rows()
 
@@ -806,7 +810,9 @@ OUT = "field string, record_key string, line_no int, damage string"
 
 def _repaired(texts_too: bool):  # noqa: ANN202
     def make(lexicon: Lexicon, texts: pa.Table) -> pa.Table:
-        fine: set[str] = set()  # what stands between blanks and needs no repair
+        fine = lexicon.fine
+        if len(fine) > 1_000_000:
+            fine.clear()
 
         def sound(text: str) -> bool:
             if is_wrapped(text):
