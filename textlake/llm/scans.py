@@ -202,6 +202,9 @@ class Lexicon:
     counts: dict[str, int] = field(default_factory=dict)
     #: What stands between blanks and needs no repair, whatever the group: a doubtful token is known where it stands.
     fine: set[str] = field(default_factory=set)
+    #: Words as features of lines, and the weights of features, as far as they were asked for.
+    looks: dict[str, str] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
 
     def candidates(self, token: str) -> list[tuple[float, str]]:
         """What a token that is no word may have been, (cost, word), the cheapest first; nothing for a word."""
@@ -228,6 +231,21 @@ class Lexicon:
 
     def seen(self, word: str) -> str:
         """A word as a feature of a line: itself, repaired, or a star."""
+        if word not in self.looks:
+            if len(self.looks) > 500_000:
+                self.looks.clear()
+            self.looks[word] = self._seen(word)
+        return self.looks[word]
+
+    def weight(self, feature: str) -> float:
+        """What a feature of a line says for a header."""
+        if feature not in self.weights:
+            if len(self.weights) > 500_000:
+                self.weights.clear()
+            self.weights[feature] = float(self.lines[bucket(feature)])
+        return self.weights[feature]
+
+    def _seen(self, word: str) -> str:
         low = word.lower()
         if low.isdigit():
             return "#"
@@ -462,14 +480,20 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
         plain: set[str] = set()
         contexts: dict[tuple[str, str, str], list[tuple[str, str, str, str]]] = {}
         out: set[tuple[str, int, str, str, str]] = set()
-        stands = (lambda a, b: _in(paired, f"{a} {b}")) if paired else (lambda a, b: False)
+        together: dict[tuple[str, str], bool] = {}
+
+        def stands(a: str, b: str) -> bool:
+            key = (a, b)
+            if key not in together:
+                together[key] = bool(paired) and _in(paired, f"{a} {b}")
+            return together[key]
 
         def rows() -> Iterator[pa.RecordBatch]:
             every = list(out)
             for lo in range(0, len(every), 50_000):
                 cols = list(zip(*every[lo : lo + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["kind", "g", "a", "b", "c"])
-            for held in (out, state, chunks, plain, contexts):
+            for held in (out, state, chunks, plain, contexts, together):
                 held.clear()
 
         def of(w: str) -> tuple[bool, bool, bool]:
@@ -535,7 +559,7 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
                             at = next((i for i in range(len(low) - 1) if low[i] == a and low[i + 1] == b), None)
                             if at is not None:
                                 out.add(("ask", g, low[at - 1] if at else "", w, low[at + 2] if at + 2 < len(low) else ""))
-            if len(out) + len(state) + len(chunks) + len(contexts) > 1_500_000:
+            if len(out) + len(state) + len(chunks) + len(contexts) + len(together) > 1_500_000:
                 yield from rows()
         yield from rows()
 
@@ -644,7 +668,7 @@ def learn(texts: DataFrame, documents: DataFrame | None = None) -> Knowledge:
     tokens = counts.where((F.length("word") <= LONGEST) & ~F.col("word").rlike(r"^\p{N}+$")).select("word")
     found = cut(near(tokens, ordinary))
     costs = learned_costs(found, counts, 1 - share)
-    cheap = {tuple(r.change.split("\0")): r.learned for r in costs.limit(100_000).collect()}  # pairs of letters
+    cheap = {tuple(r.change.split("\0")): r.learned for r in costs.collect()}  # a row a pair of letters that several tokens show
     shared = spark.sparkContext.broadcast(cheap)
 
     def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -707,7 +731,7 @@ def is_furniture(line: str, lexicon: Lexicon) -> bool:
     if not s or lexicon.lines is None or s[0].islower():
         return False
     # The short last line of a paragraph looks a little like a header; only names bring a full stop into one.
-    return math.fsum(lexicon.lines[f] for f in set(map(bucket, line_features(line, lexicon)))) > (8.0 if s[-1] in ".!?" else 3.0)
+    return math.fsum(map(lexicon.weight, line_features(line, lexicon))) > (8.0 if s[-1] in ".!?" else 3.0)
 
 
 @dataclass
