@@ -31,7 +31,7 @@ TREES, DEPTH = 24, 4
 #: Rows of a block of a crowded region; each pair of blocks is compared by itself.
 REGION = 4096
 #: Rows of the trees, of some 60 bytes each, that a task sorts.
-ROWS = 1_000_000
+ROWS = 250_000
 #: Rows of a region beyond which, where groups are asked for, neighbours are linked before anything else is compared.
 CROWD = 1024
 #: Standard deviations of the sketch's estimate that a candidate may lie under the threshold (1 of 30,000 pairs at it).
