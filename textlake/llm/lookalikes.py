@@ -166,12 +166,16 @@ class Trie:
 
 
 WORDS = r"([\p{L}\p{M}\p{Cf}]{2,})"
-MIXED = r"\p{IsLatin}[\p{L}\p{M}\p{Cf}]*[\p{L}&&[^\p{IsLatin}]]|[\p{L}&&[^\p{IsLatin}]][\p{L}\p{M}\p{Cf}]*\p{IsLatin}|\p{IsGreek}[\p{L}\p{M}\p{Cf}]*\p{IsCyrillic}|\p{IsCyrillic}[\p{L}\p{M}\p{Cf}]*\p{IsGreek}"
+#: Letters of two scripts beside each other, signs without width aside: any word that mixes scripts has such a place.
+MIXED = r"\p{IsLatin}[\p{M}\p{Cf}]*[\p{L}&&[^\p{IsLatin}]]|[\p{L}&&[^\p{IsLatin}]][\p{M}\p{Cf}]*\p{IsLatin}|\p{IsGreek}[\p{M}\p{Cf}]*\p{IsCyrillic}|\p{IsCyrillic}[\p{M}\p{Cf}]*\p{IsGreek}"
 
 
-def _words(docs: DataFrame, keep: str) -> DataFrame:
-    """(word): each document's distinct words that match the pattern `keep`."""
-    return docs.where(F.col("text").rlike(keep)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORDS)))).alias("word")).where(F.col("word").rlike(keep))
+def _words(docs: DataFrame, keep: str | None = None, sizes: list[int] | None = None) -> DataFrame:
+    """(word): each document's distinct words that match the pattern `keep`, or have one of the sizes."""
+    every = F.regexp_extract_all("text", F.lit(WORDS))
+    if keep:
+        return docs.where(F.col("text").rlike(keep)).select(F.explode(F.array_distinct(F.filter(every, lambda w: w.rlike(keep)))).alias("word"))
+    return docs.select(F.explode(F.array_distinct(F.filter(every, lambda w: F.length(w).isin(sizes)))).alias("word"))
 
 
 def spellings(docs: DataFrame) -> DataFrame:
@@ -220,11 +224,12 @@ def unmixed(docs: DataFrame) -> DataFrame:
     if tokens.isEmpty():
         return none
     keys = tokens.select("size", "place", "sign").distinct()
-    words = _words(docs, r"\p{L}").where(~F.col("word").rlike(MIXED)).withColumn("size", F.length("word"))
+    sizes = [r.size for r in tokens.select("size").distinct().collect()]  # lengths of words
+    words = _words(docs, sizes=sizes).withColumn("size", F.length("word"))
     places = tokens.select(F.col("size").alias("_size"), F.col("place").alias("_place")).distinct()
     signed = words.join(small(places), F.col("size") == F.col("_size")).select("word", "size", F.col("_place").alias("place"), F.substr("word", F.col("_place") + 1, F.lit(1)).alias("sign"))
     asked = signed.join(small(keys), ["size", "place", "sign"], "left_semi")
-    counted = asked.groupBy("size", "place", "sign", "word").agg(F.count("*").alias("n")).where(F.col("n") >= SPELLED_IN)
+    counted = asked.groupBy("size", "place", "sign", "word").agg(F.count("*").alias("n")).where((F.col("n") >= SPELLED_IN) & ~F.col("word").rlike(MIXED))
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         trie = Trie(dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True)))
