@@ -448,14 +448,11 @@ def _pairs(texts: DataFrame, watched: bytes) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                before, of_note = "", False
-                for chunk in text.lower().split():
-                    if chunk not in known:
-                        known[chunk] = look(chunk)
-                    first, second, now = known[chunk]
-                    if before and second and (of_note or now):
-                        pairs[before, second] += 1
-                    before, of_note = first, now
+                chunks = text.lower().split()
+                for chunk in set(chunks).difference(known):
+                    known[chunk] = look(chunk)
+                seen = [known[c] for c in chunks]
+                pairs.update([(x[0], y[1]) for x, y in zip(seen, seen[1:], strict=False) if (x[2] or y[2]) and x[0] and y[1]])
             if len(pairs) + len(known) > 1_000_000:
                 yield from rows()
         yield from rows()
