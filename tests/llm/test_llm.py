@@ -402,6 +402,48 @@ def test_mapping_is_the_same_however_rows_lie(spark):
     assert mapping.match(spark.createDataFrame([("brand", "x" * 10_000)], "kind string, value string"), entries).first().ref_id == 0
 
 
+def test_mapping_reads_values_of_any_length(spark):
+    long = " ".join(f"clause{chr(97 + i)}{chr(97 + j)}" for i in range(13) for j in range(13))
+    entries = spark.createDataFrame([(1, "section", "Dose And Schedule", []), (2, "section", long, []), (3, "brand", "Gyxkuabrine", [])], "ref_id bigint, kind string, entry_name string, also_known_as array<string>")
+    cases = {("brand", f"gyxkuabrnie ({long})"): 3, ("brand", "Gyxkuabrine" + " 20 mg" * 80): 3, ("section", "Dose" + " " * 400 + "and schedule"): 1, ("section", long.upper().replace("CLAUSEAC", "CLAVSEAC")): 2, ("section", "glossary " * 2000): 0}
+    assert min(len(v) for _, v in cases) > 300
+    got = mapping.match(spark.createDataFrame(list(cases), "kind string, value string"), entries, {"section": mapping.ACCEPT_PHRASE})
+    assert {(r.kind, r.value): r.ref_id for r in got.collect()} == cases
+
+
+def test_mapping_scores_every_name(spark):
+    r = random.Random(8)
+    words = ["use", "in", "children", "dose", "dosing", "schedule", "of", "therapy", "therapeutic", "cases", "warning", "warnings"]
+    names = sorted({" ".join(r.choices(words, weights=[1, 9, 1, 2, 1, 1, 9, 1, 1, 2, 2, 1], k=r.randrange(1, 6))) for _ in range(80)} | {"use in children", "warning warnings"})
+    values = {"uge in childen", "warning warning", "of of of use", "dose dosing dose dose", "x of y in z"}
+    for name in names:
+        w = [x if r.random() < 0.6 else x[:-1] + "x" for x in name.split()] + r.choices([*words, "unheard"], k=r.randrange(3))
+        r.shuffle(w)
+        values.add("".join(x + r.choice([" ", " ", "", "-"]) for x in w).strip(" -"))
+    entries = spark.createDataFrame([(i, "k", n, []) for i, n in enumerate(names)], "ref_id bigint, kind string, entry_name string, also_known_as array<string>")
+    by_name, weights = mapping.names_of(entries)
+    rows, weight = by_name.collect(), {x.word: (x.weight, x.unknown) for x in weights.collect()}
+    unknown = max(u for _, u in weight.values())
+    alike = lambda t: {t: 1.0} if t in weight else {w: s for w in weight if mapping.token_keys(t) & mapping.word_keys(w) and (s := mapping.similarity(t, w)) >= mapping.REPAIR}
+    found = {}
+    want = {}
+    for value in values:
+        for cut in mapping.readings(value):
+            for tokens in [cut, *([*cut[:i], cut[i] + cut[i + 1], *cut[i + 2 :]] for i in range(len(cut) - 1)), ["".join(cut)]]:
+                for t in tokens:
+                    found.setdefault(t, alike(t))
+                own = [weight[max(found[t], key=lambda w: (found[t][w], w))][0] if found[t] else unknown * min(1, len(t) / 5) for t in tokens]
+                for x in rows:
+                    part = dict(zip(x.words, x.parts, strict=True))
+                    soft = min(1.0, sum(w * max((part.get(y, 0.0) * s for y, s in found[t].items()), default=0.0) for t, w in zip(tokens, own, strict=True)) / sum(w * w for w in own) ** 0.5)
+                    score = (soft + max(mapping.similarity("".join(tokens), x.whole), soft * mapping.SHUFFLED)) / 2 if soft >= mapping.LEAST else 0.0
+                    if score >= mapping.ACCEPT_PHRASE:
+                        want[value] = max(score, want.get(value, 0.0))
+    got = {x.value: x.score for x in mapping.match(spark.createDataFrame([("k", v) for v in values], "kind string, value string"), entries, {"k": mapping.ACCEPT_PHRASE}).collect()}
+    assert len(want) >= 60
+    assert got == pytest.approx({v: want.get(v, 0.0) for v in values})
+
+
 @pytest.mark.parametrize(("a", "b", "d"), [("", "", 0), ("abc", "abc", 0), ("abc", "acb", 1), ("abc", "ab", 1), ("abc", "xbc", 1), ("", "ab", 2)])
 def test_distance(a, b, d):
     assert mapping.distance(a, b) == d

@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,6 @@ REACH = 3
 WHOLE, AFFIX = 12, 6
 #: Least soft TF-IDF of an entry that can be meant.
 LEAST = 0.3
-#: Characters beyond which a value is no name: it means no entry.
-LONGEST = 300
 #: Bits of the filter of what the entries' words leave with letters deleted: 16 for each, at most 16 MB. A fuller filter
 #: sends more to the join and loses nothing.
 FILTER_BITS = 1 << 27
@@ -95,22 +95,32 @@ def _letters(token: str) -> str:
 
 
 def readings(value: str) -> list[list[str]]:
-    """The ways to cut a value into words: as typed, without what stands in brackets, with neighbours joined."""
+    """The ways to cut a value into words: as typed and with hyphens left out, each without what stands in brackets.
+
+    Each stands for further readings, in which two neighbours or all words are one (see `_joined`): there are as many as
+    words, so they are weighed and scored together and never listed.
+    """
     text = folded(value)
     text = re.sub(r"[(\[][^)\]]*[)\]]?", " ", text)
     text = re.sub(r"^\W*(section|part|chapter)[\s_]+([0-9]+|[a-z]|[ivx]+)(?![a-z0-9])", " ", text)
     text = re.sub(r"^\W*[ivx]+\.\s", " ", text)
-    text = re.sub(r"_cont_d_?$|_continued_?s?$|_c\w*tinued$", " ", text)
+    text = re.sub(r"_cont_d_?$|_continued_?s?$", " ", text)
+    if re.search(r"tinued$", text):
+        text = re.sub(r"_c\w*tinued$", " ", text)
     out: list[list[str]] = []
     for cut in (re.sub(r"['’`´]", "", text), re.sub(r"['’`´\-]", "", text)):
         raw = [t for t in re.findall(r"[^\W_]+", cut) if not _filler(t)]
         tokens = [_letters(t) for t in raw]
-        for r in [tokens, *([*tokens[:i], tokens[i] + tokens[i + 1], *tokens[i + 2 :]] for i in range(len(tokens) - 1)), ["".join(tokens)]]:
-            if r and any(r) and r not in out:
-                out.append(r)
+        if tokens and tokens not in out:
+            out.append(tokens)
     return out
 
 
+def _joined(tokens: list[str]) -> list[str]:
+    """Each two neighbours as one word."""
+    return [a + b for a, b in zip(tokens, tokens[1:], strict=False)]
+
+
 def reach(length: int) -> int:
     """Edits that a word of this length may be away from its repair."""
     return min(REACH, max(1, int(length * (1 - REPAIR))))
@@ -219,12 +229,14 @@ def _spread(rows: DataFrame, *columns: str) -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], [], [], []]
         for kind, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for no, tokens in enumerate(readings(value) if len(value) <= LONGEST else []):
-                for col, x in zip(cols, (kind, value, no, tokens), strict=True):
+            for no, tokens in enumerate(readings(value)):
+                every = sorted({*tokens, *_joined(tokens), "".join(tokens)})
+                for col, x in zip(cols, (kind, value, no, tokens, every), strict=True):
                     col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["kind", "value", "reading", "tokens"])
+        strings = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), strings, strings), strict=True)], names=["kind", "value", "reading", "tokens", "every"])
 
 
 def _name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,40 +270,79 @@ def names_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(whole.join(own, ["kind", "name_id"]).select("kind", "name_id", "ref_id", "whole", F.transform("own", lambda x: x.word).alias("words"), F.transform("own", lambda x: x.w / F.col("norm")).alias("parts"))), words
 
 
+def _around(own: list[float], joined: list[float]) -> list[float]:
+    """Sums of `own` as it stands, and of `own` with each two neighbours replaced by the value of `joined`."""
+    left, right = [0.0, *accumulate(own)], [0.0, *accumulate(reversed(own))][::-1]
+    return [left[-1], *(left[i] + x + right[i + 2] for i, x in enumerate(joined))]
+
+
+def _wanted(own: list[float], joined: list[float], several: bool, norm: float) -> list[bool]:
+    """Which words of a value, weighing `own`, and neighbours as one, weighing `joined`, can bring a name to LEAST.
+
+    Of the words that lead to a name, take the heaviest: what it and all lighter ones give in some reading is their length
+    at most, times `norm`, the most length that a name has; if `several` may be the same word of a name, the sum of them.
+    """
+    power = 1 if several else 2
+    ranked, ranked_joined = sorted(own), sorted(joined)
+    sums = [0.0, *accumulate(x**power for x in ranked)]
+    square, *squares = _around([x * x for x in own], [x * x for x in joined])
+    least = math.sqrt(min([square, *squares]))
+    out = []
+    for x in own:
+        at = bisect_right(ranked_joined, x)
+        most = sums[bisect_right(ranked, x)] + (ranked_joined[at - 1] ** power if at else 0.0)
+        out.append(most ** (1 / power) * norm >= LEAST * least - 1e-9)
+    for x, length in zip(joined, squares, strict=True):
+        out.append((sums[bisect_right(ranked, x)] + x**power) ** (1 / power) * norm >= LEAST * math.sqrt(length) - 1e-9)
+    return out
+
+
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shares of a reading's tokens in its length, and the words by which alone a name can come to LEAST."""
+    """Repairs by place (words, then neighbours as one; -1: all as one), weights by place, and the words by which alone a
+    name can come to LEAST."""
     for batch in batches:
-        kept, shares, wanted = [], [], []
-        for tokens, found, unknown in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-            by = {f["token"]: f["found"] for f in found}
-            best = [max(by[t], key=lambda x: (x["alike"], x["word"])) if by.get(t) else None for t in tokens]
-            weights = [b["weight"] if b else unknown * min(1.0, len(t) / 5) for t, b in zip(tokens, best, strict=True)]
-            norm = math.sqrt(sum(w * w for w in weights))
-            own = [w / norm for w in weights]
-            # What the lightest tokens can give together is their length: names they alone lead to stay under LEAST.
-            light, heavy = 0.0, set()
-            for i in sorted(range(len(tokens)), key=lambda i: own[i]):
-                light += own[i] ** 2
-                if light >= LEAST**2 - 1e-9:
-                    heavy.add(tokens[i])
-            kept.append([{"token": t, "word": x["word"], "alike": x["alike"]} for t in set(tokens) for x in by.get(t) or ()])
-            shares.append(own)
-            wanted.append(sorted({x["word"] for t in heavy for x in by.get(t) or ()}))
-        pairs = pa.list_(pa.struct([("token", pa.string()), ("word", pa.string()), ("alike", pa.float64())]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kept, pairs), pa.array(shares, pa.list_(pa.float64())), pa.array(wanted, pa.list_(pa.string()))], names=[*batch.schema.names[:4], "repairs", "shares", "wanted"])
+        kept, weighed, wanted = [], [], []
+        for tokens, found, unknown, norm in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
+            by, n, all_ = {f["token"]: f["found"] for f in found}, len(tokens), "".join(tokens)
+            places = [*tokens, *_joined(tokens)]
+            best = [max(by[t], key=lambda x: (x["alike"], x["word"])) if by.get(t) else None for t in places]
+            weights = [b["weight"] if b else unknown * min(1.0, len(t) / 5) for t, b in zip(places, best, strict=True)]
+            # Whether two places of one reading may be the same word.
+            once: dict[str, int] = {}
+            several = False
+            for i, t in enumerate(places):
+                for x in by.get(t) or ():
+                    if i < n:
+                        several |= x["word"] in once
+                        once[x["word"]] = i
+                    else:
+                        several |= once.get(x["word"], i - n) not in (i - n, i - n + 1)
+            heavy = {t for t, ok in zip(places, _wanted(weights[:n], weights[n:], several, norm), strict=True) if ok}
+            spots = [*enumerate(places), *([(-1, all_)] if n > 2 else [])]
+            kept.append([{"at": i, "word": x["word"], "alike": x["alike"]} for i, t in spots for x in by.get(t) or ()])
+            weighed.append(weights)
+            wanted.append(sorted({x["word"] for t in {*heavy, all_} for x in by.get(t) or ()}))
+        pairs = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string()), ("alike", pa.float64())]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kept, pairs), pa.array(weighed, pa.list_(pa.float64())), pa.array(wanted, pa.list_(pa.string()))], names=[*batch.schema.names[:4], "repairs", "weights", "wanted"])
 
 
 def _scored(accept: dict[str, float]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
-            for kind, tokens, fixed, shares, whole, words, parts in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
-                part = dict(zip(words, parts, strict=True))
-                best: dict[str, float] = {}
+            for kind, tokens, fixed, weights, whole, words, parts in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
+                part, n = dict(zip(words, parts, strict=True)), len(tokens)
+                best, as_one = [0.0] * len(weights), 0.0
                 for x in fixed:
                     if x["word"] in part:
-                        best[x["token"]] = max(best.get(x["token"], 0.0), part[x["word"]] * x["alike"])
-                soft = min(1.0, sum(w * best.get(t, 0.0) for t, w in zip(tokens, shares, strict=True)))
+                        if x["at"] < 0:
+                            as_one = max(as_one, part[x["word"]] * x["alike"])
+                        else:
+                            best[x["at"]] = max(best[x["at"]], part[x["word"]] * x["alike"])
+                given, squares = [w * b for w, b in zip(weights, best, strict=True)], [w * w for w in weights]
+                softs = (x / math.sqrt(y) for x, y in zip(_around(given[:n], given[n:]), _around(squares[:n], squares[n:]), strict=True))
+                # All readings spell the same whole, so that the one with the most soft TF-IDF scores best.
+                soft = min(1.0, max(as_one, *softs))
                 least = 2 * accept.get(kind, ACCEPT) - soft
                 score = 0.0
                 if soft >= LEAST and least <= 1:
@@ -309,25 +360,27 @@ def match(values: DataFrame, entries: DataFrame, accept: dict[str, float] | None
     distinct token of all values is repaired to words of the names of its kind by edit distance, and the names that share
     a weighty word are ranked by soft TF-IDF: the product of the token weights (how rare a word is among names) times
     the similarity of the repair. The score is the mean of that and of the similarity of the whole spelling. A score
-    under `accept` of the kind, else under ACCEPT, an empty value, one of fillers only or of more than LONGEST
-    characters gives ref_id 0 and score 0. Of equal scores the smallest ref_id wins. Null values and entries without
+    under `accept` of the kind, else under ACCEPT, an empty value or one of fillers only gives ref_id 0 and score 0, however
+    long the others are. Of equal scores the smallest ref_id wins. Null values and entries without
     name or kind are left out. Values are made distinct first, so that hot ones count once; weights are those of all
     names, whatever their number, and every name is scored that can come to LEAST.
     """
     values = values.where("kind is not null and value is not null").select("kind", "value").distinct()
     names, words = names_of(entries)
-    read = cut(_spread(values, "kind", "value").mapInArrow(_read, "kind string, value string, reading int, tokens array<string>"))
-    tokens = read.select("kind", F.explode("tokens").alias("token"))
+    read = cut(_spread(values, "kind", "value").mapInArrow(_read, "kind string, value string, reading int, tokens array<string>, every array<string>"))
+    tokens = read.select("kind", F.explode("every").alias("token"))
     found = repairs(tokens, words).join(small(words.select("kind", "word", "weight")), ["kind", "word"])
     by_token = found.groupBy("kind", "token").agg(F.collect_list(F.struct("word", "alike", "weight")).alias("found"))
-    rows = read.join(small(words.groupBy("kind").agg(F.max("unknown").alias("unknown"))), "kind")
-    each = rows.select("kind", "value", "reading", F.explode("tokens").alias("token")).distinct().join(by_token, ["kind", "token"])
+    length = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x * x, F.sqrt)
+    kinds = words.groupBy("kind").agg(F.max("unknown").alias("unknown")).join(names.groupBy("kind").agg(F.max(length).alias("norm")), "kind")
+    rows = read.join(small(kinds), "kind")
+    each = rows.select("kind", "value", "reading", F.explode("every").alias("token")).join(by_token, ["kind", "token"])
     held = each.groupBy("kind", "value", "reading").agg(F.collect_list(F.struct("token", "found")).alias("found"))
-    weighed = cut(rows.join(held, ["kind", "value", "reading"]).select("kind", "value", "reading", "tokens", "found", "unknown").mapInArrow(_weigh, "kind string, value string, reading int, tokens array<string>, repairs array<struct<token string, word string, alike double>>, shares array<double>, wanted array<string>"))
+    weighed = cut(rows.join(held, ["kind", "value", "reading"]).select("kind", "value", "reading", "tokens", "found", "unknown", "norm").mapInArrow(_weigh, "kind string, value string, reading int, tokens array<string>, repairs array<struct<at int, word string, alike double>>, weights array<double>, wanted array<string>"))
     holders = names.select("kind", "name_id", F.explode("words").alias("word"))
     pairs = weighed.select("kind", "value", "reading", F.explode("wanted").alias("word")).join(small(holders), ["kind", "word"]).select("kind", "value", "reading", "name_id").distinct()
     both = pairs.join(weighed, ["kind", "value", "reading"]).join(small(names), ["kind", "name_id"])
-    score = _spread(both, "value", "name_id").select("kind", "value", "ref_id", F.col("kind").alias("own"), "tokens", "repairs", "shares", "whole", "words", "parts").mapInArrow(_scored(accept or {}), "kind string, value string, ref_id bigint, score double")
+    score = _spread(both, "value", "name_id").select("kind", "value", "ref_id", F.col("kind").alias("own"), "tokens", F.filter("repairs", lambda x: F.array_contains("words", x["word"])).alias("repairs"), "weights", "whole", "words", "parts").mapInArrow(_scored(accept or {}), "kind string, value string, ref_id bigint, score double")
     least = F.lit(ACCEPT)
     for kind, own in (accept or {}).items():
         least = F.when(F.col("kind") == kind, F.lit(own)).otherwise(least)
