@@ -516,6 +516,30 @@ def test_leakage_of_edited_items_against_brute_force(spark):
     assert all(got[k] <= want[k] + 1e-9 for k in got.keys() & want.keys())
 
 
+def test_leakage_finds_all_windows_as_alike_as_asked(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choices(["the", "of", "and", *(f"w{k}" for k in range(90))], weights=[9, 7, 5, *[1] * 90], k=n)) for n in [1, 2, 3, 5, 8, 12, 13, 20, 25, *[26] * 8, *[30] * 6, 37, 40, 55]]
+    docs = {}
+    for text in texts * 4:
+        w = [x if r.random() > 0.12 else f"new{r.randrange(9)}" for x in text.split()]
+        docs[len(docs)] = " ".join(["before", *w, *w[: r.randrange(4)], "after"])
+    number = lambda t: [leakage._hash(w) & 0xFFFFFFFF for w in t.split()]
+    want = {}
+    for d, t in docs.items():
+        h = number(t)
+        for i, own in enumerate(map(number, texts)):
+            places = {}
+            for start, size, edited in leakage.item_windows(len(own)):
+                for p in range(len(h) - size + 1):
+                    s = leakage.similarity(own[start : start + size], h[p : p + size])
+                    if s >= (leakage.ALIKE if edited else 1.0):
+                        places[size, p] = max(s, places.get((size, p), 0))
+            if places:
+                want[d, i] = (len(places), pytest.approx(max(places.values())))
+    got = leakage.leaked(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string"))
+    assert {(x.doc_id, x.item_id): (x.windows, x.best) for x in got.collect()} == want
+
+
 # --- 7 ---
 
 

@@ -1,8 +1,10 @@
 """Finding held-out evaluation texts inside a corpus.
 
 Items are cut into windows: windows of the item's own size, which meet edited copies, and all runs of EXACT words, which
-meet wording kept as it is. Windows of the corpus that can be alike get a SimHash; fingerprints within a radius meet by
-multi-index Hamming blocks, as a join of keyed tables; exact weighted shingle similarity then decides.
+meet wording kept as it is. Windows of the corpus that can be alike get a SimHash, and runs kept as they are meet by
+multi-index Hamming blocks of it, as a join of keyed tables. Fingerprints of edited windows may differ in any number of
+bits, so that these meet by their rarest shingles, one of which all pairs have in common that are alike enough; exact
+weighted shingle similarity then decides.
 """
 
 from __future__ import annotations
@@ -27,18 +29,20 @@ EXACT = 13
 #: Least similarity of windows of an item's size. A word counts 2, a run of two words 1: with one word of ten changed,
 #: windows come to 0.76 on average.
 ALIKE = 0.7
-#: Bits of 64 in which the fingerprints of such windows may differ (at 0.76 they do in 10 on average, and an item's
-#: several windows each have their chance; the README gives the recall), and those of runs of EXACT words, which are equal.
+#: Bits of 64 in which the fingerprints of edited windows may differ for `within_radius`, and those of runs of EXACT words,
+#: which are equal. `leaked` asks it for the latter only.
 RADIUS, RADIUS_EXACT = 15, 3
 #: Blocks of bits of a fingerprint, and bits in which a block may differ for both kinds. Of two fingerprints that differ
-#: in less than BLOCKS * (FLIPS + 1) bits, 12 and 4, some block differs in FLIPS at most, so that all those meet; of those
-#: up to RADIUS most do.
-BLOCKS, FLIPS, FLIPS_EXACT = 4, 2, 0
+#: in less than BLOCKS * (FLIPS + 1) bits, 16 and 4, some block differs in FLIPS at most, so that all within the radius meet.
+BLOCKS, FLIPS, FLIPS_EXACT = 4, 3, 0
 #: Windows of an item's size come in rungs, each about 1.4 times the one before; shorter items are their own window.
 RUNGS = [26, *(round(26 * 2 ** (k / 2)) for k in range(1, 40))]
 #: Bits of the filter of shingles that items have: 32 for each shingle, at most 16 MB. A fuller filter lets more
 #: windows through to the join and loses none.
 FILTER_BITS = 1 << 27
+#: Most places of the table of how many windows of items hold a shingle, 4 bytes each. A fuller one takes some shingles
+#: for more frequent than they are, which makes more work and loses nothing.
+PLACES = 1 << 22
 #: Words that are looked at in one step.
 STEP = 50_000
 
@@ -260,17 +264,86 @@ def within_radius(corpus: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.where(near).select("size", "wid", "print", "item_wid", "item_print", "edited").distinct()
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many values each row of `a` has in common with that of `b`, repeated ones counted as often as in both."""
+def _counted(x: np.ndarray) -> np.ndarray:
+    """A hash of each value of a row of `x`, with how many times it stands in the row before."""
+    x, at = np.sort(x, 1), np.arange(x.shape[1])
+    first = np.c_[np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]] if x.shape[1] else np.ones(x.shape, bool)
+    nth = at - np.maximum.accumulate(np.where(first, at, 0), 1)
+    with np.errstate(over="ignore"):
+        return _mix(x + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _windows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places, shingles) of the windows (size, words) of a batch, by size: words, then runs of two, as `_counted`."""
+    sizes, own = batch.column("size").to_numpy(), batch.column("words")
+    first, values = own.offsets.to_numpy().astype(np.int64), own.values.to_numpy().view(np.uint32)
+    for size in np.unique(sizes).tolist():
+        every = np.flatnonzero(sizes == size)
+        for lo in range(0, len(every), step := max(1, STEP // size)):
+            at = every[lo : lo + step]
+            w = values[first[at][:, None] + np.arange(size)].astype(np.uint64)
+            yield size, at, np.concatenate([_counted(w), _counted(_twos(w))], 1)
+
+
+def _holders(windows: DataFrame, places: int) -> np.ndarray:
+    """How many of the windows hold a shingle, by its hash, made by the tasks and put together one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(places, np.uint32)
+        for batch in batches:
+            for _, _, shingles in _windows_of(batch):
+                at, n = np.unique(shingles & np.uint64(places - 1), return_counts=True)
+                own[at.astype(np.int64)] += n.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()])], names=["own"])
 
-    def keys(x: np.ndarray) -> np.ndarray:
-        x, at = np.sort(x, 1), np.arange(x.shape[1])
-        first = np.c_[np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]] if x.shape[1] else np.ones(x.shape, bool)
-        nth = at - np.maximum.accumulate(np.where(first, at, 0), 1)
-        with np.errstate(over="ignore"):
-            return _mix(x + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.zeros(places, np.uint32)
+    for row in windows.select("size", "words").mapInArrow(run, "own binary").toLocalIterator():
+        out += np.frombuffer(row.own, np.uint32)
+    return out
+
+
+def _rarest(windows: DataFrame, holders: np.ndarray, at_least: float) -> DataFrame:
+    """(size, wid, print, key): the shingles of each window by one of which any window must meet it that is as alike.
 
-    both = np.sort(np.concatenate([keys(a), keys(b)], 1), 1)
+    All windows take their shingles in one order, rare ones first, up to the weight that two of them may have apart: the
+    first shingle in that order that such windows share is among these of both.
+    """
+    spark = windows.sparkSession
+    shared = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(holders + 1.0)).astype(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = shared.value
+        for batch in batches:
+            wid, prints = batch.column("wid").to_numpy(), batch.column("print").to_numpy()
+            for size, at, shingles in _windows_of(batch):
+                order = rank[(shingles & np.uint64(len(rank) - 1)).astype(np.int64)] << np.uint64(56) | shingles >> np.uint64(8)
+                # The last bit tells words, which weigh 2, from runs of two.
+                order = order & ~np.uint64(1) | (np.arange(order.shape[1]) < size).astype(np.uint64)
+                order.sort(1)
+                own = 1 + (order & np.uint64(1)).astype(np.int32)
+                row, col = np.nonzero(np.cumsum(own, 1) - own <= weight(size) - needed(size, at_least))
+                cols = (np.full(len(row), size), wid[at[row]], prints[at[row]], order[row, col].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["size", "wid", "print", "key"])
+
+    return windows.select("size", "wid", "print", "words").mapInArrow(run, "size int, wid bigint, print bigint, key bigint")
+
+
+def can_be_alike(corpus: DataFrame, own: DataFrame, at_least: float) -> DataFrame:
+    """Distinct (size, wid, print, item_wid, item_print, edited): edited windows of both sides, (size, wid, print, words), that
+    have one of their rarest shingles in common. All pairs whose similarity is `at_least` do."""
+    items = own.where("edited").groupBy("size", "wid", "print").agg(F.first("words").alias("words"))
+    words_, places = items.agg(F.sum("size")).first()[0] or 0, 1 << 12
+    while places < min(PLACES, 4 * words_):
+        places *= 2
+    holders = _holders(items, places)
+    keyed = cut(_rarest(items, holders, at_least).withColumnsRenamed({"wid": "item_wid", "print": "item_print"}))
+    asked = _rarest(corpus.join(F.broadcast(items.select("size").distinct()), "size", "left_semi"), holders, at_least)
+    return asked.join(small(keyed, 500_000), ["size", "key"]).select("size", "wid", "print", "item_wid", "item_print", F.lit(True).alias("edited")).distinct()
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each row of `a` has in common with that of `b`, repeated ones counted as often as in both."""
+    both = np.sort(np.concatenate([_counted(a), _counted(b)], 1), 1)
     return (both[:, 1:] == both[:, :-1]).sum(1)
 
 
@@ -296,11 +369,11 @@ def leaked(docs: DataFrame, items: DataFrame, at_least: float = ALIKE) -> DataFr
 
     A document holds wording of an item if a window of it is as alike as `at_least` to one of the item of its own size
     (best: the highest similarity), or if both share a run of EXACT words (longest_run: words of the longest stretch of
-    such runs, 0 without one). windows counts the document's matching windows. Edited wording is found if its
-    fingerprint lies near enough (see RADIUS and FLIPS), runs kept as they are always.
+    such runs, 0 without one). windows counts the document's matching windows. All of them are found, whatever their
+    fingerprints: edited ones meet by their rarest shingles (see `can_be_alike`), runs kept as they are by equal prints.
 
     The corpus is read once, whatever the number of items; only windows that share enough shingles with items leave
-    the tasks, equal ones with their words once. Items and windows then are tables: they meet by block and key, small
+    the tasks, equal ones with their words once. Items and windows then are tables: they meet by key, small
     sides are broadcast, others shuffle. Positions are gathered for one document and item only. Nulls, empty texts
     and, for items under EXACT words, texts shorter than the item match nothing. Repeated rows count once.
     """
@@ -313,10 +386,11 @@ def leaked(docs: DataFrame, items: DataFrame, at_least: float = ALIKE) -> DataFr
         bits *= 2
     least = {r.size: needed(r.size, at_least) if r.edited else weight(r.size) for r in sizes}
     found = cut(_cut_documents(docs, _filter_of(items, bits), least))
-    distinct = found.where("words is not null").groupBy("size", "wid", "print").agg(F.first("words").alias("words"))
+    distinct = cut(found.where("words is not null").groupBy("size", "wid", "print").agg(F.first("words").alias("words")))
     windows = own.groupBy("size", "wid", "print").agg(F.first("words").alias("words")).withColumnsRenamed({"wid": "item_wid", "print": "item_print", "words": "item_words"})
     same = (F.col("wid") == F.col("item_wid")) & (F.col("print") == F.col("item_print"))
-    pairs = within_radius(distinct, own).where(F.col("edited") | same).join(distinct, ["size", "wid", "print"]).join(small(windows), ["size", "item_wid", "item_print"])
+    kept = within_radius(distinct, own.where("not edited")).where(same)
+    pairs = kept.unionByName(can_be_alike(distinct, own, at_least)).join(distinct, ["size", "wid", "print"]).join(small(windows), ["size", "item_wid", "item_print"])
     sure = pairs.select("words", "item_words", "size", "wid", "print", "item_wid", "edited").mapInArrow(_compare, "size int, wid bigint, print bigint, item_wid bigint, edited boolean, similarity double").where(F.col("similarity") >= F.when(F.col("edited"), F.lit(at_least)).otherwise(F.lit(1.0)))
     by_item = sure.join(own.select("size", F.col("wid").alias("item_wid"), "edited", "item_id"), ["size", "item_wid", "edited"])
     matched = cut(by_item.groupBy("size", "wid", "print", "item_id").agg(F.max("similarity").alias("similarity"), F.max(~F.col("edited")).alias("kept")))
