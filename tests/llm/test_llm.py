@@ -176,6 +176,40 @@ def test_what_scans_show_often_is_learned(spark):
     assert "treataext" not in facts
 
 
+def test_only_texts_in_doubt_are_repaired(spark):
+    scans_ = [("raw_text", str(i), _scan(i)[0]) for i in range(20)]
+    sound = [("raw_text", f"c{i}", " ".join(random.Random(i).choices(BODY, k=300)) + ".") for i in range(40)]
+    odd = [("raw_text", "odd", " ".join(BODY[:20]) + " l2 " + " ".join(BODY[20:40]))]
+    rows = spark.createDataFrame(scans_ + sound + odd, "field string, record_key string, text string")
+    known = scans.learn(rows, rows)
+    asked = scans._doubted(scans._needs(scans._group_of(rows, 3), known, doubted=True)).collect()
+    want = {(k, t) for _, k, t in scans_ + odd}
+    assert {(x.record_key, x.text) for x in asked} >= want and len(asked) < len(want) + 10
+    # Their damage is that of all texts, sound ones among them.
+    every = sorted(map(tuple, scans._whole(rows, known, True).where("line_no > 0").collect()))
+    assert ("raw_text", "odd", 1, "misread") in every and every == sorted(map(tuple, scans.damaged(rows, known).collect()))
+
+
+def test_neighbours_beyond_marks_are_asked_for_in_each_place(spark):
+    core = scans.Lexicon({"form": 90}, {"form"}, siblings={"form": ["from"]})
+    known = scans.Knowledge(None, core, bytes(8192), bytes(8192), bytes(8192), None, b"\xff" * 8192)
+    texts = spark.createDataFrame([(0, "one - form at l2 two - form at"), (0, "l2 three - form - four")], "g int, text string").coalesce(1)
+    got = {(r.a, r.b) for r in scans._needs(texts, known).where("kind = 'pair'").collect()}
+    assert got >= {("one", "from"), ("two", "from"), ("three", "from"), ("from", "at"), ("from", "four")}
+
+
+def test_filters_hold_their_words_and_few_others(spark):
+    words = [f"w{i}" for i in range(4000)]
+    bits = scans._filter(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert all(scans._in(bits, w) for w in words)
+    assert sum(scans._in(bits, f"x{i}") for i in range(4000)) < 60
+
+
+@given(st.text("aÉzB ,ß7)\n"))
+def test_names_inside_sentences(text):
+    assert scans.CAPITAL.findall(text) == re.findall(r"[a-zß-ÿ0-9,%)] ([A-ZÀ-Ý][^\W_]*)", text)
+
+
 def test_scans_without_rows(spark):
     empty = spark.createDataFrame([], "field string, record_key string, text string")
     lexicon = scans.learn(empty, empty)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,11 +46,13 @@ BUCKETS = 1 << 18
 #: Words, the most frequent first, that every task knows (some 150 bytes each): a cache, which spares them the joins that
 #: all others take part in, and has no say in any result.
 CORE = 50_000
-#: Bits of a filter of words: 16 for each, at most 16 MB. A fuller filter lets more through and loses nothing.
-FILTER_BITS = 1 << 27
+#: Bits of a filter of words: 16 for each, at most 16 MB, and the places of a word in it, so that 1 of 200 other words gets
+#: through. A fuller filter lets more through and loses nothing.
+FILTER_BITS, PLACES = 1 << 27, 3
 
 TOKEN = re.compile(r"[^\W_]+")
-CAPITAL = re.compile(r"[a-zß-ÿ0-9,%)] ([A-ZÀ-Ý][^\W_]*)")
+#: A word with a capital letter inside a sentence; one right behind it isn't counted. It begins with a blank, for speed.
+CAPITAL = re.compile(r" (?<=[a-zß-ÿ0-9,%)] )([A-ZÀ-Ý][^\W_]*)(?: [A-ZÀ-Ý][^\W_]*)?")
 HYPHENED = re.compile(r"([^\W\d_]+)-(?=[^\W\d_]{2})")
 HYPHENS = "-‐‑\xad¬"
 #: Letters read for digits.
@@ -58,6 +61,7 @@ NUMBER = re.compile(rf"(?<![^\W_])(?=[{NUMERIC}.,]*[0-9])(?=[0-9.,]*[OolISsBbZzg
 _N = rf"(?:[{NUMERIC}]+|[ivxlcIVXLC1]{{1,7}})"
 PAGE = re.compile(rf"[\s\f]*[\[(\-–—|]*\s*(?:[^\W\d_]{{1,5}}[.:]?\s+)?{_N}(?:\s*(?:/|[^\W\d_]{{2}})\s*{_N})?\s*[\])\-–—|]*\s*")
 PAGE_WORDS = ("page", "p", "pg", "seite")
+PART, GAP, DIGITS = re.compile(r"[^\W_]+|[^\w\s]"), re.compile(r"\S {3,}\S"), re.compile(r"\d+")
 LAST, FIRST = re.compile(r"([^\W_]+)$"), re.compile(r"\s*([^\W_]+)")
 COUNTS = "kind string, a string, b string, n bigint, clean bigint"
 
@@ -202,9 +206,15 @@ class Lexicon:
     counts: dict[str, int] = field(default_factory=dict)
     #: What stands between blanks and needs no repair, whatever the group: a doubtful token is known where it stands.
     fine: set[str] = field(default_factory=set)
-    #: Words as features of lines, and the weights of features, as far as they were asked for.
+    #: What stands between blanks without a misread number, whatever the group.
+    numberless: set[str] = field(default_factory=set)
+    #: What needs repair between blanks, and tokens that stay as they are, in texts of the group.
+    ill: set[str] = field(default_factory=set)
+    settled: set[str] = field(default_factory=set)
+    #: Words as features of lines, and the weights and buckets of features, as far as they were asked for.
     looks: dict[str, str] = field(default_factory=dict)
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[str | tuple[str, str], float] = field(default_factory=dict)
+    buckets: dict[str | tuple[str, str], int] = field(default_factory=dict)
 
     def candidates(self, token: str) -> list[tuple[float, str]]:
         """What a token that is no word may have been, (cost, word), the cheapest first; nothing for a word."""
@@ -229,15 +239,20 @@ class Lexicon:
         """Whether anything between two blanks may need repair. Words that exist are doubted in wrapped texts only."""
         return NUMBER.search(chunk) is not None or any(self.candidates(t.lower()) for t in TOKEN.findall(chunk))
 
+    def settles(self, token: str) -> bool:
+        """Whether a token stays as it is, whatever stands around it."""
+        low = token.lower()
+        return low not in self.siblings and not self.candidates(low) or len(low) < 2 or token.isdigit() or not token.isalpha() and NUMBER.fullmatch(token) is not None
+
     def seen(self, word: str) -> str:
-        """A word as a feature of a line: itself, repaired, or a star."""
+        """A word as a feature of a line: itself, repaired, or a star; a mark is itself."""
         if word not in self.looks:
             if len(self.looks) > 500_000:
                 self.looks.clear()
             self.looks[word] = self._seen(word)
         return self.looks[word]
 
-    def weight(self, feature: str) -> float:
+    def weight(self, feature: str | tuple[str, str]) -> float:
         """What a feature of a line says for a header."""
         if feature not in self.weights:
             if len(self.weights) > 500_000:
@@ -245,7 +260,17 @@ class Lexicon:
             self.weights[feature] = float(self.lines[bucket(feature)])
         return self.weights[feature]
 
+    def bucket(self, feature: str | tuple[str, str]) -> int:
+        """The bucket of a feature of a line, remembered."""
+        if feature not in self.buckets:
+            if len(self.buckets) > 500_000:
+                self.buckets.clear()
+            self.buckets[feature] = bucket(feature)
+        return self.buckets[feature]
+
     def _seen(self, word: str) -> str:
+        if not word[0].isalnum():
+            return word
         low = word.lower()
         if low.isdigit():
             return "#"
@@ -255,29 +280,34 @@ class Lexicon:
         return found[0][1] if found else "#" if NUMBER.fullmatch(word) else "*"
 
 
-def bucket(feature: str) -> int:
+def bucket(feature: str | tuple[str, str]) -> int:
     """The bucket of a feature of a line."""
-    return xxhash.xxh3_64_intdigest(feature) % BUCKETS
-
-
-def line_features(line: str, lexicon: Lexicon) -> set[str]:
-    """What tells a running header from a line of the body."""
-    tokens = [lexicon.seen(t) if t[0].isalnum() else t for t in re.findall(r"[^\W_]+|[^\w\s]", line)]
-    merged = [t for i, t in enumerate(tokens) if not (t == "*" and i and tokens[i - 1] == "*")]
-    merged = ["^", *merged, "$"]
-    out = {f"{a} {b}" for a, b in zip(merged, merged[1:], strict=False)} | set(merged)
+    return xxhash.xxh3_64_intdigest(feature if isinstance(feature, str) else " ".join(feature)) % BUCKETS
+
+
+def line_features(line: str, lexicon: Lexicon) -> set[str | tuple[str, str]]:
+    """What tells a running header from a line of the body: its words and marks, and what follows what."""
+    looks = lexicon.looks
+    merged = ["^"]
+    for t in PART.findall(line):
+        x = looks.get(t) or lexicon.seen(t)
+        if x != "*" or merged[-1] != "*":
+            merged.append(x)
+    merged.append("$")
+    out: set[str | tuple[str, str]] = set(zip(merged, merged[1:], strict=False))
+    out.update(merged)
     first = line.lstrip()[:1]
-    out.add("starts lower" if first.islower() else "starts upper" if first.isupper() else "starts other")
-    if re.search(r"\S {3,}\S", line):
-        out.add("wide gap")
-    letters = [c for c in line if c.isalpha()]
-    out.add("capitals" if letters and sum(c.isupper() for c in letters) > 0.5 * len(letters) else "small letters")
+    out.add(("starts", "lower" if first.islower() else "upper" if first.isupper() else "other"))
+    if "   " in line and GAP.search(line):
+        out.add(("wide", "gap"))
+    letters = list(filter(str.isalpha, line))
+    out.add("capitals" if letters and sum(map(str.isupper, letters)) > 0.5 * len(letters) else ("small", "letters"))
     return out
 
 
 def _shape(line: str) -> str:
     """A line without what changes from page to page."""
-    return re.sub(r"\d+", "#", re.sub(r"\s+", " ", line.strip())).lower()
+    return DIGITS.sub("#", " ".join(line.split())).lower()
 
 
 def is_page_number(line: str) -> bool:
@@ -301,6 +331,12 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def _places(word: str, bits: int) -> list[int]:
+    """Where a word stands in a filter."""
+    h = _hash(word)
+    return [(h + i * (h >> 32 | 1)) % bits for i in range(PLACES)]
+
+
 def _filter(words: DataFrame) -> bytes:
     """A bit map of the words (word), made by the tasks and put together one at a time."""
     n, bits = words.count(), 1 << 16
@@ -311,8 +347,8 @@ def _filter(words: DataFrame) -> bytes:
         own = bytearray(bits // 8)
         for batch in batches:
             for w in batch.column(0).to_pylist():
-                h = _hash(w) % bits
-                own[h >> 3] |= 1 << (h & 7)
+                for h in _places(w, bits):
+                    own[h >> 3] |= 1 << (h & 7)
         yield pa.RecordBatch.from_arrays([pa.array([bytes(own)])], names=["own"])
 
     out = np.zeros(bits // 8, np.uint8)
@@ -322,8 +358,7 @@ def _filter(words: DataFrame) -> bytes:
 
 
 def _in(bits: bytes, word: str) -> bool:
-    h = _hash(word) % (len(bits) * 8)
-    return bool(bits[h >> 3] >> (h & 7) & 1)
+    return all(bits[h >> 3] >> (h & 7) & 1 for h in _places(word, len(bits) * 8))
 
 
 def _keyed(words: DataFrame, units: tuple[str, ...], bits: bytes | None = None) -> DataFrame:
@@ -442,17 +477,22 @@ def _pairs(texts: DataFrame, watched: bytes) -> DataFrame:
             pairs.clear()
             known.clear()
 
+        none = ("", "", False)
+
         def look(chunk: str) -> tuple[str, str, bool]:
             bare = chunk.strip(",.;:")
-            return chunk if chunk.isalnum() else "", bare if bare.isalnum() else "", bare.isalnum() and _in(shared.value, bare)
+            found = (chunk if chunk.isalnum() else "", bare if bare.isalnum() else "", bare.isalnum() and not bare.isdigit() and _in(shared.value, bare))
+            return found if found[1] else none
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 chunks = text.lower().split()
                 for chunk in set(chunks).difference(known):
                     known[chunk] = look(chunk)
-                seen = [known[c] for c in chunks]
-                pairs.update([(x[0], y[1]) for x, y in zip(seen, seen[1:], strict=False) if (x[2] or y[2]) and x[0] and y[1]])
+                seen = [none, *map(known.__getitem__, chunks), none]
+                at = [i for i, x in enumerate(seen) if x[2]]
+                pairs.update([(x, y) for i in at if (x := seen[i][0]) and (y := seen[i + 1][1])])
+                pairs.update([(p[0], seen[i][1]) for i in at if not (p := seen[i - 1])[2] and p[0]])
             if len(pairs) + len(known) > 1_000_000:
                 yield from rows()
         yield from rows()
@@ -460,20 +500,24 @@ def _pairs(texts: DataFrame, watched: bytes) -> DataFrame:
     return texts.select("text").mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 3")
 
 
-def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
-    """(kind, g, a, b, c) of the groups of `texts` (g, text): words that the core doesn't know (kind need), contexts of tokens that only
-    their neighbours settle (kind ask), and pairs of words that may decide something (kind pair).
+def _needs(texts: DataFrame, known: Knowledge, doubted: bool = False) -> DataFrame:
+    """(kind, g, a, b, c, text) of the groups of `texts` (g, field, record_key, text): words that the core doesn't know (kind
+    need), contexts of tokens that only their neighbours settle (kind ask), and pairs of words that may decide something
+    (kind pair). With `doubted` also the texts that need something (kind text: field, record_key and text).
 
     A text without wrapped lines, without a token that may have been a word and without an odd number needs nothing: it
     is sound whatever else is known. A pair that the filter of pairs doesn't know decides nothing.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((known.odd, known.rest, known.unsure, known.paired, known.core.siblings if known.paired else {}))
+    shared = texts.sparkSession.sparkContext.broadcast((known.odd, known.rest, known.unsure, known.paired, known.core.siblings if known.paired else {}, frozenset(known.core.words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd, rest, unsure, paired, siblings = shared.value
+        odd, rest, unsure, paired, siblings, core = shared.value
         state: dict[str, tuple[bool, bool, bool]] = {}
-        #: What stands between two blanks: whether it is odd, and its words of which something may be asked.
-        chunks: dict[str, tuple[bool, list[str]]] = {}
+        #: What stands between two blanks: its words, those of the rest, and the places of those that ask for neighbours.
+        chunks: dict[str, tuple[list[str], list[str], list[int]]] = {}
+        #: What is odd, what asks for something, and what is and does neither.
+        ill: set[str] = set()
+        asking: set[str] = set()
         plain: set[str] = set()
         contexts: dict[tuple[str, str, str], list[tuple[str, str, str, str]]] = {}
         out: set[tuple[str, int, str, str, str]] = set()
@@ -485,32 +529,45 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
                 together[key] = bool(paired) and _in(paired, f"{a} {b}")
             return together[key]
 
+        def batch_of(cols: list) -> pa.RecordBatch:
+            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "g", "a", "b", "c", "text"])
+
         def rows() -> Iterator[pa.RecordBatch]:
             every = list(out)
             for lo in range(0, len(every), 50_000):
-                cols = list(zip(*every[lo : lo + 50_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["kind", "g", "a", "b", "c"])
-            for held in (out, state, chunks, plain, contexts, together):
+                part = every[lo : lo + 50_000]
+                yield batch_of([*zip(*part, strict=True), [None] * len(part)])
+            for held in (out, state, chunks, ill, asking, plain, contexts, together):
                 held.clear()
 
         def of(w: str) -> tuple[bool, bool, bool]:
+            if w in core or w.isdigit():  # the filters are of other words
+                return (False, False, False)
             if w not in state:
                 state[w] = (_in(odd, w), _in(rest, w), bool(paired) and _in(unsure, w))
             return state[w]
 
         def look(chunk: str) -> None:
-            words = TOKEN.findall(chunk.lower())
-            told = [w for w in words if of(w)[1] or of(w)[2] or w in siblings]
-            is_odd = any(of(w)[0] for w in words) or NUMBER.search(chunk) is not None
-            chunks[chunk] = (is_odd, told)
-            if not is_odd and not told:
+            words = [w.lower() for w in TOKEN.findall(chunk)]
+            told = [of(w) for w in words]
+            wanted = [w for w, x in zip(words, told, strict=True) if x[1]]
+            places = [k for k, (w, x) in enumerate(zip(words, told, strict=True)) if x[2] or w in siblings]
+            chunks[chunk] = (words, wanted, places)
+            is_odd = any(x[0] for x in told) or NUMBER.search(chunk) is not None
+            if is_odd:
+                ill.add(chunk)
+            if wanted or places:
+                asking.add(chunk)
+            elif not is_odd:
                 plain.add(chunk)
 
-        def around(left: list[str], own: list[str], right: list[str]) -> list[tuple[str, str, str, str]]:
+        def around(left: str, chunk: str, right: str) -> list[tuple[str, str, str, str]]:
             """(kind, a, b, c) of what the words between two blanks ask of their neighbours."""
-            low, found = [*left, *own, *right], []
-            for k in range(len(left), len(left) + len(own)):
-                w, before, after = low[k], low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else ""
+            own, _, places = chunks[chunk]
+            found = []
+            for k in places:
+                w, before, after = own[k], own[k - 1] if k else left, own[k + 1] if k + 1 < len(own) else right
                 if of(w)[2]:
                     found.append(("ask", before, w, after))
                 # Pairs that decide whether a word that exists was misread from another one.
@@ -520,28 +577,32 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
             return found
 
         for batch in batches:
-            for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            kept: list[int] = []
+            for row, (g, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 wrapped = is_wrapped(text)
                 every = text.split()
                 several = set(every) - plain
-                for chunk in several:
-                    if chunk not in chunks:
-                        look(chunk)
-                if not wrapped and not any(chunks[c][0] for c in several):
+                for chunk in several.difference(chunks):
+                    look(chunk)
+                if not wrapped and several.isdisjoint(ill):
                     continue
-                told = {c for c in several if chunks[c][1]}
-                out.update([("need", g, w, "", "") for c in told for w in chunks[c][1] if of(w)[1]])
-                if paired and told:
-                    last = len(every) - 1
-                    for i, chunk in enumerate(every):
-                        if chunk in told:
-                            key = (every[i - 1] if i else "", chunk, every[i + 1] if i < last else "")
-                            if key not in contexts:
-                                left = next((t[-1:] for j in range(i - 1, -1, -1) if (t := TOKEN.findall(every[j].lower()))), [])
-                                right = next((t[:1] for j in range(i + 1, len(every)) if (t := TOKEN.findall(every[j].lower()))), [])
-                                contexts[key] = around(left, TOKEN.findall(chunk.lower()), right)
-                            if contexts[key]:
-                                out.update([(kind, g, *x) for kind, *x in contexts[key]])
+                kept.append(row)
+                told = several & asking
+                out.update([("need", g, w, "", "") for c in told for w in chunks[c][1]])
+                at = [i for i, c in enumerate(every) if c in told and chunks[c][2]] if told else ()
+                last = len(every) - 1
+                for i in at:
+                    key = (every[i - 1] if i else "", every[i], every[i + 1] if i < last else "")
+                    found = contexts.get(key)
+                    if found is None:
+                        left = next((w[-1] for j in range(i - 1, -1, -1) if (w := chunks[every[j]][0])), "")
+                        right = next((w[0] for j in range(i + 1, last + 1) if (w := chunks[every[j]][0])), "")
+                        found = around(left, every[i], right)
+                        # Beyond neighbours without words others may stand elsewhere.
+                        if (not i or chunks[key[0]][0]) and (i == last or chunks[key[2]][0]):
+                            contexts[key] = found
+                    if found:
+                        out.update([(kind, g, *x) for kind, *x in found])
                 if wrapped:
                     low = None
                     for a, b in glued(text):
@@ -556,11 +617,14 @@ def _needs(texts: DataFrame, known: Knowledge) -> DataFrame:
                             at = next((i for i in range(len(low) - 1) if low[i] == a and low[i + 1] == b), None)
                             if at is not None:
                                 out.add(("ask", g, low[at - 1] if at else "", w, low[at + 2] if at + 2 < len(low) else ""))
+            if doubted and kept:
+                part = batch.take(pa.array(kept))
+                yield batch_of([["text"] * len(kept), part.column(0), part.column(2), part.column(3), [None] * len(kept), part.column(1)])
             if len(out) + len(state) + len(chunks) + len(contexts) + len(together) > 1_500_000:
                 yield from rows()
         yield from rows()
 
-    return texts.select("g", "text").mapInArrow(run, "kind string, g int, a string, b string, c string")
+    return texts.select("g", "text", *(("field", "record_key") if doubted else ())).mapInArrow(run, "kind string, g int, a string, b string, c string, text string")
 
 
 def _facts(known: Knowledge, needs: DataFrame) -> DataFrame:
@@ -599,9 +663,8 @@ def _without(own: Lexicon, words: list[str]) -> None:
         for w in words:
             held.pop(w, None)
     own.ordinary.difference_update(words)
-    own.known.clear()
-    own.counts.clear()
-    own.pairs.clear()
+    for held in (own.known, own.counts, own.pairs, own.ill, own.settled):
+        held.clear()
 
 
 def _in_groups(texts: DataFrame, facts: DataFrame, core: Lexicon, make, schema: str) -> DataFrame:  # noqa: ANN001
@@ -626,20 +689,24 @@ def _in_groups(texts: DataFrame, facts: DataFrame, core: Lexicon, make, schema:
 
 def _header_lines(lexicon: Lexicon, texts: pa.Table) -> pa.Table:
     """How often each bucket of line features stands in lines that a document repeats, and in others; -1 counts lines."""
-    rows: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    every: Counter = Counter()
+    heads: Counter = Counter()
     for text in texts.column("text").to_pylist():
         if not is_wrapped(text):
             continue
         lines = [x for x in text.replace("\f", "").split("\n") if x.strip() and not is_page_number(x)]
-        times = Counter(map(_shape, lines))
-        for line in lines:
-            is_head = times[_shape(line)] > 1 and len(TOKEN.findall(line)) > 1
-            if not is_head and times[_shape(line)] > 1:
+        shapes = [_shape(x) for x in lines]
+        times = Counter(shapes)
+        for line, shape in zip(lines, shapes, strict=True):
+            repeated = times[shape] > 1
+            is_head = repeated and len(TOKEN.findall(line)) > 1
+            if repeated and not is_head:
                 continue
-            for f in {*map(bucket, line_features(line, lexicon)), -1}:
-                rows[f][0] += 1
-                rows[f][1] += is_head
-    return pa.table({"bucket": pa.array(list(rows), pa.int32()), "n": pa.array([v[0] for v in rows.values()], pa.int64()), "head": pa.array([v[1] for v in rows.values()], pa.int64())})
+            found = {*map(lexicon.bucket, line_features(line, lexicon)), -1}
+            every.update(found)
+            if is_head:
+                heads.update(found)
+    return pa.table({"bucket": pa.array(list(every), pa.int32()), "n": pa.array(list(every.values()), pa.int64()), "head": pa.array([heads[f] for f in every], pa.int64())})
 
 
 def learn(texts: DataFrame, documents: DataFrame | None = None) -> Knowledge:
@@ -728,7 +795,8 @@ def is_furniture(line: str, lexicon: Lexicon) -> bool:
     if not s or lexicon.lines is None or s[0].islower():
         return False
     # The short last line of a paragraph looks a little like a header; only names bring a full stop into one.
-    return math.fsum(map(lexicon.weight, line_features(line, lexicon))) > (8.0 if s[-1] in ".!?" else 3.0)
+    weights = lexicon.weights
+    return math.fsum([weights[f] if f in weights else lexicon.weight(f) for f in line_features(line, lexicon)]) > (8.0 if s[-1] in ".!?" else 3.0)
 
 
 @dataclass
@@ -788,26 +856,31 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
     for i in filled:
         s = out_lines[i]
         pieces.append((i, s[: -len(ends[i])] if i in ends and glued[i] else s, i in ends))
-    running, owner = [], []
+    running, starts, at = [], [], 0
     for k, (i, s, on) in enumerate(pieces):
+        starts.append(at)
         running.append(s)
-        owner += [i] * len(s)
         if not on and k + 1 < len(pieces):
-            gap = "\n" if pieces[k + 1][0] != i + 1 and any(not lines[x].strip() for x in range(i + 1, pieces[k + 1][0])) else " "
-            running.append(gap)
-            owner.append(i)
+            running.append("\n" if pieces[k + 1][0] != i + 1 and any(not lines[x].strip() for x in range(i + 1, pieces[k + 1][0])) else " ")
+            at += 1
+        at += len(s)
     whole = "".join(running)
     fixes: list[tuple[int, int, str]] = []
-    found = list(TOKEN.finditer(whole))
-    lows = [m[0].lower() for m in found]
-    for n, m in enumerate(found):
-        token, low = m[0], lows[n]
-        if low in lexicon.words and low not in lexicon.siblings or len(low) < 2 or token.isdigit() or not token.isalpha() and NUMBER.fullmatch(token):
-            continue
-        meant = lexicon.repair(token, lows[n - 1] if n else "", lows[n + 1] if n + 1 < len(lows) else "")
+    tokens = TOKEN.findall(whole)
+    settled = lexicon.settled
+    several = set(tokens) - settled
+    settled.update([t for t in several if lexicon.settles(t)])
+    several -= settled
+    spans: list[tuple[int, int]] = []
+    for n in [n for n, t in enumerate(tokens) if t in several] if several else ():
+        token = tokens[n]
+        meant = lexicon.repair(token, tokens[n - 1].lower() if n else "", tokens[n + 1].lower() if n + 1 < len(tokens) else "")
         if meant:
-            fixes.append((m.start(), m.end(), meant if token[0].islower() or not token[0].isalpha() else meant[:1].upper() + meant[1:] if not token.isupper() or len(token) == 1 else meant.upper()))
-    for m in NUMBER.finditer(whole):
+            spans = spans or [m.span() for m in TOKEN.finditer(whole)]
+            fixes.append((*spans[n], meant if token[0].islower() or not token[0].isalpha() else meant[:1].upper() + meant[1:] if not token.isupper() or len(token) == 1 else meant.upper()))
+    several = set(whole.split()) - lexicon.numberless
+    lexicon.numberless.update([c for c in several if not NUMBER.search(c)])
+    for m in NUMBER.finditer(whole) if not several <= lexicon.numberless else ():
         low = m[0].lower()
         if low in lexicon.words and low[0].isalpha():
             continue
@@ -815,8 +888,7 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
     for a, b, meant in fixes:
         old = whole[a:b]
         k = next((x for x in range(min(len(old), len(meant))) if old[x].lower() != meant[x].lower()), 0)
-        for line in {owner[min(a + k, len(owner) - 1)]}:
-            damage.append((line + 1, "misread"))
+        damage.append((pieces[bisect_right(starts, min(a + k, len(whole) - 1)) - 1][0] + 1, "misread"))
     fixed, last = [], 0
     for a, b, meant in sorted(fixes):
         if a >= last:
@@ -832,14 +904,19 @@ OUT = "field string, record_key string, line_no int, damage string"
 def _repaired(texts_too: bool):  # noqa: ANN202
     def make(lexicon: Lexicon, texts: pa.Table) -> pa.Table:
         fine = lexicon.fine
-        if len(fine) > 1_000_000:
-            fine.clear()
+        for held in (fine, lexicon.numberless):
+            if len(held) > 1_000_000:
+                held.clear()
 
         def sound(text: str) -> bool:
             if is_wrapped(text):
                 return False
-            for chunk in set(text.split()) - fine:
+            several = set(text.split()) - fine
+            if not several.isdisjoint(lexicon.ill):
+                return False
+            for chunk in several:
                 if lexicon.doubts(chunk):
+                    lexicon.ill.add(chunk)
                     return False
                 fine.add(chunk)
             return True
@@ -858,10 +935,18 @@ def _repaired(texts_too: bool):  # noqa: ANN202
     return make
 
 
+def _doubted(needs: DataFrame) -> DataFrame:
+    """The texts (g, field, record_key, text) that need something; all others are sound and have no damage."""
+    return needs.where("kind = 'text'").select(F.col("g").alias("g"), F.col("a").alias("field"), F.col("b").alias("record_key"), F.col("text").alias("text"))  # columns of their own, as facts come from `needs` too
+
+
 def _whole(texts: DataFrame, known: Knowledge, texts_too: bool) -> DataFrame:
     rows = texts.where("text is not null").select("field", F.col("record_key").cast("string").alias("record_key"), "text")
     grouped = _group_of(rows, _groups(rows))
-    return _in_groups(grouped, _facts(known, cut(_needs(grouped, known))), known.core, _repaired(texts_too), OUT)
+    needs = cut(_needs(grouped, known, doubted=not texts_too))
+    if not texts_too:
+        grouped = _doubted(needs)
+    return _in_groups(grouped, _facts(known, needs), known.core, _repaired(texts_too), OUT)
 
 
 def damaged(texts: DataFrame, known: Knowledge) -> DataFrame:
